@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import simhash
+from tapewright.llm import mixing, packing, secrets, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_documents(spark, sf_dir)))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs", "ranges")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_simhash,)}
+    return {f.__name__: f for f in (op2_secrets, op8_simhash, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict:
