@@ -109,6 +109,8 @@ def lexed_spans(text: str, least: float = 4.0) -> list[tuple[int, int, int]]:
             done = at
         weight = name_weight(name[1])
         found = literal_weight(value)
+        if not quoted and not any(c.isdigit() for c in value):
+            continue  # a word of prose, or a reference to something else
         if weight and found and weight + found >= least + (not quoted) * 0.25:
             out.update((i, 3, j) for i, j in parts if j > i)
     return sorted(out)
