@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import langid, mixing, packing, secrets, simhash
+from tapewright.llm import langid, mixing, packing, secrets, simhash, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(_documents(spark, sf_dir)))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -33,7 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid, op2_secrets, op8_simhash, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_secrets, op4_substrings, op8_simhash, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict:
