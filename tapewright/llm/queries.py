@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import langid, mixing, packing, secrets, simhash, substrings
+from tapewright.llm import langid, mixing, packing, quality, secrets, simhash, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.rate_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(_documents(spark, sf_dir)))
 
@@ -37,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid, op2_secrets, op4_substrings, op8_simhash, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_quality, op4_substrings, op8_simhash, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict:
