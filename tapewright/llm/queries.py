@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import langid, mixing, packing, quality, secrets, simhash, substrings
+from tapewright.llm import embeddings, langid, mixing, packing, quality, secrets, sharding, simhash, substrings, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,18 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(_documents(spark, sf_dir)))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(_documents(spark, sf_dir)))
+
+
+def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -42,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_quality, op4_substrings, op8_simhash, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_quality, op4_substrings, op5_embeddings, op6_sharding, op7_tokencount, op8_simhash, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict:
