@@ -284,16 +284,15 @@ class _Labeller:
         return lang, np.clip(share, 0.0, 1.0), np.bincount(doc, moved, len(texts)).astype(np.int64)
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and n_switches for every row; other columns stay as they are.
+def annotate(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "n_switches")) -> DataFrame:
+    """docs with the predicted language, its share of the letters and the changes of language between words.
 
-    A null text, or one without a letter, gets `und`, score 0 and no switches. Whole texts count, very
-    long ones too. Columns of those three names that docs already has are replaced.
+    A null text, or one without a letter, gets `und`, share 0 and no changes. Whole texts count, very
+    long ones too. `names` names the new columns; other columns stay as they are.
     """
-    added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "n_switches": T.LongType()}
-    docs = docs.drop(*added)
+    added = dict(zip(names, (T.StringType(), T.DoubleType(), T.LongType()), strict=True))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in added.items())])
-    names = np.array([*model.labels, UNKNOWN], dtype=object)
+    said = np.array([*model.labels, UNKNOWN], dtype=object)
 
     def each(batches):
         labeller = _Labeller(model)
@@ -308,7 +307,7 @@ def annotate(docs: DataFrame, model: Model) -> DataFrame:
                     held, words = [], 0
             found.append(labeller.label(held))
             lang, share, changes = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[lang], pa.string()), pa.array(share), pa.array(changes)], [*batch.schema.names, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said[lang], pa.string()), pa.array(share), pa.array(changes)], [*batch.schema.names, *added])
 
     return docs.mapInArrow(each, schema)
 
@@ -326,6 +325,5 @@ def identify(docs: DataFrame, sample_docs: int = 4000, seed: int = 5) -> DataFra
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without those whose language can't be told: no letters, or a share of letters below `least`."""
-    columns = docs.columns
-    known = annotate(docs, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return known.select(*columns)
+    found = annotate(docs, fit(docs), ("_lang_pred", "_share", "_changes"))
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_share") >= least)).select(*docs.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import WORD, staged
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Most copies of a source or document in the mix.
 MOST = 3
 #: Most rows of the table of cells, which the driver apportions.
@@ -133,6 +134,52 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block_words: in
     return placed.mapInArrow(each, "doc_id long, text_md5 string, size long, source_size long, target double, epochs long, ranges array<struct<lo:long,hi:long>>, taken long")
 
 
+def apply(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: whole copies of a row, and one row more for words taken beside them.
+
+    That row's text is the chosen blocks, each as it stands in the text, joined by line breaks;
+    n_chars is set anew in it. Rows of which nothing is taken go. Rows are told apart by doc_id and
+    text, and counted where both repeat.
+    """
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text_md5").orderBy("size"))
+    mixed = mix(docs, **options).where("taken > 0").select("doc_id", "text_md5", "epochs", "ranges", "size").withColumn("_copy", copy).drop("size")
+    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("_copy").alias("_k"), "epochs", "ranges")
+    keyed = docs.withColumn("_text_md5", F.md5(F.coalesce("text", F.lit("")))).withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_text_md5").orderBy(F.lit(0))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_md5") == F.col("_md5")) & (F.col("_copy") == F.col("_k"))
+    rows = keyed.join(mixed, same).select(*docs.columns, F.col("epochs").alias("_epochs"), F.col("ranges").alias("_ranges"))
+
+    def each(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                yield from _copies(batch.slice(lo, 500))
+
+    return rows.mapInArrow(each, docs.schema)
+
+
+def _copies(batch: pa.RecordBatch):
+    names = [n for n in batch.schema.names if n not in ("_epochs", "_ranges")]
+    texts = batch.column("text").cast(pa.binary()).to_pylist()
+    at, new = [], []
+    for i, (n, ranges) in enumerate(zip(batch.column("_epochs").to_pylist(), batch.column("_ranges").to_pylist(), strict=True)):
+        at += [i] * n
+        new += [None] * n
+        if ranges:
+            space = _SPACE[np.frombuffer(texts[i], np.uint8)]
+            start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+            end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+            at.append(i)
+            new.append(b"\n".join(texts[i][start[r["lo"]] : end[r["hi"] - 1]] for r in ranges))
+    if at:
+        taken = batch.select(names).take(pa.array(at))
+        columns = dict(zip(names, taken.columns, strict=True))
+        made = pa.array([t if t is not None else texts[i] for i, t in zip(at, new, strict=True)], pa.binary())
+        columns["text"] = made.cast(columns["text"].type)
+        if "n_chars" in columns:
+            old = columns["n_chars"].to_pylist()
+            columns["n_chars"] = pa.array([o if t is None else len(t.decode("utf-8", "replace")) for o, t in zip(old, new, strict=True)], columns["n_chars"].type)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), schema=taken.schema)
+
+
 def _taken(c: dict):
     """Epochs, extra ranges and words taken of documents that lie in their cells' streams at start.
 

@@ -184,3 +184,18 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle_words: int = 3,
     named = staged(named.select("fp", F.coalesce("component", "root").alias("component_id")), "named")
     out = fps.join(named, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs without the near-duplicates of a document with a smaller doc_id.
+
+    Rows with one doc_id are one document and go or stay together; of rows that repeat a doc_id and
+    its text one stays. Rows whose doc_id is null stay.
+    """
+    found = staged(near_duplicates(docs, **options), "near")
+    later = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
