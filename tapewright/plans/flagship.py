@@ -1,4 +1,31 @@
-"""Flagship query; filled in with the first operators."""
+"""The flagship: ticks to bars, momentum ranks across symbols, top-2 weights, lagged portfolio return."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tapewright.functions import rolling as R
+from tapewright.plans.oracle import over_bars, roll
+from tapewright.sources.tables import bars, seconds
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bars(spark, sf_dir).select("symbol", "ts", "close")
+    df = df.select("symbol", "ts", R.pct("close").alias("r"), R.pct("close", 5).alias("mom"), R.mean("close", 20).alias("sma"))
+    across = Window.partitionBy("ts").orderBy(F.round("mom", 9).desc_nulls_last(), "symbol")
+    df = df.withColumn("w", F.when((F.row_number().over(across) <= 2) & F.col("sma").isNotNull() & F.col("mom").isNotNull(), 0.5).otherwise(0.0))
+    df = df.withColumn("held", F.coalesce(R.lag("w"), F.lit(0.0)))
+    total = df.groupBy("ts").agg(F.round(F.sum(F.coalesce(F.col("held") * F.col("r"), F.lit(0.0))), 6).alias("portfolio_return"), F.count(F.lit(1)).alias("n_symbols"))
+    return total.select(seconds(), "portfolio_return", "n_symbols")
+
+
+QUERIES = {"flagship": flagship}
+ORACLES = {
+    "flagship": over_bars(
+        "SELECT CAST(epoch(ts) AS BIGINT) AS ts, round(sum(coalesce(held * r, 0)), 6) AS portfolio_return, count(*) AS n_symbols FROM h GROUP BY ts",
+        f"f AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS mom, {roll('avg(close)', 20)} AS sma FROM bars)",
+        "g AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY ts ORDER BY round(mom, 9) DESC NULLS LAST, symbol) <= 2 AND sma IS NOT NULL AND mom IS NOT NULL THEN 0.5 ELSE 0.0 END AS w FROM f)",
+        "h AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY ts), 0) AS held FROM g)",
+    )
+}
