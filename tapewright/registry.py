@@ -6,7 +6,7 @@ import importlib
 from functools import cache
 
 #: Modules under tapewright.plans, in the order in which their queries are listed.
-PLAN_MODULES = ("flagship", "indicators", "statistics")
+PLAN_MODULES = ("flagship", "indicators", "statistics", "portfolios")
 
 
 @cache
