@@ -144,8 +144,8 @@ add(
     FILLS + "SELECT l_orderkey, l_linenumber, round(greatest(v * 0.001, 1.0) + v * 0.0005 + v * 0.001 * pow(sh, 0.5), 4) AS cost FROM f",
 )
 add(
-    "q_2_12_2_slippage", lambda s, d: rounded(_fills(s, d).withColumns({m: P.slippage(m, F.col("price"), F.col("l_discount"), F.col("share")) for m in ("fixed", "volatility", "volume")}), "fixed", "volatility", "volume", keys=KEYS, digits=11),
-    FILLS + "SELECT l_orderkey, l_linenumber, round(p * 0.0005, 11) AS fixed, round(p * l_discount * 0.1, 11) AS volatility, round(p * 0.0005 * (1 + sh * 10), 11) AS volume FROM f",
+    "q_2_12_2_slippage", lambda s, d: rounded(_fills(s, d).withColumns({m: P.slippage(m, F.col("price"), F.col("l_discount"), F.round("share", 4)) for m in ("fixed", "volatility", "volume")}).withColumn("volume", F.round("volume", 4)), "fixed", "volatility", "volume", keys=KEYS, digits=12),
+    FILLS + "SELECT l_orderkey, l_linenumber, round(p * 0.0005, 12) AS fixed, round(p * l_discount * 0.1, 12) AS volatility, round(p * 0.0005 * (1 + round(sh, 4) * 10), 4) AS volume FROM f",
 )
 add(
     "q_2_12_57_square_root_impact", lambda s, d: rounded(_fills(s, d).withColumn("impact", P.square_root_impact(F.col("l_discount"), F.col("share"))), "impact", keys=KEYS),
