@@ -10,17 +10,22 @@ def series(key: str = "symbol", order: str = "ts") -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
 
-W = series()
-RUN = W.rowsBetween(Window.unboundedPreceding, 0)
+def __getattr__(name: str):
+    """W: one symbol's rows in time order. RUN: those up to the current one. Made on use, since a window needs a session."""
+    if name == "W":
+        return series()
+    if name == "RUN":
+        return series().rowsBetween(Window.unboundedPreceding, 0)
+    raise AttributeError(name)
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def roll(agg, x, n: int, least: int | None = None, w: WindowSpec = W) -> Column:
+def roll(agg, x, n: int, least: int | None = None, w: WindowSpec | None = None) -> Column:
     """agg over the last n rows; null until `least` (default n) values are there, as pandas' rolling."""
-    frame = w.rowsBetween(-(n - 1), 0)
+    frame = (w or series()).rowsBetween(-(n - 1), 0)
     x = _c(x)
     return F.when(F.count(x).over(frame) >= (n if least is None else least), agg(x).over(frame))
 
@@ -45,19 +50,19 @@ def lowest(x, n, **k):
     return roll(F.min, x, n, **k)
 
 
-def lag(x, k: int = 1, w: WindowSpec = W) -> Column:
-    return F.lag(_c(x), k).over(w)
+def lag(x, k: int = 1, w: WindowSpec | None = None) -> Column:
+    return F.lag(_c(x), k).over(w or series())
 
 
-def lead(x, k: int = 1, w: WindowSpec = W) -> Column:
-    return F.lead(_c(x), k).over(w)
+def lead(x, k: int = 1, w: WindowSpec | None = None) -> Column:
+    return F.lead(_c(x), k).over(w or series())
 
 
-def running(agg, x, w: WindowSpec = W) -> Column:
-    return agg(_c(x)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+def running(agg, x, w: WindowSpec | None = None) -> Column:
+    return agg(_c(x)).over((w or series()).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def change(x, k: int = 1, w: WindowSpec = W) -> Column:
+def change(x, k: int = 1, w: WindowSpec | None = None) -> Column:
     return _c(x) - lag(x, k, w)
 
 
@@ -65,11 +70,11 @@ def ratio(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
-def pct(x, k: int = 1, w: WindowSpec = W) -> Column:
+def pct(x, k: int = 1, w: WindowSpec | None = None) -> Column:
     return ratio(x, lag(x, k, w)) - 1
 
 
-def zscore(x, n: int, eps: float = 0.0, w: WindowSpec = W) -> Column:
+def zscore(x, n: int, eps: float = 0.0, w: WindowSpec | None = None) -> Column:
     return ratio(_c(x) - mean(x, n, w=w), std(x, n, w=w) + eps)
 
 
@@ -85,8 +90,8 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
-def islands(flag_or_value, w: WindowSpec = W) -> Column:
+def islands(flag_or_value, w: WindowSpec | None = None) -> Column:
     """Number of the run of equal values that a row is in, from 0."""
-    x = _c(flag_or_value)
+    x, w = _c(flag_or_value), w or series()
     new = F.when(~x.eqNullSafe(F.lag(x).over(w)), 1).otherwise(0)
     return F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1

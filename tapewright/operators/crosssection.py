@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import rolling as R
 
-AT = Window.partitionBy("ts")
+def at():
+    """All rows of one time."""
+    return Window.partitionBy("ts")
 
 
 def rank_pct(x, *by: str) -> Column:
@@ -21,12 +23,12 @@ def rank_pct(x, *by: str) -> Column:
 def scores(df: DataFrame, x: str) -> DataFrame:
     """Rank share, z-score and difference from the mean of the time."""
     c = F.col(x)
-    return df.withColumns({"cs_rank": rank_pct(x), "cs_z": (c - F.avg(c).over(AT)) / (F.stddev_samp(c).over(AT) + 1e-10), "cs_relative": c - F.avg(c).over(AT)})
+    return df.withColumns({"cs_rank": rank_pct(x), "cs_z": (c - F.avg(c).over(at())) / (F.stddev_samp(c).over(at()) + 1e-10), "cs_relative": c - F.avg(c).over(at())})
 
 
 def percentile_of_score(df: DataFrame, x: str) -> DataFrame:
     """Mean of the strict and the weak percentile."""
-    n = F.count(x).over(AT)
+    n = F.count(x).over(at())
     return df.withColumn("cs_percentile", F.when(F.col(x).isNotNull(), F.try_divide(R.average_rank(x, "ts") - 0.5, n)))
 
 
@@ -64,8 +66,8 @@ def risk_adjusted_momentum(df: DataFrame, n: int = 5) -> DataFrame:
 
 def top_bottom(df: DataFrame, x: str, n: int = 10, least: float = 0.0) -> DataFrame:
     """1 for the n highest scores above `least`, -1 for the n lowest below -least (shorts win), else 0; ties by symbol."""
-    high = F.row_number().over(AT.orderBy(F.col(x).desc_nulls_last(), "symbol"))
-    low = F.row_number().over(AT.orderBy(F.col(x).asc_nulls_last(), "symbol"))
+    high = F.row_number().over(at().orderBy(F.col(x).desc_nulls_last(), "symbol"))
+    low = F.row_number().over(at().orderBy(F.col(x).asc_nulls_last(), "symbol"))
     short = (low <= n) & (F.col(x) < -least)
     return df.withColumn("signal", F.when(short, -1.0).when((high <= n) & (F.col(x) > least), 1.0).otherwise(0.0))
 
@@ -78,7 +80,7 @@ def equal_weights(df: DataFrame) -> DataFrame:
 
 def clipped_weights(df: DataFrame, most: float = 0.1) -> DataFrame:
     """Signal over the number of active ones, clipped."""
-    n = F.sum(F.when(F.col("signal") != 0, 1).otherwise(0)).over(AT)
+    n = F.sum(F.when(F.col("signal") != 0, 1).otherwise(0)).over(at())
     return df.withColumn("weight", F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(F.try_divide(F.col("signal"), n), F.lit(0.0)))))
 
 

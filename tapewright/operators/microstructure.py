@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import rolling as R
 
-RANGE = F.col("high") - F.col("low")
+def bar_range():
+    return F.col("high") - F.col("low")
 
 
 def tick_rule(df: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def tick_rule(df: DataFrame) -> DataFrame:
 
 def bulk_volume(df: DataFrame, flat: float = 0.0) -> DataFrame:
     """Buy and sell volume by the close's place in the range; `flat` is the buy and sell share of a flat bar."""
-    share = F.try_divide(F.col("close") - F.col("low"), RANGE)
+    share = F.try_divide(F.col("close") - F.col("low"), bar_range())
     buy = F.col("volume") * F.coalesce(share, F.lit(flat))
     sell = F.col("volume") * F.coalesce(1 - share, F.lit(flat))
     return df.withColumns({"buy_volume": buy, "sell_volume": sell})
@@ -63,7 +64,7 @@ def vpin(df: DataFrame, size: float = 500.0, n: int = 50) -> DataFrame:
 
 def signed_flow(df: DataFrame, n: int = 20) -> DataFrame:
     """Signed share of the bar's range times volume over the average volume."""
-    s = F.coalesce(2 * F.try_divide(F.col("close") - F.col("low"), RANGE) - 1, F.lit(0.0))
+    s = F.coalesce(2 * F.try_divide(F.col("close") - F.col("low"), bar_range()) - 1, F.lit(0.0))
     return df.withColumns({"_adv": R.mean("volume", n)}).withColumn("signed_flow", s * F.try_divide(F.col("volume"), F.col("_adv"))).drop("_adv")
 
 

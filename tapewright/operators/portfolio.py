@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import rolling as R
 
-AT = Window.partitionBy("ts")
+def at():
+    """All rows of one time."""
+    return Window.partitionBy("ts")
 
 
 def growth(r) -> Column:
@@ -72,7 +74,7 @@ def limit_weights(df: DataFrame, position: float = 0.2, sector: float = 0.4, lev
     df = df.withColumn("w1", F.greatest(F.lit(-position), F.least(F.lit(position), F.col("weight"))))
     by_sector = F.sum(F.abs("w1")).over(Window.partitionBy("ts", "sector"))
     df = df.withColumn("w2", F.col("w1") * F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(sector), by_sector), F.lit(1.0))))
-    gross = F.sum(F.abs("w2")).over(AT)
+    gross = F.sum(F.abs("w2")).over(at())
     return df.withColumn("w3", F.col("w2") * F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(leverage), gross), F.lit(1.0))))
 
 
