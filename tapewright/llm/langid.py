@@ -323,7 +323,10 @@ def identify(docs: DataFrame, sample_docs: int = 4000, seed: int = 5) -> DataFra
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_switches")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those whose language can't be told: no letters, or a share of letters below `least`."""
+def keep_known(docs: DataFrame, least: float = 0.35) -> DataFrame:
+    """docs without those whose language can't be told: no letters, or no language with `least` of the letters.
+
+    Two languages side by side are told apart by their words, so their documents stay.
+    """
     found = annotate(docs, fit(docs), ("_lang_pred", "_share", "_changes"))
     return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_share") >= least)).select(*docs.columns)
