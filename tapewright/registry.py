@@ -19,4 +19,20 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in _modules() for k, v in m.ORACLES.items()}
+    return {k: without_negative_zero(v) for m in _modules() for k, v in m.ORACLES.items()}
+
+
+def without_negative_zero(sql: str) -> str:
+    """Adds 0.0 to every round(...): a rounded -0.0 becomes 0.0, as in the queries."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 0, start + len("round")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if depth == 0:
+                break
+        inner = without_negative_zero(sql[start + len("round(") : end - 1])
+        out += [sql[at:start], f"(round({inner}) + 0.0::DOUBLE)"]
+        at = end
+    return "".join(out) + sql[at:]
