@@ -119,8 +119,8 @@ def _executions(s, d):
 EX = "WITH x AS (SELECT l_orderkey, l_linenumber, p_brand AS symbol, l_shipdate + INTERVAL 1 HOUR * l_linenumber AS ts, l_extendedprice AS value, CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE 1.0 END AS side, (l_extendedprice / l_quantity - p_retailprice) / p_retailprice * CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE 1.0 END * 10000 AS shortfall, l_quantity, l_discount, l_tax FROM lineitem JOIN part ON l_partkey = p_partkey)\n"
 add("q_2_4_48_shortfall", lambda s, d: rounded(_executions(s, d), "shortfall", keys=("l_orderkey", "l_linenumber"), digits=4), EX + "SELECT l_orderkey, l_linenumber, round(shortfall, 4) AS shortfall FROM x")
 add(
-    "q_2_4_51_execution_report", lambda s, d: rounded(M.hourly_profile(_executions(s, d)).withColumns({"hour": F.col("hour").cast("bigint"), "level": F.col("level").cast("bigint")}), "avg_shortfall", "value", keys=("symbol", "hour", "n", "level"), digits=2),
-    EX + "SELECT symbol, CAST(hour AS BIGINT) AS hour, count(*) AS n, CAST(grouping(symbol, hour) AS BIGINT) AS level, round(avg(shortfall), 2) AS avg_shortfall, round(sum(value), 2) AS value FROM (SELECT *, extract(hour FROM ts) AS hour FROM x) GROUP BY ROLLUP (symbol, hour)",
+    "q_2_4_51_execution_report", lambda s, d: rounded(M.hourly_profile(_executions(s, d)).withColumns({"hour": F.col("hour").cast("double"), "level": F.col("level").cast("bigint")}), "avg_shortfall", "value", keys=("symbol", "hour", "n", "level"), digits=2),
+    EX + "SELECT symbol, CAST(hour AS DOUBLE) AS hour, count(*) AS n, CAST(grouping(symbol, hour) AS BIGINT) AS level, round(avg(shortfall), 2) AS avg_shortfall, round(sum(value), 2) AS value FROM (SELECT *, extract(hour FROM ts) AS hour FROM x) GROUP BY ROLLUP (symbol, hour)",
 )
 add(
     "q_2_4_60_cost_summary",

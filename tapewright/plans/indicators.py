@@ -79,14 +79,14 @@ def _timeframes(spark, sf_dir):
     trades = ticks(spark, sf_dir)
     higher = {e: rollup_bars(trades, e) for e in ("1 hour", "4 hours")}
     df = trend.multi_timeframe(rollup_bars(trades, "15 minutes"), higher)
-    return df.select("symbol", seconds(), *[F.col(c).cast("bigint").alias(c) for c in ("trend_1_hour", "trend_4_hours", "trend_votes", "trend_unanimous")])
+    return df.select("symbol", seconds(), *[F.col(c).cast("double").alias(c) for c in ("trend_1_hour", "trend_4_hours", "trend_votes", "trend_unanimous")])
 
 
 QUERIES["q_2_5_18_timeframe_trend"] = _timeframes
 _T = lambda t, e: f"{t} AS (SELECT symbol, ts + INTERVAL {e} AS ts, CASE WHEN close > {roll('avg(close)', 10)} THEN 1 WHEN {roll('avg(close)', 10)} IS NOT NULL THEN 0 END AS t FROM b{t})"
 ORACLES["q_2_5_18_timeframe_trend"] = over_bars(
-    """SELECT b.symbol, CAST(epoch(b.ts) AS BIGINT) AS ts, CAST(h.t AS BIGINT) AS trend_1_hour, CAST(g.t AS BIGINT) AS trend_4_hours,
-    CAST(coalesce(h.t, 0) + coalesce(g.t, 0) AS BIGINT) AS trend_votes, CAST(CASE WHEN h.t = g.t THEN 1 ELSE 0 END AS BIGINT) AS trend_unanimous
+    """SELECT b.symbol, CAST(epoch(b.ts) AS BIGINT) AS ts, CAST(h.t AS DOUBLE) AS trend_1_hour, CAST(g.t AS DOUBLE) AS trend_4_hours,
+    CAST(coalesce(h.t, 0) + coalesce(g.t, 0) AS DOUBLE) AS trend_votes, CAST(CASE WHEN h.t = g.t THEN 1 ELSE 0 END AS DOUBLE) AS trend_unanimous
     FROM bars b ASOF LEFT JOIN h1 h ON b.symbol = h.symbol AND b.ts >= h.ts ASOF LEFT JOIN h4 g ON b.symbol = g.symbol AND b.ts >= g.ts""",
     rollup("bh1", "1 HOUR"), rollup("bh4", "4 HOUR"), _T("h1", "1 HOUR"), _T("h4", "4 HOUR"),
 )

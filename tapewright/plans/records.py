@@ -64,8 +64,8 @@ _log = lambda s, d: B.chained(table(s, d, "events"), FIELDS, "user_id", "event_i
 HASH = "sha256(concat_ws('|', CAST(event_id AS VARCHAR), coalesce(event_type, 'None'), coalesce(CAST(user_id AS VARCHAR), 'None'), coalesce(props, 'None')))"
 add("q_2_11_24_event_hash", lambda s, d: _log(s, d).select("event_id", "event_hash", "previous_hash"), f"SELECT event_id, {HASH} AS event_hash, coalesce(lag({HASH}) OVER (PARTITION BY user_id ORDER BY event_id), 'GENESIS') AS previous_hash FROM events")
 add(
-    "q_2_11_23_verify_chain", lambda s, d: B.verify_chain(_log(s, d).withColumn("event_hash", F.when(F.col("event_id") % 997 == 5, F.lit("0")).otherwise(F.col("event_hash"))), FIELDS, "user_id", "event_id"),
-    f"WITH h AS (SELECT *, {HASH} AS own FROM events), t AS (SELECT *, CASE WHEN event_id % 997 = 5 THEN '0' ELSE own END AS kept, coalesce(lag(own) OVER (PARTITION BY user_id ORDER BY event_id), 'GENESIS') AS prev FROM h), u AS (SELECT *, kept <> own OR prev <> coalesce(lag(kept) OVER (PARTITION BY user_id ORDER BY event_id), 'GENESIS') AS bad FROM t) SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS n_bad, min(CASE WHEN bad THEN event_id END) AS first_bad FROM u GROUP BY user_id",
+    "q_2_11_23_verify_chain", lambda s, d: B.verify_chain(_log(s, d).withColumn("event_hash", F.when(F.col("event_id") % 997 == 5, F.lit("0")).otherwise(F.col("event_hash"))), FIELDS, "user_id", "event_id").withColumn("first_bad", F.col("first_bad").cast("double")),
+    f"WITH h AS (SELECT *, {HASH} AS own FROM events), t AS (SELECT *, CASE WHEN event_id % 997 = 5 THEN '0' ELSE own END AS kept, coalesce(lag(own) OVER (PARTITION BY user_id ORDER BY event_id), 'GENESIS') AS prev FROM h), u AS (SELECT *, kept <> own OR prev <> coalesce(lag(kept) OVER (PARTITION BY user_id ORDER BY event_id), 'GENESIS') AS bad FROM t) SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS n_bad, CAST(min(CASE WHEN bad THEN event_id END) AS DOUBLE) AS first_bad FROM u GROUP BY user_id",
 )
 add("q_2_11_26_parse_payload", lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "struct<k:bigint>")["k"].alias("k")), "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events")
 add(

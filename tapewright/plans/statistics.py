@@ -112,8 +112,8 @@ DE = [step("d0", {"dd": f"close / {run('max(close)')} - 1", "nx": f"lead(ts) OVE
       "ev AS (SELECT symbol, min(dd) AS depth, min(CASE WHEN dd < -0.02 THEN ts END) AS s, arg_min(ts, dd) AS t0, first(ts ORDER BY dd, ts) AS t, last(nx ORDER BY ts) AS e, count(*) AS n FROM d2 WHERE dd < 0 GROUP BY symbol, rn HAVING min(dd) < -0.02)"]
 _E = lambda c: f"CAST(epoch({c}) AS BIGINT)"
 table(
-    "q_2_8_68_drawdown_events", lambda s, d: rounded(S.drawdown_events(bars(s, d)).select("symbol", "depth", seconds("start_ts"), seconds("trough_ts"), seconds("end_ts"), "n_bars"), "depth", keys=("symbol", "start_ts", "trough_ts", "end_ts", "n_bars")),
-    over_bars(f"SELECT symbol, round(depth, 6) AS depth, {_E('s')} AS start_ts, {_E('t')} AS trough_ts, {_E('e')} AS end_ts, n AS n_bars FROM ev", *DE),
+    "q_2_8_68_drawdown_events", lambda s, d: rounded(S.drawdown_events(bars(s, d)).select("symbol", "depth", seconds("start_ts"), seconds("trough_ts"), F.unix_timestamp("end_ts").cast("double").alias("end_ts"), "n_bars"), "depth", keys=("symbol", "start_ts", "trough_ts", "end_ts", "n_bars")),
+    over_bars(f"SELECT symbol, round(depth, 6) AS depth, {_E('s')} AS start_ts, {_E('t')} AS trough_ts, CAST({_E('e')} AS DOUBLE) AS end_ts, n AS n_bars FROM ev", *DE),
 )
 table(
     "q_2_8_69_drawdown_statistics",
