@@ -52,3 +52,30 @@ def daily_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seconds(c: str = "ts") -> Column:
     """Epoch seconds, the form in which results carry times."""
     return F.unix_timestamp(c).alias(c)
+
+
+TIME_COLUMNS = ("timestamp", "time", "datetime", "date")
+BAR = "symbol string, timestamp timestamp, open double, high double, low double, close double, volume long"
+
+
+def standardised(df: DataFrame) -> DataFrame:
+    """Lower-case names, and the first time column there is as `ts`; strings that are no time become null."""
+    df = df.toDF(*[c.lower() for c in df.columns])
+    name = next(c for c in TIME_COLUMNS if c in df.columns)
+    kind = dict(df.dtypes)[name]
+    return df.withColumn(name, F.try_to_timestamp(name) if kind == "string" else F.col(name).cast("timestamp")).withColumnRenamed(name, "ts")
+
+
+def read_csv_bars(spark: SparkSession, path: str, schema: str = BAR) -> DataFrame:
+    """Bars from CSV with a header; rows that don't fit the schema are dropped."""
+    return standardised(spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path))
+
+
+def symbol_of_file(column: str = "_metadata.file_path") -> Column:
+    """Symbol from a file's name: what stands before the first underscore, in capitals."""
+    return F.upper(F.split_part(F.element_at(F.split(column, "/"), -1), F.lit("_"), F.lit(1)))
+
+
+def read_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
+    """Rows of a SQL query of another database; the driver's jar must be on Spark's class path."""
+    return standardised(spark.read.format("jdbc").options(url=url, query=query, **options).load())

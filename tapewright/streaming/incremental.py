@@ -111,3 +111,26 @@ def feature_batch(ticks: DataFrame) -> DataFrame:
         return f, (seq, *f.update(price))
 
     return fold(ticks, ["seq", "price"], step, {"seq": "long", **{c: "double" for c in Features.COLUMNS}}, order="ts")
+
+
+def _book(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    prices, sizes = state.get if state.exists else ([], [])
+    book = dict(zip(prices, sizes))
+    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+    out = []
+    for t, s, side, p, q in zip(rows["ts"], rows["seq"], rows["side"], rows["price"], rows["size"]):
+        at = -1 - p if side == "bid" else p  # bids are kept under negative numbers: one map for both sides
+        if q > 0:
+            book[at] = q
+        else:
+            book.pop(at, None)
+        bids, asks = [k for k in book if k < 0], [k for k in book if k >= 0]
+        out.append((key[0], t, s, -1 - min(bids) if bids else None, min(asks) if asks else None, len(bids), len(asks)))
+    state.update((list(book), list(book.values())))
+    yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "best_bid", "best_ask", "n_bids", "n_asks"])
+
+
+def book_stream(updates: DataFrame) -> DataFrame:
+    """updates: (symbol, ts, seq, side, price, size). Best prices after every update, from a book kept as state."""
+    schema = "symbol string, ts timestamp, seq long, best_bid double, best_ask double, n_bids long, n_asks long"
+    return updates.groupBy("symbol").applyInPandasWithState(_book, schema, "prices array<double>, sizes array<double>", "append", GroupStateTimeout.NoTimeout)
