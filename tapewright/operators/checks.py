@@ -75,10 +75,10 @@ def alignment(df: DataFrame, reference: str) -> DataFrame:
     """How each symbol's times differ from the reference's: start and end in days, count and missing times in percent."""
     ref = df.where(F.col("symbol") == reference)
     own = df.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n"))
-    r = ref.agg(F.min("ts").alias("ra"), F.max("ts").alias("rb"), F.count(F.lit(1)).alias("rn"))  # one row
+    r = own.where(F.col("symbol") == reference).select(F.col("symbol").alias("reference"), F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("n").alias("rn"))
     shared = df.select("symbol", "ts").distinct().join(ref.select("ts").distinct(), "ts").groupBy("symbol").agg(F.count(F.lit(1)).alias("shared"))
     days = lambda x, y: F.abs(F.unix_timestamp(x) - F.unix_timestamp(y)) / 86400
-    j = own.join(shared, "symbol", "left").join(F.broadcast(r)).withColumns({"start_days": days("a", "ra"), "end_days": days("b", "rb"), "count_pct": 100 * F.abs(F.col("n") - F.col("rn")) / F.col("rn"), "missing_pct": 100 * (1 - F.coalesce("shared", F.lit(0)) / F.col("rn"))})
+    j = own.join(shared, "symbol", "left").withColumn("reference", F.lit(reference)).join(r, "reference").withColumns({"start_days": days("a", "ra"), "end_days": days("b", "rb"), "count_pct": 100 * F.abs(F.col("n") - F.col("rn")) / F.col("rn"), "missing_pct": 100 * (1 - F.coalesce("shared", F.lit(0)) / F.col("rn"))})
     bad = (F.col("start_days") > 1) | (F.col("end_days") > 1)
     return j.withColumn("severity", F.when(bad, "error").when((F.col("count_pct") > 10) | (F.col("missing_pct") > 10), "warning").otherwise("ok"))
 

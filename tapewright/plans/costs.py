@@ -15,7 +15,7 @@ from tapewright.sources.tables import seconds, table
 QUERIES: dict = {}
 ORACLES: dict = {}
 #: Odd, so that results are no ties of the rounding.
-BASE = 5.0137
+BASE = 5.01372913
 HOURS = {0: 1.5, 1: 1.2, 15: 1.3}
 
 
@@ -32,8 +32,8 @@ def _fills(s, d):
 FI = """WITH f AS (SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS line, l_quantity AS q, l_extendedprice / nullif(l_quantity, 0) AS p, CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE 1.0 END::DOUBLE AS side,
  sum(l_quantity) OVER (PARTITION BY l_partkey) AS adv, l_discount + 0.01::DOUBLE AS sigma, l_tax * 10 + 0.4::DOUBLE AS vr, l_orderkey % 24 AS hour FROM lineitem),
  g AS (SELECT *, CASE WHEN side > 0 THEN p * 1.00051237::DOUBLE ELSE p / 1.00051237::DOUBLE END AS fill, p * (1 + CASE WHEN line % 2 = 0 THEN 0.0002 ELSE 0.001 END::DOUBLE * side) AS lim,
- 1000 * (q / 0.5) / adv AS tb, 500 * q / adv AS pb, least(50, greatest(1, 5.0137 * greatest(0.5, 1 + (sigma / 0.02 - 1)) * CASE WHEN vr > 0 THEN greatest(0.5, 1 + 0.5 * (1 / vr - 1)) ELSE 1 END)) AS sp0,
- least(50, greatest(1, 5.0137 * greatest(0.5, 1 + (sigma / 0.02 - 1)) * CASE WHEN vr > 0 THEN greatest(0.5, 1 + 0.5 * (1 / vr - 1)) ELSE 1 END * CASE hour WHEN 0 THEN 1.5 WHEN 1 THEN 1.2 WHEN 15 THEN 1.3 ELSE 1.0 END)) AS sp FROM f)
+ 1000 * (q / 0.5) / adv AS tb, 500 * q / adv AS pb, least(50, greatest(1, 5.01372913 * greatest(0.5, 1 + (sigma / 0.02 - 1)) * CASE WHEN vr > 0 THEN greatest(0.5, 1 + 0.5 * (1 / vr - 1)) ELSE 1 END)) AS sp0,
+ least(50, greatest(1, 5.01372913 * greatest(0.5, 1 + (sigma / 0.02 - 1)) * CASE WHEN vr > 0 THEN greatest(0.5, 1 + 0.5 * (1 / vr - 1)) ELSE 1 END * CASE hour WHEN 0 THEN 1.5 WHEN 1 THEN 1.2 WHEN 15 THEN 1.3 ELSE 1.0 END)) AS sp FROM f)
 """
 
 

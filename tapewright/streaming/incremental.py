@@ -39,6 +39,15 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def drained_table(stream: DataFrame, name: str) -> DataFrame:
+    """Runs an aggregate without a watermark over all that is there; each micro-batch rewrites the table of its current rows."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def rollup_stream(ticks: DataFrame, every: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     """Bars that can't change any more: later rows than the watermark are dropped, open windows are held back."""
     order = F.struct("ts", "seq")
