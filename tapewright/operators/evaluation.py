@@ -179,3 +179,40 @@ def combinatorial_folds(df: DataFrame, blocks: int = 5, tests: int = 2, purge: i
     near = F.exists("bounds", lambda s: F.array_contains("chosen", s["block"]) & (F.col("i") >= s["a"] - purge) & (F.col("i") <= s["b"] + embargo))
     test = F.array_contains("chosen", F.col("block"))
     return j.groupBy("symbol", "combo").agg(F.count_if(test).alias("n_test"), F.count_if(~near).alias("n_train"))
+
+
+def group_split(df: DataFrame, train: float = 0.7, validation: float = 0.15, purge: int = 5, embargo: int = 3) -> DataFrame:
+    """Each symbol's rows in time order as train, validation and test, without `purge` rows before and `embargo` rows after each cut."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    x = df.withColumns({"i": F.row_number().over(R.W) - 1, "a": F.floor(train * n), "b": F.floor((train + validation) * n)})
+    i, a, b = F.col("i"), F.col("a"), F.col("b")
+    return x.withColumn("role", F.when(i < a - purge, "train").when(i < a + embargo, "none").when(i < b - purge, "validation").when(i < b + embargo, "none").otherwise("test"))
+
+
+def combined_curves(curves: DataFrame) -> DataFrame:
+    """(curve, symbol, ts, value): each curve starts at one; at a time in several curves the first curve counts."""
+    first = F.first_value("value").over(Window.partitionBy("curve", "symbol").orderBy("ts"))
+    x = curves.withColumn("equity", F.col("value") / first)
+    return x.groupBy("symbol", "ts").agg(F.min_by("equity", "curve").alias("equity"))
+
+
+def rolling_apply(df: DataFrame, x: str, n: int, f, name: str) -> DataFrame:
+    """f, any function from a pandas Series to a number, over the last n values; null until there are n. Windows reach Python in Arrow batches."""
+    g = F.pandas_udf(f, "double")
+    frame = R.series().rowsBetween(-(n - 1), 0)
+    return df.withColumn(name, F.when(F.count(x).over(frame) >= n, g(F.col(x)).over(frame)))
+
+
+def crossover_scores(df: DataFrame, params: tuple[int, ...], folds: int = 4) -> DataFrame:
+    """Score of each parameter in each part of the time: sum of returns times the sign of the last close over its mean of `param` rows."""
+    x = df.withColumn("r", R.pct("close"))
+    x = x.withColumns({str(p): R.lag(F.signum(F.col("close") - R.mean("close", p))) * F.col("r") for p in params}).withColumn("fold", F.ntile(folds).over(R.W))
+    long = x.select("symbol", "fold", F.inline(F.array(*[F.struct(F.lit(p).cast("long").alias("param"), F.col(str(p)).alias("v")) for p in params])))
+    return long.groupBy("symbol", "fold", "param").agg(F.round(F.sum("v"), 9).alias("score"))
+
+
+def walk_forward_search(scores: DataFrame) -> DataFrame:
+    """The best parameter of each part, smaller ones first among equals, and its score in the next part."""
+    best = scores.groupBy("symbol", "fold").agg(F.max_by("param", F.struct("score", -F.col("param"))).alias("param"), F.max("score").alias("train_score"))
+    later = scores.select("symbol", (F.col("fold") - 1).alias("fold"), "param", F.col("score").alias("test_score"))
+    return best.join(later, ["symbol", "fold", "param"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions import rolling as R
@@ -181,3 +181,36 @@ def pair_tests(df: DataFrame) -> DataFrame:
     se = F.sqrt((F.col("syy") - F.col("s") * F.col("sxy")) / (F.col("n") - 2) / F.col("sxx"))
     b = 1 + F.col("s")
     return g.select("a", "b", "hedge", F.try_divide(F.col("s"), se).alias("adf_t"), F.when((b > 0) & (b < 1), -math.log(2) / F.ln(b)).alias("half_life"), "n")
+
+
+def earlier_share(x: str, n: int) -> Column:
+    """Share of the n - 1 values before a row that are below its own, equal ones half; null until n values are there."""
+    past = F.collect_list(x).over(R.series().rowsBetween(-(n - 1), -1))
+    below, upto = F.size(F.filter(past, lambda v: v < F.col(x))), F.size(F.filter(past, lambda v: v <= F.col(x)))
+    return F.when(F.col(x).isNotNull() & (F.size(past) == n - 1), (below + upto + (below < upto).cast("int")) / 2 / (n - 1))
+
+
+def spread_analytics(df: DataFrame, n: int = 20, history: int = 100) -> DataFrame:
+    """A bar's range as its spread in basis points, with momentum, z-score and its place among the `history` - 1 before it."""
+    df = df.withColumn("spread_bps", F.try_divide(F.col("high") - F.col("low"), (F.col("high") + F.col("low")) / 2) * 10_000)
+    return df.withColumns({"spread_momentum": R.change("spread_bps", 5), "spread_z": R.zscore("spread_bps", n), "spread_place": earlier_share("spread_bps", history)})
+
+
+def toxicity(df: DataFrame, n: int = 20) -> DataFrame:
+    """0.4 flow imbalance, 0.3 place of illiquidity and 0.3 place of the deviation of absolute returns; 0.5 where one is unknown."""
+    at = F.coalesce(F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5))
+    df = df.withColumns({"buy": F.col("volume") * at, "sell": F.col("volume") * (1 - at), "move": F.abs(R.pct("close"))})
+    buy, sell = R.total("buy", n), R.total("sell", n)
+    df = df.withColumns({"imbalance": F.try_divide(F.abs(buy - sell), buy + sell), "illiquidity": F.round(F.try_divide("move", F.try_divide("volume", R.mean("volume", n))), 12), "clustering": F.round(R.std("move", n), 12)})
+    return df.withColumn("toxicity", F.coalesce(0.4 * F.col("imbalance") + 0.3 * earlier_share("illiquidity", n) + 0.3 * earlier_share("clustering", n), F.lit(0.5)))
+
+
+def reverting(df: DataFrame, n: int = 100, least: float = 5.0, most: float = 50.0) -> DataFrame:
+    """Slope of changes on levels over the n rows before a row, and whether its half-life is between the bounds."""
+    before = R.lag("close")
+    df = df.withColumns({"level": before, "delta": F.col("close") - before, "k": F.row_number().over(R.W)})
+    frame = R.series().rowsBetween(-(n - 1), -1)
+    slope = F.try_divide(F.covar_samp("delta", "level").over(frame), F.var_pop("level").over(frame))
+    df = df.withColumn("slope", F.when(F.col("k") > n, slope))
+    half = F.when(F.col("slope") < 0, -math.log(2) / F.col("slope"))
+    return df.withColumn("reverting", F.coalesce((half > least) & (half < most), F.lit(False)).cast("long"))
