@@ -16,6 +16,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 #: Odd, so that results are no ties of the rounding.
 BASE = 5.01372913
+ETA = 0.10372913
 HOURS = {0: 1.5, 1: 1.2, 15: 1.3}
 
 
@@ -32,7 +33,7 @@ def _fills(s, d):
 FI = """WITH f AS (SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS line, l_quantity AS q, l_extendedprice / nullif(l_quantity, 0) AS p, CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE 1.0 END::DOUBLE AS side,
  sum(l_quantity) OVER (PARTITION BY l_partkey) AS adv, l_discount + 0.01::DOUBLE AS sigma, l_tax * 10 + 0.4::DOUBLE AS vr, l_orderkey % 24 AS hour FROM lineitem),
  g AS (SELECT *, CASE WHEN side > 0 THEN p * 1.00051237::DOUBLE ELSE p / 1.00051237::DOUBLE END AS fill, p * (1 + CASE WHEN line % 2 = 0 THEN 0.0002 ELSE 0.001 END::DOUBLE * side) AS lim,
- 1000 * (q / 0.5) / adv AS tb, 500 * q / adv AS pb, least(50, greatest(1, 5.01372913 * greatest(0.5, 1 + (sigma / 0.02 - 1)) * CASE WHEN vr > 0 THEN greatest(0.5, 1 + 0.5 * (1 / vr - 1)) ELSE 1 END)) AS sp0,
+ 1037.2913::DOUBLE * (q / 0.5) / adv AS tb, 500 * q / adv AS pb, least(50, greatest(1, 5.01372913 * greatest(0.5, 1 + (sigma / 0.02 - 1)) * CASE WHEN vr > 0 THEN greatest(0.5, 1 + 0.5 * (1 / vr - 1)) ELSE 1 END)) AS sp0,
  least(50, greatest(1, 5.01372913 * greatest(0.5, 1 + (sigma / 0.02 - 1)) * CASE WHEN vr > 0 THEN greatest(0.5, 1 + 0.5 * (1 / vr - 1)) ELSE 1 END * CASE hour WHEN 0 THEN 1.5 WHEN 1 THEN 1.2 WHEN 15 THEN 1.3 ELSE 1.0 END)) AS sp FROM f)
 """
 
@@ -56,7 +57,7 @@ def _simple():
 
 def _linear():
     quantity, adv, price, side, sigma, ratio = _c("quantity", "adv", "price", "side", "sigma", "volume_ratio")
-    temporary, permanent = K.impact(quantity, 0.5, adv)
+    temporary, permanent = K.impact(quantity, 0.5, adv, ETA)
     total = temporary + permanent + K.spread(sigma, ratio, BASE) / 2
     return {"temporary_bps": temporary, "permanent_bps": permanent, "total_bps": total, "execution_price": K.shifted(price, side, total), "participation": quantity / (adv * 0.5)}
 
@@ -68,7 +69,7 @@ def _effective():
 
 def _cost_parts():
     quantity, adv, price, side, sigma, ratio = _c("quantity", "adv", "price", "side", "sigma", "volume_ratio")
-    value, temporary = quantity * price, K.impact(quantity, 0.5, adv)[0]
+    value, temporary = quantity * price, K.impact(quantity, 0.5, adv, ETA)[0]
     half = K.spread(sigma, ratio, BASE) / 2
     return {"commission": value * 0.001, "spread_cost": value * half / 10_000, "impact_cost": value * temporary / 10_000, "total_bps": 10 + half + temporary, "value": value, "effective_price": K.shifted(price, side, 10 + half + temporary)}
 
@@ -79,7 +80,7 @@ on_fills("q_2_12_5_spread_model", lambda: {"spread_bps": K.spread(*_c("sigma", "
 on_fills("q_2_12_59_effective_price", _effective, {"effective_price": "p * (1 + side * (sp0 / 2 + 50000 * (q / adv)) / 10000)"})
 on_fills("q_2_12_60_cost_breakdown", _cost_parts, {"commission": "q * p * 0.001", "spread_cost": "q * p * sp0 / 20000", "impact_cost": "q * p * tb / 10000", "total_bps": "10 + sp0 / 2 + tb"})
 on_fills("q_2_11_29_fill_fields", _cost_parts, {"value": "q * p", "effective_price": "p * (1 + side * (10 + sp0 / 2 + tb) / 10000)"})
-on_fills("q_2_12_61_impact_components", lambda: dict(zip(("expected", "variance"), K.impact_cost(F.col("quantity"), 0.5, *_c("adv", "sigma")))), {"expected": "(pb + tb * 0.5) / 10000", "variance": "pow(sigma * q, 2) * 0.5 / 3"})
+on_fills("q_2_12_61_impact_components", lambda: dict(zip(("expected", "variance"), K.impact_cost(F.col("quantity"), 0.5, *_c("adv", "sigma"), ETA))), {"expected": "(pb + tb * 0.5) / 10000", "variance": "pow(sigma * q, 2) * 0.5 / 3"})
 on_fills("q_2_12_58_participation_price", lambda: {"fill": K.shifted(*_c("price", "side"), K.capped_impact(F.col("quantity"), *_c("adv", "sigma")) * 10_000 + 5)}, {"fill": "p * (1 + side * (least(sigma * sqrt(q / adv), 0.2) * 10000 + 5) / 10000)"})
 on_fills("q_2_12_62_execution_price", lambda: {"execution_price": F.col("price") + F.col("side") * F.col("price") * F.col("sigma") / 97}, {"execution_price": "p + side * p * sigma / 97"})
 on_fills("q_2_4_118_position_impact", lambda: {"impact": K.capped_impact(F.col("quantity"), *_c("adv", "sigma"))}, {"impact": "least(sigma * sqrt(q / adv), 0.2)"})

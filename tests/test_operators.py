@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import rolling as R
 from tapewright.functions.ema import BLOCK, alpha, ema
 from tapewright.functions.ordered import fold
-from tapewright.operators import book, joins, momentum, recurrences, statistics, trend, volatility
+from tapewright.operators import book, checks, costs, evaluation, joins, momentum, recurrences, statistics, trend, volatility
 from tapewright.streaming.incremental import Features
 
 
@@ -132,3 +132,25 @@ def test_windows_are_made_on_use():
 
     code = "import tapewright.registry as r; assert len(r.queries()) > 200; import pyspark; assert pyspark.SparkContext._active_spark_context is None"
     assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
+
+
+def test_transitions_and_ages(spark):
+    rows = [("x", i, s) for i, s in enumerate("aabaab")]
+    df = spark.createDataFrame(rows, "symbol string, ts long, state string")
+    got = {(r.state, r.after): (r.n, round(r.p, 6)) for r in evaluation.transitions(df).collect()}
+    assert got == {("a", "a"): (2, 0.5), ("a", "b"): (2, 0.5), ("b", "a"): (1, 1.0)}
+    assert [r.age for r in evaluation.regime_age(df).orderBy("ts").collect()] == [0, 1, 0, 0, 1, 0]
+    assert {r.state: r.mean_length for r in evaluation.regime_durations(df).collect()} == {"a": 2.0, "b": 1.0}
+
+
+def test_costs_by_hand(spark):
+    df = spark.createDataFrame([(100.0, 1.0, 0.0), (100.0, -1.0, 0.6)], "price double, side double, p double")
+    price, side, p = (F.col(c) for c in df.columns)
+    got = df.select(costs.simple_fill(price, side, 100.0), costs.shifted(price, side, F.lit(50.0)), costs.bet_size(p, side), costs.volatility_scaled(side, F.lit(0.6))).collect()
+    assert [tuple(round(x, 6) for x in r) for r in got] == [(101.0, 100.5, 0.0, 0.25), (99.009901, 99.5, -0.2, -0.25)]
+
+
+def test_checks_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "symbol string, ts timestamp, open double, high double, low double, close double, volume long")
+    for f in (checks.missing, checks.relations, checks.prices, checks.volumes, checks.time_gaps, checks.summary, checks.backtest_input, checks.quick, checks.possible_splits):
+        assert f(df).count() == 0
