@@ -1,7 +1,8 @@
 """From documents to packed training sequences, one operator after the other.
 
 Each stage reads what the one before wrote. Language identification drops documents whose language
-can't be told; SimHash keeps one document of each group of near-duplicates; secrets are redacted in
+can't be told; near-duplicate removal keeps one document of each
+group whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; secrets are redacted in
 place, so their documents stay; mixing repeats and cuts documents to the sources' target shares; and
 packing cuts them into the pieces of 1024-token sequences.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import langid, mixing, packing, secrets, simhash
+from tapewright.llm import jaccard, langid, mixing, packing, secrets
 from tapewright.llm.common import staged
 
 
@@ -19,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return jaccard.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,20 +22,24 @@ from tapewright.llm.components import connected_components
 MAX_CUTS = 6
 
 
+def shingle_hashes(words: list[bytes], shingle_words: int, seed: int) -> np.ndarray:
+    """XXH64 of every run of shingle_words words, or of all words if there are fewer."""
+    joined = b" ".join(words)
+    n = len(words) - shingle_words + 1
+    if n < 1:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    spans = zip((ends - sizes)[:n].tolist(), ends[shingle_words - 1 :].tolist(), strict=True)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[i:j], seed) for i, j in spans), np.uint64, n)
+
+
 def simhash(text: bytes, shingle_words: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit fingerprint of a UTF-8 text; 0 for a text without words."""
     words = text.lower().split()  # on bytes: A-Z only, and ASCII white space only
     if not words:
         return 0
-    joined = b" ".join(words)
-    n = len(words) - shingle_words + 1
-    if n < 1:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        spans = zip((ends - sizes)[:n].tolist(), ends[shingle_words - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(joined[i:j], seed) for i, j in spans), np.uint64, n)
+    hashes = shingle_hashes(words, shingle_words, seed)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over_half = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(over_half, bitorder="little").view("<u8")[0])
@@ -184,18 +188,3 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle_words: int = 3,
     named = staged(named.select("fp", F.coalesce("component", "root").alias("component_id")), "named")
     out = fps.join(named, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the near-duplicates of a document with a smaller doc_id.
-
-    Rows with one doc_id are one document and go or stay together; of rows that repeat a doc_id and
-    its text one stays. Rows whose doc_id is null stay.
-    """
-    found = staged(near_duplicates(docs, **options), "near")
-    later = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
