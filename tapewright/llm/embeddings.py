@@ -128,7 +128,7 @@ def _compare(shared: int, cosine: float):
     return each
 
 
-def similar_links(reps: DataFrame, cosine: float = 0.95, nearest: int = 8, shared: int = 4, sample: int = 4096, chunk_rows: int = 512) -> DataFrame:
+def similar_links(reps: DataFrame, cosine: float = 0.95, nearest: int = 12, shared: int = 4, sample: int = 4096, chunk_rows: int = 512) -> DataFrame:
     """reps: distinct (root, copies, v). (a, b, n): pieces of the links of a, and an edge to b, perhaps a itself."""
     spark = reps.sparkSession
     count = reps.count()

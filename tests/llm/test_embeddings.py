@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 
@@ -53,6 +55,24 @@ def test_recall_on_the_table(spark):
     assert sum(r.n_links for r in got) >= 0.99 * sum(links.values())
 
 
+@pytest.mark.parametrize("wanted", [128, 1024, 4096])
+def test_recall_of_planted_pairs(wanted):
+    """Pairs at cosine 0.95 to 0.96, with the defaults of the query."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.normal(size=x.shape)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.95, 0.96, (len(x), 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * other
+    refs = embeddings.pivots(list(rng.normal(size=(wanted, 64))), wanted)[64]
+    given = {k: p.default for k, p in inspect.signature(embeddings.similar_links).parameters.items()}
+    a, b = (embeddings.described(v, refs, given["nearest"]) for v in (x, y))
+    found = [len(np.intersect1d(p, q)) >= given["shared"] for p, q in zip(a, b)]
+    assert len(refs) >= wanted * 0.95 and np.mean(found) > 0.99, (len(refs), np.mean(found))
+
+
 def test_empty_and_repeated_rows(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.1])], "vec_id long, embedding array<double>")
     got = sorted((str(r.vec_id), r.n_links, r.component_id) for r in embeddings.near_duplicates(frame.where("vec_id = 1")).collect())
