@@ -4,7 +4,7 @@ Each stage reads what the one before wrote. Language identification drops docume
 can't be told; near-duplicate removal keeps one document of each
 group whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; secrets are redacted in
 place, so their documents stay; mixing repeats and cuts documents to the sources' target shares; and
-packing cuts them into the pieces of 1024-token sequences.
+packing cuts them into the pieces of 1024-token sequences, each with its token ids.
 """
 
 from __future__ import annotations
@@ -53,3 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def training_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The padded sequences that the pieces of run() make up."""
+    return packing.sequences(run(spark, sf_dir))

@@ -10,7 +10,6 @@ is put together first-fit on the driver: one row per length, at most C of them.
 from __future__ import annotations
 
 import base64
-import zlib
 from functools import cache
 
 import numpy as np
@@ -85,24 +84,39 @@ def cuts(n: int, capacity: int) -> list[int]:
     return out
 
 
+#: Tokens after which pieces are handed on.
+HANDED_TOKENS = 1_000_000
+
+
 def pieces(docs: DataFrame, capacity: int, ranks_path: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece; each document ends with end_id."""
+    """(doc_id, start, length, ids, doc_tokens) of every piece; each document ends with end_id.
+
+    ids: little-endian unsigned 32-bit integers.
+    """
     end = np.array([end_id], "<u4").tobytes()
+    names, types = ["doc_id", "start", "length", "ids", "doc_tokens"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+
+    def made(rows):
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def each(batches):
         encode = encoder(ranks_path).encode
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 ids = encode(text.decode("utf-8", "replace")) + end
                 start, n = 0, len(ids) // 4
                 for length in cuts(n, capacity):
-                    rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
+                    rows.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], n))
                     start += length
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                held += n
+                if held >= HANDED_TOKENS:
+                    yield made(rows)
+                    rows, held = [], 0
+            yield made(rows)
 
-    return text_table(docs).mapInArrow(each, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return text_table(docs).mapInArrow(each, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
 def bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -131,7 +145,8 @@ def bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(docs: DataFrame, capacity: int = 1024, ranks_path: str | None = None, end_id: int = 0, parts: int = 256) -> DataFrame:
     """Packs every row of docs (doc_id long, text string) into sequences of at most `capacity` tokens.
 
-    Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
+    the piece's token ids as little-endian unsigned 32-bit integers; sequences() puts them together.
     A null or empty text is the end id alone. Very long texts become many pieces. Repeated rows are
     packed as often as they come. A null doc_id stays null. An empty table gives an empty result.
     Pieces of one length are ranked in `parts` parts, so a length that is very common is spread too.
@@ -143,6 +158,7 @@ def pack(docs: DataFrame, capacity: int = 1024, ranks_path: str | None = None, e
     cut = staged(pieces(docs, capacity, ranks_path, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = cut.sparkSession.createDataFrame(bins(counts, capacity), "length long, per_bin long, full long, base long, tail_sequence long, tail_offset long")
+    cut = cut.withColumn("ids_crc32", F.crc32("ids"))
     ranked = gapless_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], parts, "rank")
     placed = ranked.join(F.broadcast(table), "length")  # at most `capacity` rows
     bin_ = F.expr("rank div per_bin")
@@ -152,4 +168,27 @@ def pack(docs: DataFrame, capacity: int = 1024, ranks_path: str | None = None, e
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         F.when(whole, F.col("base") + bin_).otherwise(F.col("tail_sequence")).alias("sequence_id"),
         F.when(whole, at).otherwise(F.col("tail_offset") + at).alias("offset"),
+        "ids",
     )
+
+
+def sequences(packed: DataFrame, capacity: int = 1024, pad_id: int = 0) -> DataFrame:
+    """(sequence_id, ids, n_tokens) of the rows of pack(): `capacity` ids each, pad_id after the first n_tokens."""
+
+    def each(batches):
+        for batch in batches:
+            joined = [b"".join(p["ids"] for p in own) for own in batch.column("pieces").to_pylist()]
+            ids = np.full((len(joined), capacity), pad_id, np.int32)
+            for k, own in enumerate(joined):
+                ids[k, : len(own) // 4] = np.frombuffer(own, "<u4")
+            starts = pa.array(np.arange(len(joined) + 1, dtype=np.int32) * capacity)
+            n = pa.array([len(own) // 4 for own in joined], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.ListArray.from_arrays(starts, pa.array(ids.ravel())), n], ["sequence_id", "ids", "n_tokens"])
+
+    rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+    return rows.mapInArrow(each, "sequence_id long, ids array<int>, n_tokens long")
+
+
+def digest(packed: DataFrame) -> DataFrame:
+    """The pieces with the checksum of the ids that came with them in place of the ids."""
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

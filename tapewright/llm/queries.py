@@ -50,7 +50,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir))
+    return packing.digest(packing.pack(_documents(spark, sf_dir)))
 
 
 def queries() -> dict:

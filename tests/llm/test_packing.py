@@ -72,3 +72,21 @@ def test_nothing_and_null_ids(spark, no_documents, documents):
     assert packing.pack(no_documents).collect() == []
     nulls = documents.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))
     assert [(r.doc_id, r.length) for r in packing.pack(nulls).orderBy("start").collect()] == [(None, 2)]
+
+
+def test_sequences_hold_the_ids(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([(k, t * (k % 3 * 40 + 1)) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    packed = packing.pack(docs, capacity=100)
+    whole = {r.sequence_id: r for r in packing.sequences(packed, 100, pad_id=7).collect()}
+    rows = sorted(packed.collect(), key=lambda r: (r.doc_id, r.start))
+    assert whole.keys() == {r.sequence_id for r in rows}
+    got, filled = defaultdict(list), defaultdict(int)
+    for r in rows:
+        ids = whole[r.sequence_id].ids[r.offset : r.offset + r.length]
+        assert ids == np.frombuffer(r.ids, "<u4").tolist()
+        got[r.doc_id] += ids
+        filled[r.sequence_id] += r.length
+    for r in docs.collect():
+        assert got[r.doc_id] == [*plain.encode(r.text, add_special_tokens=False).ids, 0]
+    assert all(len(r.ids) == 100 and r.n_tokens == filled[k] and set(r.ids[r.n_tokens :]) <= {7} for k, r in whole.items())
