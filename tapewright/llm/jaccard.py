@@ -5,9 +5,10 @@ n - ceil(t * n) + 1 members of each, n being its size, in any order of members t
 sets. Only those members become keys. The order puts shingles that a sample shows to be common last,
 so that keys are rare; what the sample holds changes the work, never the result.
 
-Sets that share a key are first compared with one set of the key, and what that links needs no
+Where many sets share a key, they are first compared with one of them, and what that links needs no
 further comparison: a large group of near copies costs one comparison for each. Then the pairs that
-aren't connected yet are compared, all of them.
+aren't connected yet are compared, all of them. Pairs that can't be similar are left out by bounds
+first: sets differ in no fewer members than their parity bits do.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from tapewright.llm.simhash import shingle_hashes
 
 #: One text of so many is in the sample, a shingle of so many texts there is common, and at most so many are put last.
 SAMPLED, COMMON, COMMON_KEPT = 8, 4, 100_000
-#: Rounds in which the sets of a key are compared with one of them.
-ROUNDS = 2
+#: Rounds in which the sets of a key are compared with one of them, if there are more than so many.
+ROUNDS, MANY = 2, 32
+#: Words of 64 parity bits of a set.
+PARITY = 16
 
 
 def signature(text: bytes) -> int:
@@ -42,6 +45,12 @@ def shingle_set(text: bytes, shingle_words: int, seed: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, shingle_words, seed)) if words else np.empty(0, np.uint64)
 
 
+def parity(members: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY parts of the members whether their number is odd, as signed longs."""
+    odd = np.bincount((members % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def keys(members: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first members of a set; common: sorted hashes that come last, by rank."""
     n = len(members)
@@ -83,7 +92,7 @@ def _common(texts: DataFrame, shingle_words: int, seed: int) -> tuple[np.ndarray
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
 
 
-def _verified(found: DataFrame, docs: DataFrame, fps: DataFrame, similarity: float, shingle_words: int, seed: int) -> DataFrame:
+def _verified(found: DataFrame, docs: DataFrame, roots: DataFrame, similarity: float, shingle_words: int, seed: int) -> DataFrame:
     """The pairs (a, b) of signatures whose shingle sets are similar enough."""
 
     def each(batches):
@@ -92,9 +101,14 @@ def _verified(found: DataFrame, docs: DataFrame, fps: DataFrame, similarity: flo
             sets = [shingle_set(t, shingle_words, seed).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([signature(t) for t in texts], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sign", "members"])
 
-    found = staged(found.distinct(), "candidates")
+    both = found.distinct()
+    for c in "ab":
+        both = both.join(roots.select(F.col("sign").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    differing = F.expr(" + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(PARITY)))
+    most = (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    found = staged(both.where(differing <= most).select("a", "b"), "candidates")
     nodes = found.select(F.col("a").alias("sign")).union(found.select("b")).distinct()
-    ids = fps.join(nodes, "sign").groupBy("sign").agg(F.min("doc_id").alias("doc_id"))
+    ids = roots.join(nodes, "sign", "left_semi").select(F.col("root").alias("doc_id"))
     texts = text_table(docs).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     sets = staged(texts.mapInArrow(each, "sign long, members array<long>").dropDuplicates(["sign"]), "sets")
     both = found.join(sets.select(F.col("sign").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("sign").alias("b"), F.col("members").alias("y")), "b")
@@ -107,16 +121,16 @@ def _components(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """rows with the component of each signature, without keys whose sets are all connected."""
     parts = connected_components(edges)
     named = rows.drop("part").join(parts, rows["sign"] == parts["node"], "left").withColumn("part", F.coalesce("component", "sign")).drop("node", "component")
-    return _open(staged(named, "named"))
+    return staged(_open(staged(named, "named"), "part"), "open")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """rows of the keys that more than one component has."""
-    split = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
-    return staged(rows.join(split.select("key"), "key", "left_semi"), "open")
+def _open(rows: DataFrame, part: str) -> DataFrame:
+    """rows of the keys that more than one `part` has."""
+    split = rows.groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low != high")
+    return rows.join(split.select("key"), "key", "left_semi")
 
 
-def similar_pairs(docs: DataFrame, fps: DataFrame, similarity: float, shingle_words: int, seed: int) -> DataFrame:
+def similar_pairs(docs: DataFrame, roots: DataFrame, similarity: float, shingle_words: int, seed: int) -> DataFrame:
     """Edges (a, b) of signatures that connect all texts of docs with similar shingle sets."""
     texts = text_table(docs)
     common, rank = _common(texts, shingle_words, seed)
@@ -128,23 +142,27 @@ def similar_pairs(docs: DataFrame, fps: DataFrame, similarity: float, shingle_wo
         return first.view(np.int64), np.full(len(first), len(members)), len(members) - np.arange(len(first))
 
     rows = texts.select("text").mapInArrow(_each_text(make, ["key", "size", "rest"]), "sign long, key long, size long, rest long")
-    rows = staged(rows.select("key", "sign", F.col("size").cast("int"), F.col("rest").cast("int")), "keys").withColumn("part", F.col("sign"))
-    rows = staged(_open(rows).dropDuplicates(["key", "sign"]), "keyed")
-    # Sets of these sizes, of which no member before this key is shared, may still share enough.
-    may = F.least("rest", "rest2") * (1 + similarity) >= (F.col("size") + F.col("size2")) * similarity - 1e-6
-    pair = F.least("sign", "sign2").alias("a"), F.greatest("sign", "sign2").alias("b")
+    rows = staged(rows.select("key", "sign", F.col("size").cast("int"), F.col("rest").cast("int")), "keys")
+    rows = staged(_open(rows, "sign").dropDuplicates(["key", "sign"]).withColumn("part", F.col("sign")), "keyed")
+
+    def compared(pairs):
+        # Sets of these sizes, of which no member before this key is shared, may still share enough.
+        may = F.least("rest", "rest2") * (1 + similarity) >= (F.col("size") + F.col("size2")) * similarity - 1e-6
+        pairs = pairs.where(may).select(F.least("sign", "sign2").alias("a"), F.greatest("sign", "sign2").alias("b"))
+        return _verified(pairs, docs, roots, similarity, shingle_words, seed)
+
+    own = ("sign", "size", "rest", "part")
     edges = None
     for k in range(ROUNDS):
-        one = rows.groupBy("key").agg(F.min_by(F.struct("sign", "part"), F.xxhash64(F.lit(k), "sign")).alias("one"))
-        found = rows.join(one, "key").where("part != one.part").select(F.least("sign", "one.sign").alias("a"), F.greatest("sign", "one.sign").alias("b"))
-        near = _verified(found, docs, fps, similarity, shingle_words, seed)
+        one = F.min_by(F.struct(*own), F.xxhash64(F.lit(k), "sign")).alias("one")
+        many = staged(rows.groupBy("key").agg(one, F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY), "many")
+        if many.isEmpty():
+            break
+        near = compared(rows.join(many.select("key", *[F.col(f"one.{c}").alias(f"{c}2") for c in own]), "key").where("part != part2"))
         edges = near if edges is None else edges.union(near)
         rows = _components(edges, rows)
-        if rows.isEmpty():
-            return edges
-    other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("sign", "size", "rest", "part")])
-    found = rows.join(other, "key").where((F.col("part") < F.col("part2")) & may).select(*pair)
-    return edges.union(_verified(found, docs, fps, similarity, shingle_words, seed))
+    near = compared(rows.join(rows.select("key", *[F.col(c).alias(f"{c}2") for c in own]), "key").where("part < part2"))
+    return near if edges is None else edges.union(near)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, seed: int = 42) -> DataFrame:
@@ -156,15 +174,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int
 
     def each(batches):
         for batch in batches:
-            signs = [signature(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(signs, pa.int64())], ["doc_id", "sign"])
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            sets = [shingle_set(t, shingle_words, seed) for t in texts]
+            columns = [pa.array([signature(t) for t in texts], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "sign", "size", "bits"])
 
     docs = docs.where("doc_id is not null")
-    fps = staged(text_table(docs).mapInArrow(each, "doc_id long, sign long"), "signs")
-    roots = staged(fps.groupBy("sign").agg(F.min("doc_id").alias("root")), "roots")
-    edges = similar_pairs(docs, fps, similarity, shingle_words, seed)
+    fps = staged(text_table(docs).mapInArrow(each, "doc_id long, sign long, size int, bits array<long>"), "signs")
+    roots = staged(fps.groupBy("sign").agg(F.min("doc_id").alias("root"), F.first("size").alias("size"), F.first("bits").alias("bits")), "roots")
+    edges = similar_pairs(docs, roots, similarity, shingle_words, seed)
     for c in ("a", "b"):
-        edges = edges.join(roots, edges[c] == roots["sign"]).drop(c, "sign").withColumnRenamed("root", c)
+        edges = edges.join(roots.select("sign", "root"), F.col(c) == F.col("sign")).drop(c, "sign").withColumnRenamed("root", c)
     parts = connected_components(edges)
     named = staged(roots.join(parts, roots["root"] == parts["node"], "left").select("sign", F.coalesce("component", "root").alias("component_id")), "named")
     return fps.join(named, "sign").select("doc_id", "component_id")
