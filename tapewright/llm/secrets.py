@@ -1,10 +1,9 @@
 """Secret scans: assignment-aware lexing of source and configuration syntax.
 
-Besides three fixed patterns, every `name = value`, `name: value`, `"name": value` and
-`name => value` is lexed into a name and an expression of literals and names. Constants are carried
-from one assignment to the next, so a secret that is put together from parts, or passed on through
-a harmlessly named constant, is reported where its literals stand. Whether a literal is reported
-depends on how sensitive the target's name is and on what the literal looks like.
+Besides three fixed patterns, texts are lexed into name-literal pairs (`lexing`). Constants are
+carried from one assignment to the next, so a secret that is put together from parts, or passed on
+through a harmlessly named constant, is reported where its literals stand. Whether literals are
+reported depends on how sensitive the target's name is and on what they look like together.
 """
 
 from __future__ import annotations
@@ -12,12 +11,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import text_table
+from tapewright.llm.lexing import Expression, Lexer
 
 #: Kinds of spans, in the order in which those with equal starts are listed. The first three are the fixed patterns.
 KINDS = ("assign", "access", "hex", "literal")
@@ -30,7 +31,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that are long enough
 STEMS = {
     "password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3, "token": 2, "apikey": 3, "api_key": 3, "api-key": 3,
     "accesskey": 3, "access_key": 3, "access-key": 3, "privatekey": 3, "private_key": 3, "private-key": 3, "credential": 2,
-    "auth": 1, "signing_key": 3, "encryption_key": 3, "client_key": 2, "connection_string": 2,
+    "auth": 1, "authorization": 2, "signing_key": 3, "encryption_key": 3, "client_key": 2, "connection_string": 2,
 }
 #: Literals that only hold a place.
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "token", "none", "null", "true", "false", "undefined", "redacted", "todo", "test", "xxxxxxxx", "your_password", "your_token", "your_api_key"}
@@ -38,12 +39,10 @@ STEM = re.compile("|".join(map(re.escape, sorted(STEMS, key=len, reverse=True)))
 STEM_BYTES = tuple(s.encode() for s in STEMS)
 ASSIGN_BYTES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-OPERATOR = re.compile(r"=>|:=|[:=]")
-NAME_BEFORE = re.compile(r"""(?:\[\x20*)?["']?([A-Za-z_][A-Za-z0-9_.\-]*)["']?(?:\x20*\])?[\x20\t]*\Z""")
-OPERAND = re.compile(r"""[\x20\t]*(?:[rbuf]{0,2}(?P<q>["'])(?P<text>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[^\s"'`,;(){}\[\]+#<>]+))""")
-JOIN = re.compile(r"[\x20\t]*\+|(?=[\x20\t]*[\"'])")
-#: Longest name looked for before an operator, and most operands of one expression.
-NAME_CHARS, OPERANDS = 100, 64
+#: Beginnings of literals that stand for something else.
+HOLDERS = ("${", "<", "{{", "%(", "http://", "https://")
+#: Length from which on longer values weigh the same.
+MOST_CHARS = 1_000_000
 
 _HEX_BYTES = bytes(ord("h") if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 
@@ -60,59 +59,80 @@ def name_weight(name: str) -> int:
     return max((STEMS[m.lower()] for m in STEM.findall(name)), default=0)
 
 
-def literal_weight(value: str) -> float:
-    """0 to 3: how much the value looks like a secret: its length, its kinds of characters and its entropy."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or value.startswith(("${", "<", "{{", "%(", "http://", "https://")) or any(c.isspace() for c in value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    if kinds < 2 or entropy < 2.0:
-        return 0.0
-    return min(3.0, (kinds - 1) * 0.5 + min(len(value), 32) / 16 + (entropy - 2) / 2)
+@dataclass
+class Looks:
+    """What a value looks like: its length (it stops at MOST_CHARS), shares of its characters, whether it has blanks, its first literal."""
+
+    length: float = 0.0
+    chars: dict[str, float] = field(default_factory=dict)
+    blank: bool = False
+    quoted: bool = True
+    first: str | None = None
+    whole: bool = True  # it is one literal
+
+    @classmethod
+    def of(cls, text: str, quoted: bool) -> Looks:
+        n = len(text)
+        return cls(min(n, MOST_CHARS), {c: k / n for c, k in Counter(text).items()}, any(map(str.isspace, text)), quoted, text)
+
+    def with_(self, more: Looks) -> Looks:
+        if not more.length:
+            return self
+        if not self.length:
+            return more
+        n = self.length + more.length
+        chars = {c: (self.chars.get(c, 0.0) * self.length + more.chars.get(c, 0.0) * more.length) / n for c in self.chars.keys() | more.chars.keys()}
+        return Looks(min(n, MOST_CHARS), chars, self.blank or more.blank, self.quoted and more.quoted, self.first, False)
+
+    def weight(self) -> float:
+        """0 to 3: how much the value looks like a secret: its length, its kinds of characters and its entropy."""
+        if self.length < 6 or self.blank or self.first.startswith(HOLDERS) or (self.whole and self.first.lower() in PLACEHOLDERS):
+            return 0.0
+        entropy = -sum(p * math.log2(p) for p in self.chars.values())
+        kinds = sum(any(map(f, self.chars)) for f in (str.islower, str.isupper, str.isdigit)) + (not all(map(str.isalnum, self.chars)))
+        if kinds < 2 or entropy < 2.0 or not (self.quoted or any(map(str.isdigit, self.chars))):
+            return 0.0  # a bare value without a digit is a word of prose, or refers to something else
+        return min(3.0, (kinds - 1) * 0.5 + min(self.length, 32) / 16 + (entropy - 2) / 2)
+
+
+def _looks(text: str, asked: Expression, known: dict, parts: dict) -> Looks:
+    """Looks of an expression and of all that it leads to, each summed up once; one that leads to itself adds nothing there."""
+    stack = [asked]
+    while stack:
+        e = stack[-1]
+        if e not in parts:
+            parts[e] = e.parts()
+            stack += [o for o in parts[e][1] if o not in parts]
+            continue
+        stack.pop()
+        if e not in known:
+            looks = Looks()
+            for i, j, quoted in parts[e][0]:
+                looks = looks.with_(Looks.of(text[i:j], quoted))
+            for o in parts[e][1]:
+                looks = looks.with_(known.get(o, Looks()))
+            known[e] = looks
+    return known[asked]
 
 
 def lexed_spans(text: str, least: float = 4.0) -> list[tuple[int, int, int]]:
-    """Spans of literals that an assignment, or constants carried to one, gives to a sensitive name."""
-    known: dict[str, tuple[str, tuple]] = {}
-    out: set[tuple[int, int, int]] = set()
-    done = 0
-    for op in OPERATOR.finditer(text):
-        if op.start() < done:
-            continue  # inside an expression that was read
-        name = NAME_BEFORE.search(text, max(0, op.start() - NAME_CHARS), op.start())
-        if not name:
-            continue
-        value, parts, quoted, at = "", (), True, op.end()
-        for _ in range(OPERANDS):
-            m = OPERAND.match(text, at)
-            if not m:
-                break
-            if m["q"]:
-                value, parts = value + m["text"], (*parts, m.span("text"))
-            elif m["bare"] in known:
-                value, parts = value + known[m["bare"]][0], parts + known[m["bare"]][1]
-            else:
-                if parts:
-                    break
-                bare = m["bare"].rstrip(".:")
-                value, parts, quoted = bare, ((m.start("bare"), m.start("bare") + len(bare)),), False
-            at = m.end()
-            join = JOIN.match(text, at)
-            if not join or not quoted:
-                break
-            at = join.end()
-        if not parts:
+    """Spans of literals that a pair, or constants carried to one, gives to a sensitive name."""
+    known, parts = {}, {}
+    out, seen = set(), set()
+    for name, value in Lexer(text, lambda i, j: bool(STEM.search(text, i, j))).pairs:
+        weight = name_weight(name)
+        if not weight or value in seen:
             continue
-        if quoted:
-            known[name[1]] = (value, parts)
-            done = at
-        weight = name_weight(name[1])
-        found = literal_weight(value)
-        if not quoted and not any(c.isdigit() for c in value):
-            continue  # a word of prose, or a reference to something else
-        if weight and found and weight + found >= least + (not quoted) * 0.25:
-            out.update((i, 3, j) for i, j in parts if j > i)
+        looks = _looks(text, value, known, parts)
+        found = looks.weight()
+        if found and weight + found >= least + (not looks.quoted) * 0.25:
+            stack = [value]
+            while stack:
+                e = stack.pop()
+                if e not in seen:
+                    seen.add(e)
+                    out.update((i, 3, j) for i, j, _ in parts[e][0] if j > i)
+                    stack += parts[e][1]
     return sorted(out)
 
 
@@ -180,15 +200,13 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     def each(batches):
         for batch in batches:
-            k = batch.schema.get_field_index("text")
-            new = [cleaned(t) for t in batch.column(k).cast(pa.binary()).to_pylist()]
-            columns = batch.columns
-            columns[k] = pa.array(new, pa.binary()).cast(batch.column(k).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    columns = docs.columns
-    found = docs.withColumn("_chars", F.char_length("text")).mapInArrow(each, docs.withColumn("_chars", F.char_length("text")).schema)
-    if "n_chars" in columns:
-        now = F.char_length("text")
-        found = found.withColumn("n_chars", F.when(now != F.col("_chars"), now.cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*columns)
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            old = columns["text"].cast(pa.binary()).to_pylist()
+            new = [cleaned(t) for t in old]
+            columns["text"] = pa.array(new, pa.binary()).cast(columns["text"].type)
+            if "n_chars" in columns:
+                sizes = [c if a == b else len(b.decode("utf-8", "replace")) for a, b, c in zip(old, new, columns["n_chars"].to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+
+    return docs.mapInArrow(each, docs.schema)
