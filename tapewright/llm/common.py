@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not hasattr(spark, "_tapewright_dir"):
         spark._tapewright_dir = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -25,16 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, lost executors don't matter.
-
-    Once nothing refers to the shuffles behind df, asking the JVM to collect its garbage lets Spark
-    delete their files; otherwise they stay until the driver's heap fills up.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """Writes df to the shared folder and reads it again: lineage ends there, lost executors don't matter."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Empties tables that staged() gave and that nothing reads any more; call it after what was made of them is staged too."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(t.staged_at)
+
+
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no taken one equals, whatever its case."""
+    low, out = {t.lower() for t in taken}, []
+    for w in wanted:
+        while w.lower() in low:
+            w += "_"
+        low.add(w.lower())
+        out.append(w)
+    return out
 
 
 def text_table(df: DataFrame, *more: str) -> DataFrame:

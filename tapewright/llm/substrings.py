@@ -10,20 +10,23 @@ there depends; only symbols that depend on few words serve below.
 Every window of `window` words takes the highest symbol inside it as its anchor (ties: smallest
 name, then leftmost). Equal windows have equal anchors, so windows that occur twice are found where
 anchors, with the words around them, are shared; consecutive windows with one anchor are a stretch.
+Names only propose: what shares an anchor is verified on its words, by a 128-bit BLAKE2b digest of them.
 Stretches are compared as wholes first. Only where stretches share an anchor but differ, at the ends
 of repeats, are their windows compared one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import staged
+from tapewright.llm.common import release, staged
 
 #: Words before and after an anchor's start that a window must hold for the anchor to serve it.
 BEFORE, AFTER = 2, 6
@@ -34,9 +37,7 @@ PASS_BYTES = 2_000_000
 NO_ID = (1 << 63) - 1
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D], np.uint64)
-_WORD_BASE, _KEY_BASE, _RUN_BASE = 0x9E3779B97F4A7C13, 0xD1342543DE82EF95 | 3, 0xAF251AF3B0F025B5 ^ 6
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEY_BASE = 0xD1342543DE82EF95 | 3
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -67,15 +68,30 @@ class Stretch:
         return _mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * _ODD[4])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+class WordHashes(dict):
+    """Keyed hashes of words; those met before are kept, up to `most`."""
+
+    def __init__(self, key: int, most: int = 500_000):
+        super().__init__()
+        self.key, self.most = key, most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word, self.key)
+        return found
+
+
+@cache
+def _hashes(key: int) -> WordHashes:
+    return WordHashes(key)
+
+
+def word_hashes(texts: list[bytes], key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after the other, and the number of words of each text."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    space = _SPACE[data]
-    before = np.concatenate([[True], space[:-1]])
-    start, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    first = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
-    return Stretch(_BYTE[data], _WORD_BASE).of(start, end), np.diff(first)
+    of = _hashes(key).__getitem__
+    rows = [np.fromiter(map(of, text.split()), np.uint64) for text in texts]
+    return np.concatenate([np.empty(0, np.uint64), *rows]), np.fromiter(map(len, rows), np.int64, len(rows))
 
 
 def symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +124,12 @@ def symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         is_run = ~is_pair & (size > 1)
         made = np.where(is_pair, _mixed(sym[head] * _ODD[1] + sym[np.minimum(head + 1, n - 1)] * _ODD[2] + _ODD[0]), sym[head])
         made = np.where(is_run, _mixed(sym[head] * _ODD[2] + size.astype(np.uint64) * _ODD[1]), made)
-        left = np.where((head > 0) & np.concatenate([[False], joined])[head], low[np.maximum(head - 1, 0)], -far)
-        right = np.where((last < n - 1) & np.concatenate([joined, [False]])[last], high[np.minimum(last + 1, n - 1)], far)
+        # A symbol stays alone, and a run ends, because of its neighbours; an equal neighbour is in a pair, so that one's partner counts too.
+        near, next_ = np.maximum(head - 1, 0), np.minimum(last + 1, n - 1)
+        has, goes_on = np.concatenate([[False], joined])[head], np.concatenate([joined, [False]])[last]
+        left, right = np.where(has, low[near], -far), np.where(goes_on, high[next_], far)
+        left = np.where(has & (sym[near] == sym[head]), np.minimum(left, np.where(head > 1, low[np.maximum(head - 2, 0)], -far)), left)
+        right = np.where(goes_on & (sym[next_] == sym[last]), np.maximum(right, np.where(last < n - 2, high[np.minimum(last + 2, n - 1)], far)), right)
         low = np.where(is_pair, low[head], np.minimum(left, low[head]))
         high = np.where(is_pair, high[last], np.maximum(right, high[last]))
         sym, pos = made, pos[head]
@@ -145,20 +165,19 @@ def anchors(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
 
 
 def stretches(texts: list[bytes], window: int):
-    """Stretches of windows with one anchor: key, content hash, text number, first window in its text, windows."""
+    """Stretches of windows with one anchor: key, text number, first window in its text, windows."""
     words, counts = word_hashes(texts)
     doc = np.repeat(np.arange(len(texts)), counts)
     start, anchor = anchors(words, doc, window)
     if not len(start):
-        return [np.empty(0, np.int64)] * 5
+        return [np.empty(0, np.int64)] * 4
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(start)))
     s, a = start[first], anchor[first]
     key = Stretch(words, _KEY_BASE).of(a - BEFORE, a + AFTER)
-    content = Stretch(words, _RUN_BASE).of(s, s + n + window - 1)
     offset = np.cumsum(counts) - counts
-    return key.view(np.int64), content.view(np.int64), doc[s], s - offset[doc[s]], n
+    return key.view(np.int64), doc[s], s - offset[doc[s]], n
 
 
 def _passes(batch, *columns):
@@ -173,62 +192,87 @@ def _passes(batch, *columns):
             lo, size = i + 1, 0
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+#: What tells a document from all others: its id, and a digest of its text where the id alone doesn't.
+DOCUMENT = ["doc_id", "digest"]
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, digest, text), and whether a document may be there more than once."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    repeated = staged(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("again")), "repeated")
+    if repeated.isEmpty():
+        return rows.select("doc_id", F.lit(b"").alias("digest"), "text"), False
+    rows = rows.join(repeated, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("again"), F.unhex(F.md5("text"))).otherwise(F.lit(b"")).alias("digest"), "text"), True
 
 
 def _all_stretches(docs: DataFrame, window: int) -> DataFrame:
     def each(batches):
         for batch in batches:
-            for texts, ids in _passes(batch, "doc_id"):
-                key, content, doc, start, n = stretches(texts, window)
-                columns = [key, content, np.array(ids, np.int64)[doc], start.astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "h", "doc_id", "s", "n"])
+            for texts, ids, digests in _passes(batch, *DOCUMENT):
+                key, doc, start, n = stretches(texts, window)
+                columns = [key, np.array(ids, np.int64)[doc], pa.array(digests, pa.binary()).take(pa.array(doc)), start.astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["k", *DOCUMENT, "s", "n"])
 
-    return docs.mapInArrow(each, "k long, h long, doc_id long, s int, n int")
+    return docs.mapInArrow(each, "k long, doc_id long, digest binary, s int, n int")
 
 
-def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, doc_id, s) of every window in the stretches wanted: (doc_id, s, n)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias("w"))  # a text's own stretches
+def content(words: list[bytes], start: int, end: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
+
+
+def _verified(docs: DataFrame, wanted: DataFrame, window: int, single: bool) -> DataFrame:
+    """(k, h, doc_id, digest, s, n): stretches wanted (k, doc_id, digest, s, n) with the digest h of their words; single: each of their windows."""
+    lists = wanted.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("s", "n", "k")).alias("w"))  # a text's own stretches
 
     def each(batches):
         for batch in batches:
-            for texts, ids, own in _passes(batch, "doc_id", "w"):
-                words, counts = word_hashes(texts)
-                offset = np.cumsum(counts) - counts
-                s = [np.arange(x["s"], x["s"] + x["n"]) + o for o, w, c in zip(offset, own, counts, strict=True) for x in w if x["s"] + x["n"] + window - 1 <= c]
-                if not s:
-                    continue
-                s = np.unique(np.concatenate(s))
-                doc = np.searchsorted(offset, s, side="right") - 1
-                hashes = [Stretch(words, b).of(s, s + window).view(np.int64) for b in (_KEY_BASE, _RUN_BASE)]
-                columns = [*hashes, np.array(ids, np.int64)[doc], (s - offset[doc]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc_id", "s"])
+            for texts, ids, digests, own in _passes(batch, *DOCUMENT, "w"):
+                rows = []
+                for text, doc_id, digest, w in zip(texts, ids, digests, own, strict=True):
+                    words = text.split()
+                    if single:
+                        starts = sorted({i for x in w for i in range(x["s"], x["s"] + x["n"])})
+                        rows += [(0, content(words, i, i + window), doc_id, digest, i, 1) for i in starts]
+                    else:
+                        rows += [(x["k"], content(words, x["s"], x["s"] + x["n"] + window - 1), doc_id, digest, x["s"], x["n"]) for x in w]
+                if rows:
+                    types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["k", "h", *DOCUMENT, "s", "n"])
+
+    return docs.join(lists, DOCUMENT).mapInArrow(each, "k long, h binary, doc_id long, digest binary, s int, n int")
 
-    return docs.join(lists, "doc_id").mapInArrow(each, "h1 long, h2 long, doc_id long, s int")
 
+def _firsts(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, d0, g0, s0, n0, c): the first of each kind of rows, and how many there are."""
+    first = rows.groupBy(*by).agg(F.min(F.struct(*DOCUMENT, "s", "n")).alias("first"), F.count(F.lit(1)).alias("c"))
+    return first.select(*by, F.col("first.doc_id").alias("d0"), F.col("first.digest").alias("g0"), F.col("first.s").alias("s0"), F.col("first.n").alias("n0"), "c")
 
-def _later(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of rows (by, doc_id, s, n): those that aren't the first of their kind, and the first ones."""
-    first = rows.groupBy(*by).agg(F.min(F.struct("doc_id", "s", "n")).alias("first"), F.count(F.lit(1)).alias("c"))
-    first = staged(first.select(*by, "first.*", "c"), "first")
-    names = first.where("c > 1").select(*by, F.col("doc_id").alias("d0"), F.col("s").alias("s0"))
-    later = rows.join(names, by).where("doc_id != d0 or s != s0").select("doc_id", "s", "n")
-    return later, first.select("doc_id", "s", "n")
+
+def _later(rows: DataFrame, firsts: DataFrame, *by: str) -> DataFrame:
+    """The rows that aren't the first of their kind."""
+    return rows.join(firsts.where("c > 1"), [*by]).where("doc_id != d0 or digest != g0 or s != s0").select(*DOCUMENT, "s", "n")
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, s, n): windows s to s + n - 1 of a text, each of which also starts earlier."""
+    """(doc_id, digest, s, n): windows s to s + n - 1 of a text, each of which also starts earlier. docs: distinct documents."""
     rows = staged(_all_stretches(docs, window), "stretches")
-    # Keys that occur once are gone after this; most are. The content hashes tell whether all stretches of a key are alike.
-    shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min(F.struct("doc_id", "s")).alias("f"))
-    shared = staged(shared.where("c > 1").select("k", (F.col("h0") != F.col("h1")).alias("mixed"), F.col("f.doc_id").alias("d0"), F.col("f.s").alias("s0")), "shared")
+    # Keys that occur once are gone after this; most are.
+    shared = staged(rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k"), "shared")
     found = staged(rows.join(shared, "k"), "found")
-    alike = found.where("not mixed and (doc_id != d0 or s != s0)").select("doc_id", "s", "n")
-    later, first = _later(found.where("mixed").select("k", "h", "doc_id", "s", "n"), ["k", "h"])
-    single = staged(_windows(docs, first, window).withColumn("n", F.lit(1)), "windows")
-    return alike.union(later).union(_later(single, ["h1", "h2"])[0])
+    release(rows, shared)
+    known = staged(_verified(docs, found, window, False), "known")
+    release(found)
+    firsts = staged(_firsts(known, "k", "h"), "firsts")
+    later = staged(_later(known, firsts, "k", "h"), "later")
+    release(known)
+    mixed = firsts.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("k")
+    wanted = firsts.join(mixed, "k").select("k", F.col("d0").alias("doc_id"), F.col("g0").alias("digest"), F.col("s0").alias("s"), F.col("n0").alias("n"))
+    single = staged(_verified(docs, wanted, window, True), "windows")
+    alone = staged(_firsts(single, "h"), "alone")
+    out = staged(later.union(_later(single, alone, "h")), "repeats")
+    release(firsts, later, single, alone)
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -238,12 +282,15 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     document at an earlier start; windows are judged on the input. Returns doc_id, n_words,
     n_removed and kept_text (kept words joined by one space) for every row. Null and empty texts,
     and those without words, have 0 words and an empty kept_text; texts shorter than a window keep
-    all. Rows with one doc_id count as one document: repeats of a row all get the same result. A
-    null doc_id comes after all others, and such rows count as one document. Texts of any length are
-    handled whole; extra columns are ignored; an empty table gives an empty result.
+    all. Rows that repeat a doc_id and its text are one document and get the same result; different
+    texts under one doc_id are documents in the order of their MD5 digests. Rows whose doc_id is
+    null come after all others, told apart and ordered likewise. Texts of any length are handled
+    whole; extra columns are ignored; an empty table gives an empty result.
     """
-    keyed = _keyed(docs)
-    lists = staged(repeats(keyed, window).groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias("w")), "lists")
+    keyed, repeated = _keyed(docs)
+    found = repeats(keyed.dropDuplicates(DOCUMENT) if repeated else keyed, window)
+    lists = staged(found.groupBy(*DOCUMENT).agg(F.collect_list(F.struct("s", "n")).alias("w")), "lists")
+    release(found)
 
     def each(batches):
         for batch in batches:
@@ -255,8 +302,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                     if w:
                         edge = np.zeros(n + 1, np.int64)
                         s = np.array([(x["s"], x["s"] + x["n"] + window - 1) for x in w], np.int64)
-                        np.add.at(edge, np.minimum(s[:, 0], n), 1)
-                        np.add.at(edge, np.minimum(s[:, 1], n), -1)
+                        np.add.at(edge, s[:, 0], 1)
+                        np.add.at(edge, s[:, 1], -1)
                         kept = np.cumsum(edge[:-1]) == 0
                         removed = n - int(kept.sum())
                         words = [words[i] for i in np.flatnonzero(kept)]
@@ -266,8 +313,32 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*arrays[:3], arrays[3].cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return keyed.join(lists, "doc_id", "left").mapInArrow(each, "doc_id long, n_words long, n_removed long, kept_text string")
+    return keyed.join(lists, DOCUMENT, "left").mapInArrow(each, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The same by plain windows.
+SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+), starts AS (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS s FROM words
+), windows AS (
+    SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS body FROM starts
+), later AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS k FROM windows) WHERE k > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later
+), places AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), kept AS (
+    SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS body FROM places p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id
+), counts AS (
+    SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM words d LEFT JOIN counts c USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
