@@ -174,7 +174,8 @@ def fit(counts: DataFrame, labels: DataFrame, sample_docs: int = 20_000, seed: i
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     known = known.orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(sample_docs)
-    rows = sorted(counts.join(known, "doc_id").select("quality", *COUNTS).limit(sample_docs).collect())
+    joined = counts.join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "quality", *COUNTS)
+    rows = sorted(joined.select("quality", *COUNTS).limit(sample_docs).collect())
     a = np.array([list(r) for r in rows], np.int64).reshape(len(rows), len(COUNTS) + 1)
     return grow(features(a[:, 1:]), a[:, 0])
 

@@ -47,6 +47,13 @@ def test_edge_cases(spark, documents, no_documents):
     assert all(r.kept != r.base_failed for r in rows)
 
 
+def test_words_that_defeat_polynomial_hashes(spark):
+    words = ["".join(x[bin(i).count("1") % 2] for i in range(2048)) for x in ("ab", "ba")]
+    text = " ".join(f"{w} k1 k2 k3 k4" for w in words)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    agree(quality.counted(docs).selectExpr("*", "n_words < 10 as base_failed", "false as kept").collect(), [(1, text)])
+
+
 def test_trees_are_monotonic_and_flat_scores_equal_a_walk():
     rng = np.random.default_rng(0)
     x = rng.random((600, 2))
