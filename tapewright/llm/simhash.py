@@ -175,16 +175,17 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle_words: int = 3,
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id long, text string).
 
     Null or empty texts, and texts of white space, have fingerprint 0 and are linked like any other.
-    Repeated rows come back as often as they came. A null doc_id is never a component's smallest id
-    unless all ids of the component are null, then component_id is null. Extra columns are ignored;
+    Repeated rows come back as often as they came. A null doc_id is never a component's smallest id,
+    but links like any other; component_id is null where all ids of a component are. Extra columns are ignored;
     an empty table gives an empty result.
     """
     fps = staged(fingerprints(docs, shingle_words, seed), "fps")
-    # A fingerprint of rows without id still needs a name for the links: none of its rows is smaller.
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("root"))
-    reps = staged(reps.where("root is not null"), "reps")
-    components = staged(connected_components(close_edges(reps, distance, bucket_rows)), "components")
-    named = reps.join(components, reps["root"] == components["node"], "left")
-    named = staged(named.select("fp", F.coalesce("component", "root").alias("component_id")), "named")
-    out = fps.join(named, "fp", "left")
+    # Fingerprints are the nodes of the links, so that rows without id link too; ids come in at the end.
+    reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "reps")
+    components = staged(connected_components(close_edges(reps.select("fp", F.col("fp").alias("root")), distance, bucket_rows)), "components")
+    named = reps.join(components, reps["fp"] == components["node"], "left")
+    named = staged(named.select("fp", "first_id", F.coalesce("component", "fp").alias("part")), "named")
+    smallest = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    labels = staged(named.join(smallest, "part").select("fp", "component_id"), "labels")
+    out = fps.join(labels, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

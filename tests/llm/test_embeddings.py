@@ -1,6 +1,8 @@
 import inspect
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapewright.llm import embeddings
@@ -79,3 +81,22 @@ def test_empty_and_repeated_rows(spark):
     assert got == [("1", 1, 1), ("1", 1, 1)]
     assert embeddings.near_duplicates(frame).count() == 3
     assert embeddings.near_duplicates(frame.where("false")).collect() == []
+
+
+def test_links_through_vectors_without_id(spark):
+    turned = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    rows = [(1, turned(0.0)), (None, turned(0.3)), (2, turned(0.6)), (None, turned(2.0)), (9, turned(-2.0))]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, node int, part int")
+    got = sorted(((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(frame).collect()), key=str)
+    assert got == sorted([("1", 1, 1, True), ("None", 2, 1, False), ("2", 1, 1, False), ("None", 0, None, True), ("9", 0, 9, True)], key=str)
+
+
+def test_sql(spark):
+    rows = vectors(3, 120)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    duck = duckdb.connect()
+    embeddings_table = pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))})
+    duck.register("embeddings", embeddings_table)
+    got = {tuple(r) for r in embeddings.near_duplicates(frame, shared=1).collect()}
+    want = set(duck.execute(embeddings.SQL).fetchall())
+    assert len(got ^ want) <= 0.02 * len(want) and {r[0] for r in got} == {r[0] for r in want}

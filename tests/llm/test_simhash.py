@@ -51,6 +51,22 @@ def test_close_edges_lose_no_link(spark, bucket_rows):
     assert {i: got.get(i, i) for i in range(len(fps))} == plain_components(list(range(len(fps))), fps)
 
 
+def test_links_through_documents_without_id(spark):
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    texts = []
+    for i in range(60):
+        words[int(rng.integers(0, 400))] = f"new{i}"
+        texts.append(" ".join(words))
+    fps = [plain_fingerprint(t) for t in texts]
+    far = lambda i, j: bin(fps[i] ^ fps[j]).count("1")
+    a, b, c = next((a, b, c) for a in range(60) for b in range(60) for c in range(60) if far(a, b) <= 3 and far(b, c) <= 3 < far(a, c))
+    rows = [(1, texts[a]), (None, texts[b]), (3, texts[c]), (None, "alone and without an id")]
+    docs = spark.createDataFrame([(*r, "x", 5, 6) for r in rows * 2], "doc_id long, text string, fp string, node int, part int")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted([("1", "1"), ("None", "1"), ("3", "1"), ("None", "None")] * 2)
+
+
 def test_chain_of_components(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in connected_components(edges).collect()} == {0}
