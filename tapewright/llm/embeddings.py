@@ -188,8 +188,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, **index) -> DataFr
 #: The same by comparing every two vectors.
 SQL = """
 WITH RECURSIVE sound AS (
-    SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.k <> b.k AND len(a.v) = len(b.v)
     AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.95

@@ -92,7 +92,7 @@ def test_links_through_vectors_without_id(spark):
 
 
 def test_sql(spark):
-    rows = vectors(3, 120)
+    rows = vectors(3)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     duck = duckdb.connect()
     embeddings_table = pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))})
