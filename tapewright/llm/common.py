@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,19 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._tapewright_dir
 
 
+#: Tables staged inside scratch(), the innermost one last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, lost executors don't matter."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
 def release(*tables: DataFrame) -> None:
     """Empties tables that staged() gave and that nothing reads any more; call it after what was made of them is staged too."""
     for t in tables:
-        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(t.staged_at)
+        if path := getattr(t, "staged_at", None):
+            t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(path)
+            t.staged_at = None
+
+
+@contextmanager
+def scratch():
+    """Releases the tables staged inside, but those that are taken out of the list it gives."""
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        release(*_SCRATCH.pop())
 
 
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
@@ -67,7 +86,9 @@ def gapless_rank(df: DataFrame, group: list[str], order: list, buckets: int, nam
     df = df.withColumn("_part", part)
     sizes = df.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*group, "_part").orderBy(*order)
     ranked = df.withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.join(offsets, [*group, "_part"]).withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_before", "_rank")
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
+    placed = ranked.join(offsets, [*same, F.col("_part") == F.col("_of")]).withColumn(name, F.col("_before") + F.col("_rank"))
+    return placed.drop("_part", "_of", "_before", "_rank", *[f"_of_{g}" for g in group])

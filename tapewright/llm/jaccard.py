@@ -1,9 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found exactly.
+"""The pipeline's near-duplicates: SimHash pigeonhole blocks, verified by the Jaccard similarity of word shingles.
 
-A text is the set of its shingles' hashes. Two sets of similarity t or more share one of the first
-n - ceil(t * n) + 1 members of each, n being its size, in any order of members that holds for all
-sets. Only those members become keys. The order puts shingles that a sample shows to be common last,
-so that keys are rare; what the sample holds changes the work, never the result.
+Fingerprints within a few bits of each other, found by op8's blocks, are verified on their shingle
+sets: that finds copies, and most near copies, of large groups at little cost. A fingerprint of 64
+bits can't tell a similarity of 0.8 (about ten bits) from chance, so what the blocks don't connect
+goes through an exact search, and no pair is lost: two sets of similarity t or more share one of the
+first n - ceil(t * n) + 1 members of each, n being its size, in any order of members that holds for
+all sets. Only those members become keys. The order puts shingles that a sample shows to be common
+last, so that keys are rare; what the sample holds changes the work, never the result.
 
 Where many sets share a key, they are first compared with one of them, and what that links needs no
 further comparison: a large group of near copies costs one comparison for each. Then the pairs that
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import staged, text_table
 from tapewright.llm.components import connected_components
-from tapewright.llm.simhash import shingle_hashes
+from tapewright.llm.simhash import close_edges, majority, shingle_hashes
 
 #: One text of so many is in the sample, a shingle of so many texts there is common, and at most so many are put last.
 SAMPLED, COMMON, COMMON_KEPT = 8, 4, 100_000
@@ -130,6 +133,14 @@ def _open(rows: DataFrame, part: str) -> DataFrame:
     return rows.join(split.select("key"), "key", "left_semi")
 
 
+def _close_fingerprints(roots: DataFrame) -> DataFrame:
+    """Edges (a, b) of signatures that connect all whose fingerprints are close."""
+    roots = roots.select("sign", "fp")
+    reps = staged(roots.groupBy("fp").agg(F.min("sign").alias("root")), "fps")
+    alike = roots.join(reps, "fp").where("sign != root").select(F.col("root").alias("a"), F.col("sign").alias("b"))
+    return close_edges(reps).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(alike)
+
+
 def similar_pairs(docs: DataFrame, roots: DataFrame, similarity: float, shingle_words: int, seed: int) -> DataFrame:
     """Edges (a, b) of signatures that connect all texts of docs with similar shingle sets."""
     texts = text_table(docs)
@@ -152,17 +163,18 @@ def similar_pairs(docs: DataFrame, roots: DataFrame, similarity: float, shingle_
         return _verified(pairs, docs, roots, similarity, shingle_words, seed)
 
     own = ("sign", "size", "rest", "part")
-    edges = None
+    edges = _verified(_close_fingerprints(roots), docs, roots, similarity, shingle_words, seed)
+    rows = _components(edges, rows)
     for k in range(ROUNDS):
         one = F.min_by(F.struct(*own), F.xxhash64(F.lit(k), "sign")).alias("one")
         many = staged(rows.groupBy("key").agg(one, F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY), "many")
         if many.isEmpty():
             break
         near = compared(rows.join(many.select("key", *[F.col(f"one.{c}").alias(f"{c}2") for c in own]), "key").where("part != part2"))
-        edges = near if edges is None else edges.union(near)
+        edges = edges.union(near)
         rows = _components(edges, rows)
     near = compared(rows.join(rows.select("key", *[F.col(c).alias(f"{c}2") for c in own]), "key").where("part < part2"))
-    return near if edges is None else edges.union(near)
+    return edges.union(near)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, seed: int = 42) -> DataFrame:
@@ -174,14 +186,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int
 
     def each(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            sets = [shingle_set(t, shingle_words, seed) for t in texts]
-            columns = [pa.array([signature(t) for t in texts], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "sign", "size", "bits"])
+            signs, sizes, bits, fps = [], [], [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                words = text.lower().split()
+                hashes = shingle_hashes(words, shingle_words, seed) if words else np.empty(0, np.uint64)
+                members = np.unique(hashes)
+                signs.append(signature(text))
+                sizes.append(len(members))
+                bits.append(parity(members))
+                fps.append(majority(hashes))
+            columns = [pa.array(signs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "sign", "size", "bits", "fp"])
 
     docs = docs.where("doc_id is not null")
-    fps = staged(text_table(docs).mapInArrow(each, "doc_id long, sign long, size int, bits array<long>"), "signs")
-    roots = staged(fps.groupBy("sign").agg(F.min("doc_id").alias("root"), F.first("size").alias("size"), F.first("bits").alias("bits")), "roots")
+    fps = staged(text_table(docs).mapInArrow(each, "doc_id long, sign long, size int, bits array<long>, fp long"), "signs")
+    firsts = (F.first(c).alias(c) for c in ("size", "bits", "fp"))  # the same for all of a signature
+    roots = staged(fps.groupBy("sign").agg(F.min("doc_id").alias("root"), *firsts), "roots")
     edges = similar_pairs(docs, roots, similarity, shingle_words, seed)
     for c in ("a", "b"):
         edges = edges.join(roots.select("sign", "root"), F.col(c) == F.col("sign")).drop(c, "sign").withColumnRenamed("root", c)
@@ -194,7 +214,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the near-duplicates of a document with a smaller doc_id.
 
     Rows with one doc_id are one document and go or stay together; of rows that repeat a doc_id and
-    its text one stays. Rows whose doc_id is null stay.
+    its text one stays. Rows whose doc_id is null stay. Null and empty texts, and those without
+    words, are copies of one another. An empty table gives an empty result.
     """
     found = staged(near_duplicates(docs, **options), "near")
     later = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()

@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapewright.llm.common import fresh
+
 #: Words of one block: transfer matrices are multiplied inside blocks, then along each document's blocks.
 BLOCK = 32
 #: Words of one pass over a batch, and word types whose scores a worker remembers.
@@ -229,17 +231,25 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, sample_docs: int = 4000, span_words: int = 64, seed: int = 5) -> Model:
     """Learns from one span of `span_words` words of each of at most `sample_docs` documents.
 
-    They are those with the lowest seeded hash of doc_id among the documents that aren't held out and
-    have a language; a span's place in its text is seeded too.
+    Every language gets an equal part of them, so that rare ones are learned too: the documents with
+    the lowest seeded hash of doc_id among those that aren't held out. A span's place in its text is
+    seeded too. First all but about twice that part go by the hash, whose values are uniform, so that
+    what is ranked is small.
     """
-    labelled = docs.where(~held_out() & F.col("lang").isNotNull()).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
-    last = labelled.select("_h").orderBy("_h").limit(sample_docs).agg(F.max("_h")).first()[0]
-    if last is None:
+    lang, text = F.col("lang").alias("lang"), F.col("text").alias("text")
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", lang, text)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    kinds = counts.count()
+    if not kinds:
         return train([])
+    part = max(1, sample_docs // kinds)
+    hashed = F.xxhash64("doc_id", F.lit(seed))
+    near = known.join(counts, "lang").where((hashed / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * part + 20)
     words = F.split(F.col("text"), r"[\x20\x09-\x0D]+")
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.size(words) - span_words + 1)).cast("int")
-    span = F.array_join(F.slice(words, start, span_words), " ")
-    rows = labelled.where((F.col("_h") <= last) & F.col("text").isNotNull()).select("lang", span.alias("span")).limit(sample_docs).collect()
+    spans = near.select("lang", hashed.alias("h"), F.array_join(F.slice(words, start, span_words), " ").alias("span")).distinct()
+    ranked = spans.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "span"))).where(F.col("rank") <= part)
+    rows = ranked.orderBy("h", "lang", "span").limit(sample_docs).select("lang", "span").collect()
     return train(sorted((r["lang"], r["span"]) for r in rows))
 
 
@@ -323,10 +333,12 @@ def identify(docs: DataFrame, sample_docs: int = 4000, seed: int = 5) -> DataFra
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_switches")
 
 
-def keep_known(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """docs without those whose language can't be told: no letters, or no language with `least` of the letters.
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """docs with the predicted language in `lang`, without those that are rejected.
 
-    Two languages side by side are told apart by their words, so their documents stay.
+    Rejected is a text without letters, and one of which no language has `least` of the letters: too
+    many languages in one, or none that was learned. A text in two languages stays.
     """
-    found = annotate(docs, fit(docs), ("_lang_pred", "_share", "_changes"))
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_share") >= least)).select(*docs.columns)
+    lang, share, changes = fresh(docs.columns, "lang_pred", "share", "changes")
+    found = annotate(docs, fit(docs), (lang, share, changes)).where((F.col(lang) != UNKNOWN) & (F.col(share) >= least))
+    return found.select(*[F.col(lang).cast(docs.schema[c].dataType).alias(c) if c == "lang" else c for c in docs.columns])

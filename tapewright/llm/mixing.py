@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import WORD, staged
+from tapewright.llm.common import WORD, gapless_rank, staged
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Most copies of a source or document in the mix.
@@ -73,7 +73,7 @@ def sainte_lague(weights: np.ndarray, seats: int, limits: np.ndarray) -> np.ndar
 
 
 def _quotas(cells: dict[tuple[int, int], int], wanted: list[float], block_words: int, seed: int):
-    """cells: words by (source, shard). Rows (source, shard, words, blocks, quota, step, first)."""
+    """cells: words by (source, shard). Rows (source, shard, words, blocks, quota, seed)."""
     keys = sorted(k for k, n in cells.items() if n > 0)
     words = np.array([cells[k] for k in keys], np.int64)
     blocks = np.maximum(1, np.rint(words / block_words)).astype(np.int64)
@@ -87,80 +87,115 @@ def _quotas(cells: dict[tuple[int, int], int], wanted: list[float], block_words:
         quota[at] = sainte_lague(blocks[at], int(quota_of[s]), MOST * blocks[at])
     rows = []
     for k, n, b, q in zip(keys, words.tolist(), blocks.tolist(), quota.tolist(), strict=True):
-        h = zlib.crc32(f"{seed}:{k[0]}:{k[1]}".encode())
-        step = max(1, int(b * 0.618) + h % 7)
-        while math.gcd(step, b) > 1:
-            step += 1
-        rows.append((*k, n, b, q, step % b if b > 1 else 0, h % b))
+        rows.append((*k, n, b, q, zlib.crc32(f"{seed}:{k[0]}:{k[1]}".encode())))
     return rows
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block_words: int = 64, shard_rows: int = 1024, seed: int = 7) -> DataFrame:
-    """What the mix takes of every row of docs (doc_id long, text string, source string).
+def permuted(i: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Place of i in a permutation of 0 ... n - 1 that the seed gives: a Feistel network over the next
+    power of four, gone through again while the place isn't below n."""
+    i, seed = i.astype(np.uint64), seed.astype(np.uint64)
+    half = np.ceil(np.log2(np.maximum(n, 2)) / 2).astype(np.uint64)
+    low = (np.uint64(1) << half) - np.uint64(1)
+    out, open_ = i.copy(), np.arange(len(i))
+    while len(open_):
+        x, h, m, s = out[open_], half[open_], low[open_], seed[open_]
+        left, right = x >> h, x & m
+        for k in range(4):
+            f = (right + s * np.uint64(2 * k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            left, right = right, left ^ ((f >> np.uint64(33)) & m)
+        out[open_] = (left << h) | right
+        open_ = open_[out[open_] >= n[open_].astype(np.uint64)]
+    return out.astype(np.int64)
+
+
+def _sizes(docs: DataFrame, *more) -> DataFrame:
+    """`more`, and (doc_id, source, text_md5, size) of every row."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(*more, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.md5(text).alias("text_md5"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """What the mix takes of every row of docs (doc_id long, text string, source string); see `mix_sizes`."""
+    return mix_sizes(staged(_sizes(docs), "sizes"), **options).drop("source", "copy")
 
-    Sources are ordered by code point, null last, and weigh `weights` in turn. Returns doc_id,
-    text_md5, size (words), source_size, target, epochs (whole copies taken), ranges (array of
+
+def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block_words: int = 64, shard_rows: int = 1024, seed: int = 7) -> DataFrame:
+    """What the mix takes of every row of sizes: (doc_id, source, text_md5, size).
+
+    Sources are ordered by code point, null last, and weigh `weights` in turn. Returns doc_id, source,
+    text_md5, copy, size (words), source_size, target, epochs (whole copies taken), ranges (array of
     {lo, hi}: words taken once more) and taken (words, repeats counted). Null and empty texts have
-    size 0 and nothing of them is taken. Repeated rows count as often as they come; rows alike in
-    all that is ordered by may swap their shares. A null doc_id is a row like any other. An empty
-    table gives an empty result. Shards: a power of two near rows / shard_rows, 1024 at most, and
-    no more than CELLS cells; cells are windows in Spark, only their sums go to the driver.
+    size 0 and nothing of them is taken. Repeated rows count as often as they come: they are placed
+    as one, one after the other, and told apart by copy (0, 1, ...). A null doc_id is a row like any
+    other. An empty table gives an empty result. Shards: a power of two near rows / shard_rows, and no
+    more than CELLS cells; cells are windows in Spark, only their sums go to the driver.
     """
-    text = F.coalesce("text", F.lit(""))
-    sizes = staged(docs.select("doc_id", "source", F.md5(text).alias("text_md5"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")), "sizes")
-    spark = docs.sparkSession
+    spark = sizes.sparkSession
     found = [(r["source"], r["size"], r["n"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()]
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     wanted = targets([r[1] for r in found], [weights[i % len(weights)] for i in range(len(found))])
     table = spark.createDataFrame([(r[0], i, r[1], wanted[i]) for i, r in enumerate(found)], "name string, src int, source_size long, target double")
     rows = sum(r[2] for r in found)
-    shards = max(1, min(1 << max(0, round(math.log2(max(1, rows / shard_rows)))), 1024, CELLS // max(1, len(found))))
-    order = F.xxhash64("doc_id", F.lit(seed))
-    cells = sizes.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")))  # a row per source
-    cells = cells.select("doc_id", "text_md5", "size", "src", "source_size", "target", order.alias("order"), F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)).cast("int").alias("shard"))
-    sums = {(r["src"], r["shard"]): r["n"] for r in cells.groupBy("src", "shard").agg(F.sum("size").alias("n")).collect()}
-    quotas = spark.createDataFrame(_quotas(sums, wanted, block_words, seed), "src int, shard int, words long, blocks long, quota long, step long, first long")
+    shards = max(1, min(1 << max(0, round(math.log2(max(1, rows / shard_rows)))), CELLS // max(1, len(found))))
+    order, shard = F.xxhash64("doc_id", "text_md5", F.lit(seed)), F.pmod(F.xxhash64("doc_id", "text_md5", F.lit(seed + 1)), F.lit(shards)).cast("int")
+    alike = sizes.groupBy("doc_id", "source", "text_md5", "size").agg(F.count(F.lit(1)).alias("n"))
+    cells = alike.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumns({"order": order, "shard": shard})
+    cells = staged(cells, "cells")
+    sums = {(r["src"], r["shard"]): r["n"] for r in cells.groupBy("src", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("n")).collect()}
+    quotas = spark.createDataFrame(_quotas(sums, wanted, block_words, seed), "src int, shard int, words long, blocks long, quota long, seed long")
     before = Window.partitionBy("src", "shard").orderBy("order", "doc_id", "size", "text_md5").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    placed = placed.join(quotas, ["src", "shard"], "left").drop("order", "src", "shard")
+    placed = cells.withColumn("start", F.coalesce(F.sum(F.col("size") * F.col("n")).over(before), F.lit(0)))
+    placed = placed.join(quotas, ["src", "shard"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    names = ["doc_id", "source", "text_md5", "copy", "size", "source_size", "target"]
+    placed = placed.select(*names, (F.col("start") + F.col("copy") * F.col("size")).alias("start"), "words", "blocks", "quota", "seed")
 
     def each(batches):
         for batch in batches:
-            c = {k: batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in ("size", "start", "words", "blocks", "quota", "step", "first")}
+            c = {k: batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in ("size", "start", "words", "blocks", "quota", "seed")}
             epochs, ranges, taken = _taken(c)
-            out = [batch.column(k) for k in ("doc_id", "text_md5", "size", "source_size", "target")]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(epochs), ranges, pa.array(taken)], ["doc_id", "text_md5", "size", "source_size", "target", "epochs", "ranges", "taken"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(epochs), ranges, pa.array(taken)], [*names, "epochs", "ranges", "taken"])
 
-    return placed.mapInArrow(each, "doc_id long, text_md5 string, size long, source_size long, target double, epochs long, ranges array<struct<lo:long,hi:long>>, taken long")
+    return placed.mapInArrow(each, "doc_id long, source string, text_md5 string, copy long, size long, source_size long, target double, epochs long, ranges array<struct<lo:long,hi:long>>, taken long")
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: whole copies of a row, and one row more for words taken beside them.
 
     That row's text is the chosen blocks, each as it stands in the text, joined by line breaks;
-    n_chars is set anew in it. Rows of which nothing is taken go. Rows are told apart by doc_id and
-    text, and counted where both repeat.
+    n_chars is set anew in it. Rows of which nothing is taken go. Rows that repeat a doc_id, source
+    and text are told apart by a row number that is fixed as the table is written; whatever the
+    columns are called, they come back as they were.
     """
-    copy = F.row_number().over(Window.partitionBy("doc_id", "text_md5").orderBy("size"))
-    mixed = mix(docs, **options).where("taken > 0").select("doc_id", "text_md5", "epochs", "ranges", "size").withColumn("_copy", copy).drop("size")
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("_copy").alias("_k"), "epochs", "ranges")
-    keyed = docs.withColumn("_text_md5", F.md5(F.coalesce("text", F.lit("")))).withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_text_md5").orderBy(F.lit(0))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_md5") == F.col("_md5")) & (F.col("_copy") == F.col("_k"))
-    rows = keyed.join(mixed, same).select(*docs.columns, F.col("epochs").alias("_epochs"), F.col("ranges").alias("_ranges"))
+    rows = _sizes(docs, F.struct(*docs.columns).alias("row"))
+    rows = staged(rows.withColumn("k", F.monotonically_increasing_id()), "rows")
+    key = ["doc_id", "source", "text_md5"]
+    sizes = rows.select(*key, "size", "k")
+    mixed = staged(mix_sizes(sizes.drop("k"), **options).where("taken > 0").select(*key, "copy", "epochs", "ranges"), "mixed")
+    again = staged(mixed.where("copy > 0").select(*key).distinct(), "again")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    if again.isEmpty():
+        numbered = sizes.select(*key, "k", F.lit(0).cast("long").alias("copy"))
+    else:  # number what may repeat, in parts, so that a very large group is no single task
+        numbered = gapless_rank(sizes.select(*key, "k"), key, ["k"], 64, "copy")
+    taken = numbered.alias("a").join(mixed.alias("b"), [*same, F.col("a.copy") == F.col("b.copy")]).select("k", "epochs", "ranges")
+    chosen = rows.select("row", "k").join(taken, "k").select("row", "epochs", "ranges")
 
     def each(batches):
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 yield from _copies(batch.slice(lo, 500))
 
-    return rows.mapInArrow(each, docs.schema)
+    return chosen.mapInArrow(each, docs.schema)
 
 
 def _copies(batch: pa.RecordBatch):
-    names = [n for n in batch.schema.names if n not in ("_epochs", "_ranges")]
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
+    row = batch.column("row")
+    names = [f.name for f in row.type]
+    own = pa.RecordBatch.from_arrays(row.flatten(), names)
+    texts = own.column("text").cast(pa.binary()).to_pylist()
     at, new = [], []
-    for i, (n, ranges) in enumerate(zip(batch.column("_epochs").to_pylist(), batch.column("_ranges").to_pylist(), strict=True)):
+    for i, (n, ranges) in enumerate(zip(batch.column("epochs").to_pylist(), batch.column("ranges").to_pylist(), strict=True)):
         at += [i] * n
         new += [None] * n
         if ranges:
@@ -170,21 +205,21 @@ def _copies(batch: pa.RecordBatch):
             at.append(i)
             new.append(b"\n".join(texts[i][start[r["lo"]] : end[r["hi"] - 1]] for r in ranges))
     if at:
-        taken = batch.select(names).take(pa.array(at))
+        taken = own.take(pa.array(at))
         columns = dict(zip(names, taken.columns, strict=True))
         made = pa.array([t if t is not None else texts[i] for i, t in zip(at, new, strict=True)], pa.binary())
         columns["text"] = made.cast(columns["text"].type)
         if "n_chars" in columns:
             old = columns["n_chars"].to_pylist()
             columns["n_chars"] = pa.array([o if t is None else len(t.decode("utf-8", "replace")) for o, t in zip(old, new, strict=True)], columns["n_chars"].type)
-        yield pa.RecordBatch.from_arrays(list(columns.values()), schema=taken.schema)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
 
 def _taken(c: dict):
     """Epochs, extra ranges and words taken of documents that lie in their cells' streams at start.
 
     Block i of a cell of n words and b blocks is the words from ceil(i n / b) to ceil((i + 1) n / b);
-    it is among the quota % b chosen ones if (step i + first) mod b is below that number.
+    it is among the quota % b chosen ones if its place in the cell's permutation is below that number.
     """
     size, start = c["size"], c["start"]
     n, b = np.maximum(c["words"], 1), np.maximum(c["blocks"], 1)
@@ -195,7 +230,7 @@ def _taken(c: dict):
     count = last - first + 1
     row = np.repeat(np.arange(len(size)), count)
     i = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
-    chosen = (c["step"][row] * i + c["first"][row]) % b[row] < extra[row]
+    chosen = permuted(i, b[row], c["seed"][row]) < extra[row]
     row, i = row[chosen], i[chosen]
     lo = np.maximum(-(-i * n[row] // b[row]) - start[row], 0)
     hi = np.minimum(-(-(i + 1) * n[row] // b[row]) - start[row], size[row])

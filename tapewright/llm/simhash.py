@@ -39,7 +39,11 @@ def simhash(text: bytes, shingle_words: int = 3, seed: int = 42) -> int:
     words = text.lower().split()  # on bytes: A-Z only, and ASCII white space only
     if not words:
         return 0
-    hashes = shingle_hashes(words, shingle_words, seed)
+    return majority(shingle_hashes(words, shingle_words, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of shingle hashes: the bits that over half of them have."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over_half = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(over_half, bitorder="little").view("<u8")[0])

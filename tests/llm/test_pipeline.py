@@ -1,10 +1,11 @@
+import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import langid, mixing, secrets, simhash
+from tapewright.llm import langid, mixing, secrets
 from tests.llm.test_packing import holds
 
 
@@ -13,23 +14,45 @@ def docs(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
 
 
-def test_language_stage_drops_only_what_has_no_language(spark, docs, documents):
+def test_language_stage_keeps_its_prediction_and_drops_what_has_no_language(spark, docs, documents):
     odd = spark.createDataFrame([(10_001, "123 456 ###", None, "x", 11), (10_002, None, None, "x", 0)], docs.schema)
-    got = corpus_pipeline.language_id(spark, docs.union(odd), "")
+    table = docs.union(odd)
+    got = corpus_pipeline.language_id(spark, table, "")
     assert got.columns == docs.columns
-    lost = docs.select("doc_id").exceptAll(got.select("doc_id")).count()
-    assert lost == 0 and not got.where("doc_id > 10000").count()
-    clash = documents.withColumn("score", F.lit(7)).withColumn("lang_pred", F.lit("q"))
-    assert {(r.score, r.lang_pred) for r in langid.keep_known(clash).collect()} == {(7, "q")}
+    said = {r.doc_id: (r.lang_pred, r.score) for r in langid.annotate(table.select("doc_id", "text"), langid.fit(table)).collect()}
+    assert {r.doc_id: r.lang for r in got.collect()} == {i: lang for i, (lang, share) in said.items() if lang != "und" and share >= 0.5}
+    assert got.count() >= 0.995 * docs.count() and not got.where("doc_id > 10000").count()
+    clash = documents.withColumns({c: F.lit(7) for c in ("score", "lang_pred", "share", "changes", "h", "rank", "n", "span")})
+    rows = langid.keep_known(clash)
+    assert rows.columns == clash.columns and {tuple(r[6:]) for r in rows.collect()} == {(7,) * 8}
 
 
 def test_dedup_stage_keeps_one_of_each_group(spark, docs):
-    found = simhash.near_duplicates(docs).collect()
-    twice = docs.union(docs.where("doc_id < 30"))
-    got = corpus_pipeline.near_dedup(spark, twice, "").collect()
-    assert Counter(r.doc_id for r in got) == Counter({r.component_id for r in found})
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
     texts = {r.doc_id: r for r in docs.collect()}
-    assert all(r == texts[r.doc_id] for r in got)
+    sets = {i: shingles(r.text) for i, r in texts.items()}
+    root, having = {i: i for i in sets}, defaultdict(list)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        for j in {j for s in sets[i] for j in having[s]}:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+        for s in sets[i]:
+            having[s].append(i)
+    clash = docs.withColumns({c: F.lit(3) for c in ("sign", "root", "component_id", "fp", "size")})
+    twice = clash.union(clash.where("doc_id < 30"))
+    got = corpus_pipeline.near_dedup(spark, twice, "").collect()
+    assert Counter(r.doc_id for r in got) == Counter({top(i) for i in sets})
+    assert all(tuple(r)[:5] == tuple(texts[r.doc_id]) for r in got)
 
 
 def test_secret_stage_redacts_and_keeps_all_rows(spark, docs):
@@ -57,6 +80,15 @@ def test_mixing_stage_takes_what_the_operator_says(spark, docs, documents):
         assert +got == +want
 
 
+def test_stages_leave_clashing_columns_alone(spark, documents):
+    names = ["_copy", "_id", "_md5", "_k", "_epochs", "_ranges", "k", "row", "copy", "epochs", "ranges", "taken", "size", "text_md5", "target", "_chars", "spans"]
+    clash = documents.withColumns({c: F.lit("user's") for c in names})
+    for stage in (corpus_pipeline.mix_sources, corpus_pipeline.secret_scans):
+        got = stage(spark, clash, "")
+        assert got.columns == clash.columns and got.count()
+        assert {r[c] for r in got.collect() for c in names} == {"user's"}
+
+
 def test_run(spark, docs):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect()
     table = docs
