@@ -37,8 +37,9 @@ class SlotMap:
     def rebalanced(self, size_of: dict[int, int], tolerance: float = 0.001) -> SlotMap:
         """Moves slots (size_of: bytes by slot) between the fullest and the emptiest shard while that evens them out.
 
-        Each step moves, or swaps for a smaller one, the slot nearest to half the difference; it ends
-        when the difference is within `tolerance` of a shard's mean or can't be made smaller.
+        Each step moves the slot nearest to half the difference, or swaps one for one of the emptiest
+        shard's 64 smallest; it ends when the difference is within `tolerance` of a shard's mean, can't
+        be made smaller, or after eight steps a slot.
         """
         shard_of = list(self.shard_of)
         load = [0] * self.shards
@@ -120,34 +121,59 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None, split: int = 256) -> DataFrame:
     """Puts every row of docs (doc_id long, text string) into a shard; shards' bytes come out near equal.
 
     The latest map stored at map_path is taken (without a path, a first one is made in the shared
     folder) and rebalanced by the bytes of each slot; the new version is stored beside it. Returns doc_id, size, text_crc32, virtual_slot, shard, slot
     (0, 1, 2, ... inside each shard) and map_version. A null or empty text has RECORD_BYTES bytes.
-    Repeated rows and rows with a null doc_id share a slot. Slots and shards are fixed in number, so
-    the map is small whatever the data. Extra columns are ignored; an empty table gives an empty result.
+    Repeated rows and rows with a null doc_id share a slot; a slot that holds more than a `split`th
+    of a shard's mean bytes because of them is dealt, by a row number fixed as the records are written, into parts,
+    which go to the emptiest shards, the map's own choice first. There are at most shards * split such
+    parts, so the tables of slots and parts are small whatever the data. Extra columns are ignored; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = staged(records(docs, slots), "records")
-    loads = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
+    rows = staged(records(docs, slots).withColumn("row", F.monotonically_increasing_id()), "records")
+    found = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()
+    total = sum(r["bytes"] for r in found)
+    most = max(1, total // max(1, shards * split))
+    # A slot of many ids is as large as others; one that few ids make large is dealt.
+    hot = {r["virtual_slot"]: -(-r["bytes"] // most) for r in found if r["bytes"] > most and r["n"] > 4 * (r["ids"] + 1)}
     if map_path:
         path, before = map_path, SlotMap.load(spark, map_path)
     else:
         path, before = f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}", SlotMap.first(shards, slots)
         before.save(spark, path)
-    now = before.rebalanced({s: b for s, (b, _) in loads.items()})
+    now = before.rebalanced({r["virtual_slot"]: r["bytes"] for r in found if r["virtual_slot"] not in hot})
     now.save(spark, path)
-    at, ahead = {}, [0] * now.shards
-    for s in range(slots):
-        at[s] = ahead[now.shard_of[s]]
-        ahead[now.shard_of[s]] += loads.get(s, (0, 0))[1]
-    table = spark.createDataFrame([(s, now.shard_of[s], at[s], now.version) for s in range(slots)], "virtual_slot int, shard int, ahead long, map_version int")
-    inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")) - 1
-    placed = rows.withColumn("inside", inside).join(F.broadcast(table), "virtual_slot")  # a row per slot
+    table = [(s, 0, 1, now.shard_of[s], now.version) for s in range(slots) if s not in hot]
+    if hot:
+        load = [0] * now.shards
+        for r in found:
+            if r["virtual_slot"] not in hot:
+                load[now.shard_of[r["virtual_slot"]]] += r["bytes"]
+        parts = spark.createDataFrame(list(hot.items()), "virtual_slot int, parts int")
+        dealt = rows.join(parts, "virtual_slot").groupBy("virtual_slot", "parts", _part().alias("part")).agg(F.sum("size").alias("bytes"))
+        for r in sorted(dealt.collect(), key=lambda r: (-r["bytes"], r["virtual_slot"], r["part"])):
+            to = min(range(now.shards), key=lambda k: (load[k], k != now.shard_of[r["virtual_slot"]], k))
+            load[to] += r["bytes"]
+            table.append((r["virtual_slot"], r["part"], r["parts"], to, now.version))
+    slots_of = spark.createDataFrame(table, "virtual_slot int, part int, parts int, shard int, map_version int")
+    counts = spark.createDataFrame([(s, hot.get(s, 1)) for s in range(slots)], "virtual_slot int, parts int")
+    placed = rows.join(F.broadcast(counts), "virtual_slot").withColumn("part", _part())  # a row per slot
+    placed = placed.join(F.broadcast(slots_of.drop("parts")), ["virtual_slot", "part"])  # a row per slot and part
+    sizes = placed.groupBy("shard", "virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"))
+    before_ = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select("virtual_slot", "part", F.coalesce(F.sum("n").over(before_), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32", "row")) - 1
+    placed = placed.withColumn("inside", inside).join(F.broadcast(ahead), ["virtual_slot", "part"])  # a row per slot and part
     return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("ahead") + F.col("inside")).alias("slot"), "map_version")
 
 
+def _part() -> F.Column:
+    return F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+
+
 def digest(placed: DataFrame) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")

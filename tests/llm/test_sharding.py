@@ -58,3 +58,16 @@ def test_maps_are_stored_by_version(spark, documents, tmp_path):
     assert SlotMap.load(spark, path, 1) == first and SlotMap.load(spark, path) == first.grown()
     rows = sharding.shard(documents, slots=64, map_path=path).collect()
     assert {r.map_version for r in rows} == {3} and SlotMap.load(spark, path).version == 3
+
+
+def test_a_hot_key_is_dealt(spark):
+    rows = [(None if i % 3 == 0 else i, f"text {i % 7}" * 5) for i in range(6000)] + [(11, "same")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.digest(sharding.shard(docs)).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+    load, places = Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert set(load) == set(range(40)) and max(load.values()) <= 1.05 * min(load.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
