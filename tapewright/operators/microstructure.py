@@ -97,24 +97,33 @@ def roll_spread(df: DataFrame, n: int = 20) -> DataFrame:
 
 def amihud(df: DataFrame, n: int = 20) -> DataFrame:
     df = df.withColumn("_a", F.try_divide(F.abs(R.pct("close")), F.col("close") * F.col("volume")) * 1e6)
-    df = df.withColumn("amihud", R.roll(F.avg, "_a", n, n // 2))
-    return df.withColumns({"amihud_log": F.log1p("amihud"), "amihud_relative": F.try_divide(F.col("amihud"), R.roll(F.avg, "amihud", 5 * n, n))}).drop("_a")
+    df = df.withColumn("amihud", R.roll(F.avg, "_a", n, 5))
+    return df.withColumns({"amihud_log": F.when(F.col("amihud") > 0, F.ln("amihud")), "amihud_relative": F.try_divide(F.col("amihud"), R.roll(F.avg, "amihud", 5 * n, n))}).drop("_a")
 
 
 def liquidity_score(df: DataFrame, n: int = 60) -> DataFrame:
-    """Mean of the z-scores of negative Roll spread and dollar volume."""
-    df = roll_spread(df).withColumns({"_v": F.col("close") * F.col("volume"), "_s": -F.col("roll_spread_pct")})
-    return df.withColumn("liquidity_score", (R.zscore("_s", n, 1e-9) + R.zscore("_v", n, 1e-9)) / 2).drop("_v", "_s")
+    """Mean of the z-scores of the Roll spread and of the log of Amihud's measure, null ones as 0: lower is more liquid."""
+    df = amihud(roll_spread(df))
+    z = [F.coalesce(R.zscore(F.round(c, 12), n, 1e-9), F.lit(0.0)) for c in ("roll_spread_pct", "amihud_log")]
+    return df.withColumn("liquidity_score", (z[0] + z[1]) / 2)
 
 
 def smart_money(df: DataFrame, n: int = 50) -> DataFrame:
-    """Blocks are bars over the rolling 95th percentile of volume; their signed share and their ratio."""
+    """Blocks are bars over the rolling 95th percentile of volume; what their sides and their moves say.
+
+    A bar's side is where its close lies in its range, above or below the middle.
+    """
     w = R.W.rowsBetween(-(n - 1), 0)
-    df = df.withColumn("_q", F.when(F.count("volume").over(w) == n, F.percentile("volume", F.lit(0.95)).over(w)))
-    block = F.when(F.col("volume") > F.col("_q"), 1.0).when(F.col("_q").isNotNull(), 0.0)
-    df = df.withColumn("_b", block)
-    signed = F.col("_b") * F.col("volume") * F.signum(F.col("close") - F.col("open"))
-    return df.withColumns({"block": F.col("_b"), "block_ratio": R.roll(F.avg, "_b", n, 1), "smart_flow": F.try_divide(R.roll(F.sum, signed, n, 1), R.total("volume", n))}).drop("_q", "_b")
+    quantile = F.when(F.count("volume").over(w) == n, F.percentile("volume", F.lit(0.95)).over(w))
+    df = df.withColumns({"_q": quantile, "_r": F.abs(R.pct("close")), "_s": F.coalesce(F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5)) - 0.5})
+    df = df.withColumn("block", F.when(F.col("volume") > F.col("_q"), 1.0).otherwise(0.0))
+    volume = F.col("block") * F.col("volume")
+    df = df.withColumns({"_b": R.total(F.when(F.col("_s") > 0, volume).otherwise(0.0), n), "_d": R.total(F.when(F.col("_s") < 0, volume).otherwise(0.0), n), "block_ratio": R.mean("block", n)})
+    impact = F.try_divide(R.mean(F.col("_r") * F.col("block"), n), R.mean(F.col("_r") * (1 - F.col("block")), n))
+    df = df.withColumn("impact_ratio", impact)
+    active = F.coalesce(F.col("block_ratio") * 0.5 + F.least(F.greatest("impact_ratio", F.lit(0.0)), F.lit(2.0)) / 4, F.lit(0.0))
+    flow = F.coalesce(F.try_divide(F.col("_b") - F.col("_d"), F.col("_b") + F.col("_d")), F.lit(0.0))
+    return df.withColumns({"smart_money_index": flow, "institutional_activity": F.when(F.col("impact_ratio").isNull(), 0.0).otherwise(active)}).drop("_q", "_r", "_s", "_b", "_d")
 
 
 def daily_bucket_size(df: DataFrame) -> DataFrame:
@@ -123,19 +132,19 @@ def daily_bucket_size(df: DataFrame) -> DataFrame:
     return day.groupBy("symbol").agg(F.percentile("v", F.lit(0.01)).alias("p01"), (F.avg("v") / 100).alias("adv_share"))
 
 
-def pair_correlations(df: DataFrame, n: int = 60) -> DataFrame:
+def pair_correlations(df: DataFrame, n: int = 60, least: int | None = None) -> DataFrame:
     """Rolling correlation of the returns of every two symbols, on the times that both have."""
     r = df.withColumn("r", R.pct("close")).where("r is not null").select("symbol", "ts", "r")
     a, b = r.select(F.col("symbol").alias("a"), "ts", F.col("r").alias("ra")), r.select(F.col("symbol").alias("b"), "ts", F.col("r").alias("rb"))
     p = a.join(b, "ts").where("a < b")
     w = Window.partitionBy("a", "b").orderBy("ts").rowsBetween(-(n - 1), 0)
     c = F.try_divide(F.covar_pop("ra", "rb").over(w), F.stddev_pop("ra").over(w) * F.stddev_pop("rb").over(w))
-    return p.withColumn("corr", F.when(F.count(F.lit(1)).over(w) == n, c)).where("corr is not null").select("a", "b", "ts", "corr")
+    return p.withColumn("corr", F.when(F.count(F.lit(1)).over(w) >= (least or n), c)).where("corr is not null").select("a", "b", "ts", "corr")
 
 
-def correlation_regime(df: DataFrame, n: int = 60) -> DataFrame:
+def correlation_regime(df: DataFrame, n: int = 60, least: int = 30) -> DataFrame:
     """Per time: mean and spread of the pair correlations, the label and jumps over 0.2."""
-    g = pair_correlations(df, n).groupBy("ts").agg(F.avg("corr").alias("avg_corr"), F.stddev_pop("corr").alias("dispersion"), F.count(F.lit(1)).alias("n_pairs"))
+    g = pair_correlations(df, n, least).groupBy("ts").agg(F.avg("corr").alias("avg_corr"), F.stddev_pop("corr").alias("dispersion"), F.count(F.lit(1)).alias("n_pairs"))
     c = F.round("avg_corr", 9)
     return g.withColumn("label", F.when(c < 0.2, "low").when(c < 0.4, "normal").when(c < 0.6, "high").otherwise("crisis"))
 

@@ -16,26 +16,26 @@ def none(x) -> bool:
 
 
 def parabolic_sar(first: float = 0.02, step: float = 0.02, most: float = 0.2):
-    """Starts in a downtrend at the first high; turns when the price crosses the stop."""
+    """Starts in a downtrend at the first high; turns when the price crosses the stop, which two bars before limit."""
 
     def f(s, high, low):
         if s is None:
-            return (-1, high, low, first, high, low), (high, -1)
-        trend, sar, ep, af, ph, pl = s
+            return (-1, high, low, first, high, high, low, low), (high, -1)
+        trend, sar, ep, af, high1, high2, low1, low2 = s
         sar += af * (ep - sar)
         if trend > 0:
-            sar = min(sar, pl)
+            sar = min(sar, low1, low2)
             if low < sar:
                 trend, sar, ep, af = -1, ep, low, first
             elif high > ep:
                 ep, af = high, min(af + step, most)
         else:
-            sar = max(sar, ph)
+            sar = max(sar, high1, high2)
             if high > sar:
                 trend, sar, ep, af = 1, ep, high, first
             elif low < ep:
                 ep, af = low, min(af + step, most)
-        return (trend, sar, ep, af, high, low), (sar, trend)
+        return (trend, sar, ep, af, high, high1, low, low1), (sar, trend)
 
     return f
 

@@ -97,9 +97,11 @@ def force_index(df: DataFrame, n: int = 13) -> DataFrame:
 
 
 def ease_of_movement(df: DataFrame, n: int = 14) -> DataFrame:
+    """Mean of n moves of the middle, each per volume over range; a traded bar without range counts as 0."""
     df = df.withColumn("_mid", (F.col("high") + F.col("low")) / 2)
-    df = df.withColumn("_e", F.try_divide(R.change("_mid"), F.try_divide(F.col("volume"), F.col("high") - F.col("low"))))
-    return df.withColumn(f"eom_{n}", R.roll(F.avg, "_e", n, least=1)).drop("_mid", "_e")
+    box = F.try_divide(F.col("volume"), F.col("high") - F.col("low"))
+    moved = F.when((F.col("high") == F.col("low")) & (F.col("volume") > 0), R.change("_mid") * 0).otherwise(F.try_divide(R.change("_mid"), box))
+    return df.withColumn("_e", moved).withColumn(f"eom_{n}", R.mean("_e", n)).drop("_mid", "_e")
 
 
 def volume_features(df: DataFrame, n: int = 20) -> DataFrame:

@@ -177,8 +177,8 @@ add("q_2_7_17_chaikin", volatility.flow, {"cmf_20": f"{roll('sum(mfv)', 20)} / n
 add("q_2_7_18_volume_roc", volatility.volume_change, {"volume_roc_10": f"100 * (CAST(volume AS DOUBLE) / nullif({lag('volume', 10)}, 0) - 1)"})
 add("q_2_7_19_force_index", volatility.force_index, {"force_index_13": ema("f", 13)}, step("f0", {"f": f"(close - {lag('close')}) * volume"}), source="f0")
 add(
-    "q_2_7_20_ease_of_movement", volatility.ease_of_movement, {"eom_14": roll("avg(e)", 14, 1)},
-    step("m0", {"mid": "(high + low) / 2"}), step("m1", {"e": f"(mid - {lag('mid')}) / nullif(volume / nullif(high - low, 0), 0)"}, "m0"), source="m1",
+    "q_2_7_20_ease_of_movement", volatility.ease_of_movement, {"eom_14": roll("avg(e)", 14)},
+    step("m0", {"mid": "(high + low) / 2"}), step("m1", {"e": f"CASE WHEN high = low AND volume > 0 THEN (mid - {lag('mid')}) * 0 ELSE (mid - {lag('mid')}) / nullif(volume / nullif(high - low, 0), 0) END"}, "m0"), source="m1",
 )
 add("q_2_7_21_volume_features", volatility.volume_features, {"volume_ma": roll("avg(volume)", 20), "volume_ratio": f"volume / ({roll('avg(volume)', 20)} + 1)"})
 add("q_2_7_23_volume_confirmation", volatility.volume_features, {"volume_confirmed": f"CASE WHEN volume > 1.5 * {roll('avg(volume)', 20)} THEN 1.0 ELSE 0.0 END"})

@@ -184,15 +184,20 @@ table(
 )
 RS = [step("q0", {"d": f"close - {lag('close')}"}), step("q1", {"p": lag("d")}, "q0"), step("q2", {"cv": f"CASE WHEN count(p) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN round(covar_samp(d, p) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 12) END"}, "q1"), step("q3", {"rs": "CASE WHEN cv < 0 THEN 2 * sqrt(-cv) WHEN cv >= 0 THEN 0.0 END"}, "q2")]
 add("q_2_8_34_roll_spread", M.roll_spread, {"roll_spread": "rs", "roll_spread_pct": "rs / nullif(close, 0)"}, *RS, source="q3")
-AM = [step("a0", {"a": f"abs({RET(1)}) / nullif(close * volume, 0) * 1e6"}), step("a1", {"am": roll("avg(a)", 20, 10)}, "a0")]
-add("q_2_8_35_amihud", M.amihud, {"amihud": "am", "amihud_log": "ln(1 + am)", "amihud_relative": f"am / nullif({roll('avg(am)', 100, 20)}, 0)"}, *AM, source="a1")
-ZE = lambda x: f"({x} - {roll(f'avg({x})', 60)}) / ({roll(f'stddev_samp({x})', 60)} + 1e-9)"
-add("q_2_8_36_liquidity_score", M.liquidity_score, {"liquidity_score": f"({ZE('ns')} + {ZE('dv')}) / 2"}, *RS, step("q4", {"ns": "-(rs / nullif(close, 0))", "dv": "close * volume"}, "q3"), source="q4")
+AM = [step("a0", {"a": f"abs({RET(1)}) / nullif(close * volume, 0) * 1e6"}), step("a1", {"am": roll("avg(a)", 20, 5)}, "a0")]
+add("q_2_8_35_amihud", M.amihud, {"amihud": "am", "amihud_log": "CASE WHEN am > 0 THEN ln(am) END", "amihud_relative": f"am / nullif({roll('avg(am)', 100, 20)}, 0)"}, *AM, source="a1")
+ZE = lambda x: f"coalesce(({x} - {roll(f'avg({x})', 60)}) / ({roll(f'stddev_samp({x})', 60)} + 1e-9), 0)"
+add(
+    "q_2_8_36_liquidity_score", M.liquidity_score, {"liquidity_score": f"({ZE('sp')} + {ZE('al')}) / 2"}, *RS,
+    step("q4", {"a": f"abs({RET(1)}) / nullif(close * volume, 0) * 1e6", "sp": "round(rs / nullif(close, 0), 12)"}, "q3"), step("q5", {"am": roll("avg(a)", 20, 5)}, "q4"), step("q6", {"al": "CASE WHEN am > 0 THEN round(ln(am), 12) END"}, "q5"), source="q6",
+)
 F50 = f"({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
 add(
-    "q_2_8_44_smart_money", M.smart_money, {"block": "b", "block_ratio": roll("avg(b)", 50, 1), "smart_flow": f"{roll('sum(sg)', 50, 1)} / nullif({roll('sum(volume)', 50)}, 0)"},
-    step("j0", {"q": f"CASE WHEN count(volume) OVER {F50} = 50 THEN quantile_cont(volume, 0.95) OVER {F50} END"}), step("j1", {"b": "CASE WHEN volume > q THEN 1.0 WHEN q IS NOT NULL THEN 0.0 END"}, "j0"),
-    step("j2", {"sg": "b * volume * sign(close - open)"}, "j1"), source="j2",
+    "q_2_8_44_smart_money", M.smart_money,
+    {"block": "b", "block_ratio": "br", "impact_ratio": "ir", "smart_money_index": "coalesce((sb - ss) / nullif(sb + ss, 0), 0)", "institutional_activity": "CASE WHEN ir IS NULL OR br IS NULL THEN 0.0 ELSE br * 0.5 + least(greatest(ir, 0), 2) / 4 END"},
+    step("j0", {"q": f"CASE WHEN count(volume) OVER {F50} = 50 THEN quantile_cont(volume, 0.95) OVER {F50} END", "r": f"abs({RET(1)})", "sd": "coalesce((close - low) / nullif(high - low, 0), 0.5) - 0.5"}),
+    step("j1", {"b": "CASE WHEN volume > q THEN 1.0 ELSE 0.0 END::DOUBLE"}, "j0"), step("j2", {"vb": "CASE WHEN sd > 0 THEN b * volume ELSE 0 END", "vs": "CASE WHEN sd < 0 THEN b * volume ELSE 0 END", "rb": "r * b", "rn": "r * (1 - b)"}, "j1"),
+    step("j3", {"br": roll("avg(b)", 50), "ir": f"{roll('avg(rb)', 50)} / nullif({roll('avg(rn)', 50)}, 0)", "sb": roll("sum(vb)", 50), "ss": roll("sum(vs)", 50)}, "j2"), source="j3",
 )
 table(
     "q_2_8_27_bucket_size", lambda s, d: rounded(M.daily_bucket_size(bars(s, d)), "p01", "adv_share", keys=("symbol",)),
@@ -202,7 +207,7 @@ WP = "PARTITION BY a, b ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW"
 PC = [R0, "pc AS (SELECT x.symbol AS a, y.symbol AS b, x.ts, x.r AS ra, y.r AS rb FROM r0 x JOIN r0 y ON x.ts = y.ts AND x.symbol < y.symbol WHERE x.r IS NOT NULL AND y.r IS NOT NULL)",
       f"pd AS (SELECT a, b, ts, CASE WHEN count(*) OVER ({WP}) = 60 THEN covar_pop(ra, rb) OVER ({WP}) / nullif(stddev_pop(ra) OVER ({WP}) * stddev_pop(rb) OVER ({WP}), 0) END AS c FROM pc)"]
 table("q_2_8_7_pair_correlation", lambda s, d: rounded(M.pair_correlations(bars(s, d)), "corr", keys=("a", "b", "ts")), over_bars("SELECT a, b, CAST(epoch(ts) AS BIGINT) AS ts, round(c, 6) AS corr FROM pd WHERE c IS NOT NULL", *PC))
-CR = [*PC, "ce AS (SELECT ts, avg(c) AS ac, stddev_pop(c) AS di, count(*) AS n FROM pd WHERE c IS NOT NULL GROUP BY ts)"]
+CR = [*PC[:2], PC[2].replace("= 60 THEN", ">= 30 THEN"), "ce AS (SELECT ts, avg(c) AS ac, stddev_pop(c) AS di, count(*) AS n FROM pd WHERE c IS NOT NULL GROUP BY ts)"]
 table("q_2_8_55_average_correlation", lambda s, d: rounded(M.correlation_regime(bars(s, d)), "avg_corr", "dispersion", keys=("ts", "n_pairs")), over_bars("SELECT CAST(epoch(ts) AS BIGINT) AS ts, n AS n_pairs, round(ac, 6) AS avg_corr, round(di, 6) AS dispersion FROM ce", *CR))
 table(
     "q_2_8_58_correlation_labels", lambda s, d: M.correlation_regime(bars(s, d)).select(seconds(), "label"),

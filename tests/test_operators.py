@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import rolling as R
 from tapewright.functions.ema import BLOCK, alpha, ema
 from tapewright.functions.ordered import fold
-from tapewright.operators import book, checks, costs, evaluation, joins, momentum, recurrences, statistics, trend, volatility
+from tapewright.operators import book, checks, costs, evaluation, joins, microstructure, momentum, recurrences, statistics, trend, volatility
 from tapewright.streaming.incremental import Features
 
 
@@ -154,3 +154,55 @@ def test_checks_of_an_empty_table(spark):
     df = spark.createDataFrame([], "symbol string, ts timestamp, open double, high double, low double, close double, volume long")
     for f in (checks.missing, checks.relations, checks.prices, checks.volumes, checks.time_gaps, checks.summary, checks.backtest_input, checks.quick, checks.possible_splits):
         assert f(df).count() == 0
+
+
+def plain_sar(high, low, first=0.02, step=0.02, most=0.2):
+    """Wilder's rules, written down anew: (stop, trend) per bar."""
+    out, trend, stop, extreme, pace = [(high[0], -1)], -1, high[0], low[0], first
+    for i in range(1, len(high)):
+        stop += pace * (extreme - stop)
+        before = slice(max(0, i - 2), i)
+        stop = min(stop, *low[before]) if trend > 0 else max(stop, *high[before])
+        crossed = low[i] < stop if trend > 0 else high[i] > stop
+        if crossed:
+            trend, stop, pace = -trend, extreme, first
+            extreme = high[i] if trend > 0 else low[i]
+        elif (high[i] > extreme) if trend > 0 else (low[i] < extreme):
+            extreme, pace = (high[i] if trend > 0 else low[i]), min(pace + step, most)
+        out.append((stop, trend))
+    return out
+
+
+def test_parabolic_sar_by_its_rules(series):
+    df, p = series
+    got = recurrences.sar(df).orderBy("ts").collect()
+    want = plain_sar(p.high.tolist(), p.low.tolist())
+    assert np.allclose([r.sar for r in got], [w[0] for w in want]) and [r.sar_trend for r in got] == [w[1] for w in want]
+
+
+def test_liquidity_measures_equal_pandas(series):
+    df, p = series
+    r = p.close.pct_change()
+    amihud = (r.abs() / (p.close * p.volume) * 1e6).rolling(20, min_periods=5).mean()
+    got = microstructure.liquidity_score(df).orderBy("ts").toPandas()
+    assert np.allclose(got.amihud_log, np.log(amihud.replace(0, np.nan)), equal_nan=True)
+    z = lambda x: (x - x.rolling(60).mean()) / x.rolling(60).std()
+    want = (z(got.roll_spread_pct.astype(float)).fillna(0) + z(np.log(amihud)).fillna(0)) / 2
+    assert np.allclose(got.liquidity_score, want, atol=1e-4)
+    side = (p.close - p.low) / (p.high - p.low) - 0.5
+    block = p.volume > p.volume.rolling(50).quantile(0.95)
+    buys, sells = (((p.volume * block) * hit).rolling(50).sum() for hit in (side > 0, side < 0))
+    impact = (r.abs() * block).rolling(50).mean() / (r.abs() * ~block).rolling(50).mean().replace(0, np.nan)
+    got = microstructure.smart_money(df).orderBy("ts").toPandas()
+    assert np.allclose(got.smart_money_index, ((buys - sells) / (buys + sells).replace(0, np.nan)).fillna(0), atol=1e-9)
+    assert np.allclose(got.institutional_activity, (block.rolling(50).mean() * 0.5 + impact.clip(0, 2) / 4).fillna(0), atol=1e-9)
+
+
+def test_ease_of_movement_counts_flat_bars_as_zero(series):
+    df, p = series
+    flat = df.withColumns({"high": F.when(F.minute("ts") == 0, F.col("close")).otherwise(F.col("high")), "low": F.when(F.minute("ts") == 0, F.col("close")).otherwise(F.col("low"))})
+    q = flat.orderBy("ts").toPandas()
+    mid = (q.high + q.low) / 2
+    with np.errstate(divide="ignore"):
+        want = (mid.diff() / (q.volume / (q.high - q.low))).rolling(14).mean()
+    assert np.allclose(column(volatility.ease_of_movement(flat).withColumn("e", F.coalesce("eom_14", F.lit(float("nan")))), "e"), want, equal_nan=True, atol=1e-12)
