@@ -19,7 +19,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a temporary folder in a local session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
 
