@@ -26,7 +26,7 @@ def column(df, name):
     return [r[0] for r in df.orderBy("ts").select(name).collect()]
 
 
-@pytest.mark.parametrize("span", [1, 5, 26, 200])
+@pytest.mark.parametrize("span", [1, 1.01, 5, 26, 200])
 @pytest.mark.parametrize("adjust", [False, True])
 def test_ema_equals_pandas_across_blocks(series, span, adjust):
     df, p = series
