@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,26 @@ def islands(flag_or_value, w: WindowSpec | None = None) -> Column:
     x, w = _c(flag_or_value), w or series()
     new = F.when(~x.eqNullSafe(F.lag(x).over(w)), 1).otherwise(0)
     return F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+
+
+def order_bucket(x) -> Column:
+    """A number that never falls as x grows, of which 8,192 lie between a value and e times that value."""
+    x = _c(x)
+    far = F.floor(F.ln(F.abs(x)) * 8192).cast("long") + 10_000_000
+    return F.when(x == 0, 0).when(x > 0, far).otherwise(-far)
+
+
+def spread_rank(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
+    """Adds the rank of x among the rows with equal `by`, ties averaged, null for null.
+
+    Rows are ranked within buckets of near values; what lies in the buckets before comes from a table
+    of counts, whose size depends on the range of values and not on the rows.
+    """
+    df = df.withColumn("_bucket", order_bucket(x))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    inside = average_rank(x, *by, "_bucket")
+    out = df.withColumn("_inside", inside).join(offsets, [*same, F.col("_bucket") == F.col("_of")], "left")
+    return out.withColumn(name, F.col("_before") + F.col("_inside")).drop("_bucket", "_of", "_before", "_inside", *[f"_of_{c}" for c in by])

@@ -110,16 +110,21 @@ def ks(ref: DataFrame, cur: DataFrame) -> DataFrame:
     """Both: (feature, value). Largest distance between the empirical distributions, by one union and running counts."""
     u = ref.select("feature", "value", F.lit(1).alias("a"), F.lit(0).alias("b")).union(cur.select("feature", "value", F.lit(0), F.lit(1)))
     g = u.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("feature")
-    d = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
-    return g.withColumn("d", d).groupBy("feature").agg(F.max("d").alias("ks"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
+    # Running counts within buckets of near values, on top of the counts of the buckets before.
+    g = g.withColumn("bucket", R.order_bucket("value"))
+    sums = g.groupBy("feature", "bucket").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
+    before, whole = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("feature")
+    sums = sums.select("feature", "bucket", *[F.coalesce(F.sum(f"s{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in "ab"], *[F.sum(f"s{c}").over(whole).alias(f"all_{c}") for c in "ab"])
+    w = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumns({f"run_{c}": F.sum(c).over(w) for c in "ab"}).join(sums, ["feature", "bucket"])
+    share = lambda c: (F.col(f"before_{c}") + F.col(f"run_{c}")) / F.col(f"all_{c}")
+    return g.withColumn("d", F.abs(share("a") - share("b"))).groupBy("feature").agg(F.max("d").alias("ks"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
 
 
 def two_sample(ref: DataFrame, cur: DataFrame) -> DataFrame:
     """Welch's t and the Mann-Whitney U with average ranks, by feature."""
     u = ref.select("feature", "value", F.lit("a").alias("side")).union(cur.select("feature", "value", F.lit("b")))
-    u = u.withColumn("rank", R.average_rank("value", "feature"))
+    u = R.spread_rank(u, "value", ["feature"], "rank")
     a, b = F.col("side") == "a", F.col("side") == "b"
     g = u.groupBy("feature").agg(
         *[f.alias(n) for n, f in (("na", F.sum(F.when(a, 1))), ("nb", F.sum(F.when(b, 1))), ("ma", F.avg(F.when(a, F.col("value")))), ("mb", F.avg(F.when(b, F.col("value")))), ("va", F.var_samp(F.when(a, F.col("value")))), ("vb", F.var_samp(F.when(b, F.col("value")))), ("ra", F.sum(F.when(a, F.col("rank")))))]
@@ -147,11 +152,7 @@ def calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:
 
 def classification(df: DataFrame, cut: float = 0.5) -> DataFrame:
     """df: (p, y). Accuracy, precision, recall, F1 and AUC by average ranks."""
-    # The rank of p among all rows, from counts of equal values: no window over the whole table.
-    same = df.groupBy("p").agg(F.count(F.lit(1)).alias("k"))
-    before = Window.partitionBy(F.lit(1)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = same.select("p", (F.coalesce(F.sum("k").over(before), F.lit(0)) + (F.col("k") + 1) / 2).alias("rank"))
-    d = df.join(ranks, "p")
+    d = R.spread_rank(df, "p", [], "rank")
     hit = F.col("p") >= cut
     y = F.col("y") == 1
     s = lambda c: F.sum(F.when(c, 1).otherwise(0))
@@ -188,7 +189,8 @@ def leakage(df: DataFrame, feature_lags: int = 5) -> DataFrame:
     """df: (feature, symbol, ts, value, r). Rank correlation with returns 1 to 5 bars ahead; a spike means a look ahead."""
     w = Window.partitionBy("feature", "symbol").orderBy("ts")
     d = df.withColumns({f"r{k}": F.lead("r", k).over(w) for k in range(1, feature_lags + 1)}).dropna()
-    d = d.withColumns({"rv": R.average_rank("value", "feature")} | {f"k{k}": R.average_rank(f"r{k}", "feature") for k in range(1, feature_lags + 1)})
+    for x, name in (("value", "rv"), *((f"r{k}", f"k{k}") for k in range(1, feature_lags + 1))):
+        d = R.spread_rank(d, x, ["feature"], name)
     g = d.groupBy("feature").agg(*[F.abs(F.try_divide(F.covar_pop("rv", f"k{k}"), F.stddev_pop("rv") * F.stddev_pop(f"k{k}"))).alias(f"c{k}") for k in range(1, feature_lags + 1)])
     cs = [F.col(f"c{k}") for k in range(1, feature_lags + 1)]
     most, mean = F.greatest(*cs), sum(cs[1:], cs[0]) / len(cs)

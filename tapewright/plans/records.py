@@ -13,9 +13,9 @@ from tapewright.operators import volatility
 from tapewright.plans.aggregates import Q0, _returns, _scored
 from tapewright.plans.build import rounded
 from tapewright.plans.indicators import RET, step
-from tapewright.plans.oracle import TICKS, W, over_bars, roll
+from tapewright.plans.oracle import TICKS, W, over_bars, roll, rollup
 from tapewright.plans.portfolios import ST, U0, _strategies, over_users
-from tapewright.sources.tables import bars, seconds, table, ticks
+from tapewright.sources.tables import bars, rollup as to_bars, seconds, table, ticks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -91,33 +91,45 @@ add(
 add("q_2_12_44_restricted", lambda s, d: _orders(s, d).join(table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("symbol")), "symbol", "left_anti").select("order_id"), "SELECT o_orderkey AS order_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 
 
-# Simulations of one symbol's returns.
+# Simulations of every symbol's daily returns: 10,000 paths, 1,000 flips.
+PATHS, FLIPS = 10_000, 1_000
+
+
 def _series(s, d):
-    r = _returns(s, d).where("symbol = 'view'")
-    return r.select((F.row_number().over(R.W) - 1).alias("i"), F.round("r", 12).alias("r"))
+    r = to_bars(ticks(s, d), "1 day").withColumn("r", R.pct("close")).where("r is not null")
+    return r.select("symbol", (F.row_number().over(R.W) - 1).alias("i"), F.round("r", 12).alias("r"))
 
 
-SE = [*Q0, f"se AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS i, round(r, 12) AS r FROM q1 WHERE symbol = 'view')"]
+SE = ["WITH " + TICKS, rollup("db", "1 DAY"), f"dr AS (SELECT symbol, ts, close / nullif(lag(close) OVER ({W}), 0) - 1 AS r FROM db)", f"se AS (SELECT symbol, row_number() OVER ({W}) - 1 AS i, round(r, 12) AS r FROM dr WHERE r IS NOT NULL)"]
 DRAW = lambda *c: "CAST('0x' || substr(md5(concat_ws(':', 7, " + ", ".join(c) + ")), 1, 8) AS BIGINT)"
 BP = [
-    *SE, "nn AS (SELECT count(*) AS n FROM se)", f"st AS (SELECT p, b, {DRAW('p', 'b')} % (n - 20 + 1) AS s, n FROM (SELECT unnest(range(50)) AS p), nn, LATERAL (SELECT unnest(range((n + 19) // 20)) AS b))",
-    "at AS (SELECT p, b * 20 + j AS k, s + j AS i FROM st, (SELECT unnest(range(20)) AS j) WHERE b * 20 + j < n)".replace("at AS", "ix AS"), "pt AS (SELECT p, k, r FROM ix JOIN se USING (i))",
-    "pe AS (SELECT *, exp(sum(ln(greatest(1 + r, 1e-6))) OVER (PARTITION BY p ORDER BY k)) AS e FROM pt)", "pd AS (SELECT *, e / greatest(max(e) OVER (PARTITION BY p ORDER BY k), 1.0) - 1 AS dd FROM pe)",
-    "pm AS (SELECT p AS path, last(e ORDER BY k) - 1 AS tr, avg(r) / nullif(stddev_samp(r), 0) AS sh, min(dd) AS md FROM pd GROUP BY p)",
+    *SE, "nn AS (SELECT symbol, count(*) AS n FROM se GROUP BY symbol HAVING count(*) >= 5)", f"st AS (SELECT symbol, p, b, {DRAW('symbol', 'p', 'b')} % (n - 5 + 1) AS s, n FROM (SELECT unnest(range({PATHS})) AS p), nn, LATERAL (SELECT unnest(range((n + 4) // 5)) AS b))",
+    "ix AS (SELECT symbol, p, b * 5 + j AS k, s + j AS i FROM st, (SELECT unnest(range(5)) AS j) WHERE b * 5 + j < n)", "pt AS (SELECT symbol, p, k, r FROM ix JOIN se USING (symbol, i))",
+    "pe AS (SELECT *, exp(sum(ln(greatest(1 + r, 1e-6))) OVER (PARTITION BY symbol, p ORDER BY k)) AS e FROM pt)", "pd AS (SELECT *, e / greatest(max(e) OVER (PARTITION BY symbol, p ORDER BY k), 1.0) - 1 AS dd FROM pe)",
+    "pm AS (SELECT symbol, p AS path, last(e ORDER BY k) - 1 AS tr, avg(r) / nullif(stddev_samp(r), 0) AS sh, min(dd) AS md FROM pd GROUP BY symbol, p)",
 ]
-_paths = lambda s, d: S.path_metrics(S.block_paths(_series(s, d), 50, 20))
-add("q_2_12_12_block_bootstrap", lambda s, d: rounded(_paths(s, d), "total_return", "sharpe", "max_drawdown", keys=("path",), digits=5), over_bars("SELECT path, round(tr, 5) AS total_return, round(sh, 5) AS sharpe, round(md, 5) AS max_drawdown FROM pm", *BP))
+_paths = lambda s, d: S.path_metrics(S.block_paths(_series(s, d), PATHS, 5))
+_said = lambda select, steps: ",\n".join(steps) + "\n" + select
+add("q_2_12_12_block_bootstrap", lambda s, d: rounded(_paths(s, d), "total_return", "sharpe", "max_drawdown", keys=("symbol", "path"), digits=5), _said("SELECT symbol, path, round(tr, 5) AS total_return, round(sh, 5) AS sharpe, round(md, 5) AS max_drawdown FROM pm", BP))
+add(
+    "q_2_12_14_bootstrap_interval", lambda s, d: rounded(S.intervals(_paths(s, d), "sharpe"), "p05", "p50", "p95", "mean", "loss_share", keys=("symbol",), digits=5),
+    _said("SELECT symbol, round(quantile_cont(sh, 0.05), 5) AS p05, round(quantile_cont(sh, 0.5), 5) AS p50, round(quantile_cont(sh, 0.95), 5) AS p95, round(avg(sh), 5) AS mean, round(avg(CASE WHEN sh < 0 THEN 1.0 ELSE 0 END), 5) AS loss_share FROM pm GROUP BY symbol", BP),
+)
+add(
+    "q_2_12_15_worst_case", lambda s, d: rounded(S.intervals(_paths(s, d), "max_drawdown"), "p05", "p50", "p95", "mean", keys=("symbol",), digits=5),
+    _said("SELECT symbol, round(quantile_cont(md, 0.05), 5) AS p05, round(quantile_cont(md, 0.5), 5) AS p50, round(quantile_cont(md, 0.95), 5) AS p95, round(avg(md), 5) AS mean FROM pm GROUP BY symbol", BP),
+)
 add(
-    "q_2_12_14_bootstrap_interval", lambda s, d: rounded(S.intervals(_paths(s, d), "sharpe"), "p05", "p50", "p95", "mean", "loss_share", keys=(), digits=5),
-    over_bars("SELECT round(quantile_cont(sh, 0.05), 5) AS p05, round(quantile_cont(sh, 0.5), 5) AS p50, round(quantile_cont(sh, 0.95), 5) AS p95, round(avg(sh), 5) AS mean, round(avg(CASE WHEN sh < 0 THEN 1.0 ELSE 0 END), 5) AS loss_share FROM pm", *BP),
+    "q_2_12_16_drawdown_distribution", lambda s, d: rounded(_paths(s, d).groupBy("symbol", F.floor(F.round(F.col("max_drawdown") * -10, 6)).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("max_drawdown").alias("mean")), "mean", keys=("symbol", "bin", "n"), digits=5),
+    _said("SELECT symbol, CAST(floor(round(md * -10, 6)) AS BIGINT) AS bin, count(*) AS n, round(avg(md), 5) AS mean FROM pm GROUP BY 1, 2", BP),
 )
 add(
-    "q_2_12_15_worst_case", lambda s, d: rounded(S.intervals(_paths(s, d), "max_drawdown"), "p05", "p50", "p95", "mean", keys=(), digits=5),
-    over_bars("SELECT round(quantile_cont(md, 0.05), 5) AS p05, round(quantile_cont(md, 0.5), 5) AS p50, round(quantile_cont(md, 0.95), 5) AS p95, round(avg(md), 5) AS mean FROM pm", *BP),
+    "q_2_12_19_sharpe_interval", lambda s, d: rounded(S.intervals(_paths(s, d), "sharpe", (0.025, 0.975)), "p02", "p97", keys=("symbol",), digits=5),
+    _said("SELECT symbol, round(quantile_cont(sh, 0.025), 5) AS p02, round(quantile_cont(sh, 0.975), 5) AS p97 FROM pm GROUP BY symbol", BP),
 )
 add(
-    "q_2_12_18_sign_flip_test", lambda s, d: rounded(S.sign_flips(_series(s, d), 99), "p_value", keys=("hits", "n")),
-    over_bars(f"SELECT CAST(sum(CASE WHEN m >= (SELECT avg(r) FROM se) THEN 1 ELSE 0 END) + 1 AS BIGINT) AS hits, count(*) AS n, round((sum(CASE WHEN m >= (SELECT avg(r) FROM se) THEN 1 ELSE 0 END) + 1) / (count(*) + 1), 6) AS p_value FROM (SELECT p, avg(CASE WHEN {DRAW('p', 'i')} % 2 = 0 THEN r ELSE -r END) AS m FROM se, (SELECT unnest(range(99)) AS p) GROUP BY p)", *SE),
+    "q_2_12_18_sign_flip_test", lambda s, d: rounded(S.sign_flips(_series(s, d), FLIPS), "p_value", keys=("symbol", "hits", "n")),
+    _said(f"SELECT symbol, CAST(sum(CASE WHEN round(m, 12) >= round(seen, 12) THEN 1 ELSE 0 END) + 1 AS BIGINT) AS hits, count(*) AS n, round((sum(CASE WHEN round(m, 12) >= round(seen, 12) THEN 1 ELSE 0 END) + 1) / (count(*) + 1), 6) AS p_value FROM (SELECT symbol, p, avg(CASE WHEN {DRAW('symbol', 'p', 'i')} % 2 = 0 THEN r ELSE -r END) AS m FROM se, (SELECT unnest(range({FLIPS})) AS p) GROUP BY symbol, p) JOIN (SELECT symbol, avg(r) AS seen FROM se GROUP BY symbol) USING (symbol) GROUP BY symbol", SE),
 )
 _long = lambda s, d: _strategies(s, d).groupBy("strategy", "ts").agg(F.round(F.sum(F.col("signal") * F.coalesce("r", F.lit(0.0))), 9).alias("r")).withColumn("i", F.row_number().over(Window.partitionBy("strategy").orderBy("ts")) - 1)
 add(
@@ -125,8 +137,8 @@ add(
     over_users(
         """SELECT count(*) AS n_combos, round(avg(CASE WHEN a <> b THEN 1.0 ELSE 0 END), 6) AS pbo FROM (SELECT c, max(CASE WHEN ins = 1 THEN best END) AS a, max(CASE WHEN ins = 0 THEN best END) AS b FROM (SELECT c, ins, last(strategy ORDER BY sh, strategy) AS best FROM sh GROUP BY c, ins) GROUP BY c)""",
         U0, *ST, "lo AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY ts) - 1 AS i FROM (SELECT strategy, ts, round(sum(signal * coalesce(r, 0)), 9) AS r FROM st GROUP BY 1, 2))",
-        "bs AS (SELECT strategy, CAST(floor(i * 6 / ((SELECT max(i) FROM lo) + 1)) AS BIGINT) AS b, count(*) AS n, sum(r) AS s, sum(r * r) AS q FROM lo GROUP BY 1, 2)",
-        "co AS (SELECT m AS c, b, (m >> b) & 1 AS ins FROM (SELECT unnest(range(64)) AS m) , (SELECT unnest(range(6)) AS b) WHERE bit_count(m) = 3)",
+        "bs AS (SELECT strategy, CAST(floor(i * 16 / ((SELECT max(i) FROM lo) + 1)) AS BIGINT) AS b, count(*) AS n, sum(r) AS s, sum(r * r) AS q FROM lo GROUP BY 1, 2)",
+        "co AS (SELECT m AS c, b, (m >> b) & 1 AS ins FROM (SELECT unnest(range(65536)) AS m) , (SELECT unnest(range(16)) AS b) WHERE bit_count(m) = 8)",
         "sh AS (SELECT c, strategy, ins, round((s / n) / nullif(sqrt((q - s * s / n) / (n - 1)), 0), 10) AS sh FROM (SELECT c, strategy, ins, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM bs JOIN co USING (b) GROUP BY 1, 2, 3))",
     ),
 )

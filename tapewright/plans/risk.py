@@ -83,9 +83,9 @@ add(
 )
 DR = lambda t: f"CAST('0x' || substr(md5(concat_ws(':', 7, k, '{t}')), 1, 8) AS BIGINT)"
 add(
-    "q_2_4_28_simulated_var", lambda s, d: rounded(S.simulated_var(_returns(s, d).groupBy("symbol").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd")), 2000), "var_95", "var_99", keys=("symbol",), digits=5),
+    "q_2_4_28_simulated_var", lambda s, d: rounded(S.simulated_var(_returns(s, d).groupBy("symbol").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd")), 10_000), "var_95", "var_99", keys=("symbol",), digits=5),
     over_bars(
-        f"SELECT symbol, round(quantile_cont(mu + sd * z, 0.05), 5) AS var_95, round(quantile_cont(mu + sd * z, 0.01), 5) AS var_99 FROM (SELECT symbol, avg(r) AS mu, stddev_samp(r) AS sd FROM q1 GROUP BY symbol), (SELECT sqrt(-2 * ln(({DR('a')} + 1) / {2.0**32 + 1!r}::DOUBLE)) * cos({2 * math.pi!r} * ({DR('b')} / {2.0**32!r}::DOUBLE)) AS z FROM (SELECT unnest(range(2000)) AS k)) GROUP BY symbol",
+        f"SELECT symbol, round(quantile_cont(mu + sd * z, 0.05), 5) AS var_95, round(quantile_cont(mu + sd * z, 0.01), 5) AS var_99 FROM (SELECT symbol, avg(r) AS mu, stddev_samp(r) AS sd FROM q1 GROUP BY symbol), (SELECT sqrt(-2 * ln(({DR('a')} + 1) / {2.0**32 + 1!r}::DOUBLE)) * cos({2 * math.pi!r} * ({DR('b')} / {2.0**32!r}::DOUBLE)) AS z FROM (SELECT unnest(range(10000)) AS k)) GROUP BY symbol",
         *Q0,
     ),
 )
