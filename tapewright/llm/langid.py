@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import fresh
+from tapewright.llm.common import fresh, staged
 
 #: Words of one block: transfer matrices are multiplied inside blocks, then along each document's blocks.
 BLOCK = 32
 #: Words of one pass over a batch, and word types whose scores a worker remembers.
 PASS_WORDS, REMEMBERED = 200_000, 300_000
 UNKNOWN = "und"
+#: Most languages whose counts are sent to every executor.
+MOST_BROADCAST = 10_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -238,13 +240,14 @@ def fit(docs: DataFrame, sample_docs: int = 4000, span_words: int = 64, seed: in
     """
     lang, text = F.col("lang").alias("lang"), F.col("text").alias("text")
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", lang, text)
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "counts")
     kinds = counts.count()
     if not kinds:
         return train([])
     part = max(1, sample_docs // kinds)
     hashed = F.xxhash64("doc_id", F.lit(seed))
-    near = known.join(counts, "lang").where((hashed / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * part + 20)
+    few = F.broadcast(counts) if kinds <= MOST_BROADCAST else counts
+    near = known.join(few, "lang").where((hashed / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * part + 20)
     words = F.split(F.col("text"), r"[\x20\x09-\x0D]+")
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.size(words) - span_words + 1)).cast("int")
     spans = near.select("lang", hashed.alias("h"), F.array_join(F.slice(words, start, span_words), " ").alias("span")).distinct()
