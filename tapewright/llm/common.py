@@ -31,11 +31,16 @@ _SCRATCH: list[list[DataFrame]] = []
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, lost executors don't matter."""
+    """Writes df to the shared folder and reads it again: lineage ends there, lost executors don't matter.
+
+    The shuffles behind df are of no use then. Spark deletes their files once the driver's JVM has
+    collected what refers to them, which may be long after; so it is asked to collect now.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    df.sparkSession.sparkContext._jvm.System.gc()
     if _SCRATCH:
         _SCRATCH[-1].append(out)
     return out

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import staged, text_table
+from tapewright.llm.common import release, staged, text_table
 from tapewright.llm.components import connected_components
 from tapewright.llm.simhash import close_edges, majority, shingle_hashes
 
@@ -153,8 +153,9 @@ def similar_pairs(docs: DataFrame, roots: DataFrame, similarity: float, shingle_
         return first.view(np.int64), np.full(len(first), len(members)), len(members) - np.arange(len(first))
 
     rows = texts.select("text").mapInArrow(_each_text(make, ["key", "size", "rest"]), "sign long, key long, size long, rest long")
-    rows = staged(rows.select("key", "sign", F.col("size").cast("int"), F.col("rest").cast("int")), "keys")
-    rows = staged(_open(rows, "sign").dropDuplicates(["key", "sign"]).withColumn("part", F.col("sign")), "keyed")
+    every = staged(rows.select("key", "sign", F.col("size").cast("int"), F.col("rest").cast("int")), "keys")
+    rows = staged(_open(every, "sign").dropDuplicates(["key", "sign"]).withColumn("part", F.col("sign")), "keyed")
+    release(every)
 
     def compared(pairs):
         # Sets of these sizes, of which no member before this key is shared, may still share enough.
@@ -166,10 +167,14 @@ def similar_pairs(docs: DataFrame, roots: DataFrame, similarity: float, shingle_
     edges = _verified(_close_fingerprints(roots), docs, roots, similarity, shingle_words, seed)
     rows = _components(edges, rows)
     for k in range(ROUNDS):
-        one = F.min_by(F.struct(*own), F.xxhash64(F.lit(k), "sign")).alias("one")
-        many = staged(rows.groupBy("key").agg(one, F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY), "many")
-        if many.isEmpty():
+        hot = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("key"), "hot")
+        if hot.isEmpty():
             break
+        # The set that has most of these keys is the middle of its group: the text that others are copies of.
+        crowd = rows.join(hot, "key")
+        fame = crowd.groupBy("sign").agg(F.count(F.lit(1)).alias("fame"))
+        one = F.max_by(F.struct(*own), F.struct("fame", F.xxhash64(F.lit(k), "sign"))).alias("one")
+        many = staged(crowd.join(fame, "sign").groupBy("key").agg(one), "many")
         near = compared(rows.join(many.select("key", *[F.col(f"one.{c}").alias(f"{c}2") for c in own]), "key").where("part != part2"))
         edges = edges.union(near)
         rows = _components(edges, rows)
