@@ -8,9 +8,9 @@ first n - ceil(t * n) + 1 members of each, n being its size, in any order of mem
 all sets. Only those members become keys. The order puts shingles that a sample shows to be common
 last, so that keys are rare; what the sample holds changes the work, never the result.
 
-Where many sets share a key, they are first compared with one of them, and what that links needs no
-further comparison: a large group of near copies costs one comparison for each. Then the pairs that
-aren't connected yet are compared, all of them. Pairs that can't be similar are left out by bounds
+Where many sets share a key, they are first compared with one of them, then with others that each key
+draws by lot, and what that links needs no further comparison: a large group of near copies costs a
+few comparisons for each key of a set. Then the pairs that aren't connected yet are compared, all of them. Pairs that can't be similar are left out by bounds
 first: sets differ in no fewer members than their parity bits do.
 """
 
@@ -31,7 +31,7 @@ from tapewright.llm.simhash import close_edges, majority, shingle_hashes
 #: One text of so many is in the sample, a shingle of so many texts there is common, and at most so many are put last.
 SAMPLED, COMMON, COMMON_KEPT = 8, 4, 100_000
 #: Rounds in which the sets of a key are compared with one of them, if there are more than so many.
-ROUNDS, MANY = 2, 32
+ROUNDS, MANY = 3, 32
 #: Words of 64 parity bits of a set.
 PARITY = 16
 
@@ -170,11 +170,13 @@ def similar_pairs(docs: DataFrame, roots: DataFrame, similarity: float, shingle_
         hot = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("key"), "hot")
         if hot.isEmpty():
             break
-        # The set that has most of these keys is the middle of its group: the text that others are copies of.
-        crowd = rows.join(hot, "key")
-        fame = crowd.groupBy("sign").agg(F.count(F.lit(1)).alias("fame"))
-        one = F.max_by(F.struct(*own), F.struct("fame", F.xxhash64(F.lit(k), "sign"))).alias("one")
-        many = staged(crowd.join(fame, "sign").groupBy("key").agg(one), "many")
+        crowd, lot = rows.join(hot, "key"), F.xxhash64(F.lit(k), "key", "sign")
+        if k == 0:
+            # The set that has most of these keys is the middle of its group: the text that others are copies of.
+            fame = crowd.groupBy("sign").agg(F.count(F.lit(1)).alias("fame"))
+            crowd, lot = crowd.join(fame, "sign"), F.struct("fame", F.xxhash64("sign"))
+        # Later every key draws its own, so a set far from the middle meets as many others as it has keys.
+        many = staged(crowd.groupBy("key").agg(F.max_by(F.struct(*own), lot).alias("one")), "many")
         near = compared(rows.join(many.select("key", *[F.col(f"one.{c}").alias(f"{c}2") for c in own]), "key").where("part != part2"))
         edges = edges.union(near)
         rows = _components(edges, rows)
