@@ -37,7 +37,7 @@ SPELT_LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 GROUPS = re.compile(r"[0-9]+")
 SEPARATED = re.compile(r"(?<![0-9])(?:[0-9]{4}([.\u00a0\u2009\u202f\u2011\u2013/_]|[\x20-]{2})[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([.\u00a0\u2009\u202f\u2011\u2013/_]|[\x20-]{2})[0-9]{6}\2[0-9]{4,5})(?![0-9])")
-AMERICAN = re.compile(r"(?<![\w+-])(?:\([2-9][0-9]{2}\)[\x20-]?|[2-9][0-9]{2}([.\x20-]))[2-9][0-9]{2}[.\x20-][0-9]{4}(?![\w-])")
+AMERICAN = re.compile(r"(?<![\w+-])(?:\+?1[\x20.-]?)?(?:\([2-9][0-9]{2}\)[\x20-]?|[2-9][0-9]{2}([.\x20-]))[2-9][0-9]{2}[.\x20-][0-9]{4}(?![\w-])")
 NATIONAL = re.compile(r"(?<![\w+.-])0[1-9](?:[\x20./-]?[0-9]){6,11}(?![\w-])|(?<![\w+.-])00[1-9](?:[\x20./-]?[0-9]){7,12}(?![\w-])|(?<![\w+.-])[6-9][0-9]{2}[\x20-]?[0-9]{3}[\x20-]?[0-9]{3}(?![\w-])")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}")
 SOCIAL = re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])")
@@ -200,7 +200,7 @@ def proposed(text: str, digits: bool):
         if 97 - int(n[:-2].replace("2A", "19").replace("2B", "18")) % 97 == int(n[-2:]):
             yield m.start(), NIR, m.end(), 0.6
     for m in AMERICAN.finditer(text):
-        yield m.start(), PHONE, m.end(), 0.5 if m[0][0] == "(" or m[1] != " " else 0.3
+        yield m.start(), PHONE, m.end(), 0.5 if m[0][0] in "+(" or m[1] != " " else 0.3
     for m in NATIONAL.finditer(text):
         yield m.start(), PHONE, m.end(), 0.3
     for m in SPANISH.finditer(text):

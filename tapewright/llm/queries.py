@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import embeddings, langid, mixing, packing, pii, quality, secrets, sharding, simhash, substrings, tokencount
+from tapewright.llm import embeddings, langid, merkle, mixing, packing, pii, quality, secrets, sharding, simhash, substrings, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,14 +53,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_documents(spark, sf_dir)))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(_documents(spark, sf_dir), merkle.tamper_fifth())
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(_documents(spark, sf_dir)))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_quality, op4_substrings, op5_embeddings, op6_sharding, op7_tokencount, op8_simhash, op9_mixing, op10_packing, op13_pii)}
+    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_quality, op4_substrings, op5_embeddings, op6_sharding, op7_tokencount, op8_simhash, op9_mixing, op10_packing, op12_merkle, op13_pii)}
 
 
 def oracle_sql() -> dict:
     """The other operators have models, tokenizers, fingerprints, lexing or choices that SQL can't express; tests hold them against brute force."""
-    return {"op4_substrings": substrings.SQL, "op5_embeddings": embeddings.SQL}
+    return {"op4_substrings": substrings.SQL, "op5_embeddings": embeddings.SQL, "op12_merkle": merkle.SQL}

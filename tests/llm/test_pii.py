@@ -65,6 +65,7 @@ ADDED = {
     "social": ("ssn 536-22-8726.", [("ssn", "536-22-8726")]),
     "social that can't be": ("ssn 666-22-8726.", []),
     "social lowered": ("part 536-22-8726 is sold out", []),
+    "international before digits": ("at +1 (826) 555-4081 190.137.223.20 too", [("phone", "+1 (826) 555-4081")]),
     "american": ("(523) 555-1055 is hers", [("phone", "(523) 555-1055")]),
     "national with context": ("Telefon: 030 1234567, bitte", [("phone", "030 1234567")]),
     "national without": ("it is 030 1234567, thanks", []),
