@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import embeddings, langid, merkle, mixing, packing, pii, quality, secrets, sharding, simhash, substrings, tokencount
+from tapewright.llm import alignment, embeddings, langid, merkle, mixing, packing, pii, quality, secrets, sharding, simhash, substrings, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_documents(spark, sf_dir)))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(_documents(spark, sf_dir))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(_documents(spark, sf_dir), merkle.tamper_fifth())
 
@@ -62,7 +66,7 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_quality, op4_substrings, op5_embeddings, op6_sharding, op7_tokencount, op8_simhash, op9_mixing, op10_packing, op12_merkle, op13_pii)}
+    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_quality, op4_substrings, op5_embeddings, op6_sharding, op7_tokencount, op8_simhash, op9_mixing, op10_packing, op11_alignment, op12_merkle, op13_pii)}
 
 
 def oracle_sql() -> dict:
