@@ -104,17 +104,42 @@ def order_bucket(x) -> Column:
     return F.when(x == 0, 0).when(x > 0, far).otherwise(-far)
 
 
-def spread_rank(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
-    """Adds the rank of x among the rows with equal `by`, ties averaged, null for null.
+def value_places(df: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """(by, x, n, before): each distinct value with its rows and the rows of smaller values, among those with equal `by`.
 
-    Rows are ranked within buckets of near values; what lies in the buckets before comes from a table
-    of counts, whose size depends on the range of values and not on the rows.
+    Equal values are counted first, so a value that many rows share is one row here. Values are summed up
+    within buckets of near values, on top of the buckets before, whose number depends on the range of
+    values and not on the rows.
     """
-    df = df.withColumn("_bucket", order_bucket(x))
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n")).withColumn("_bucket", order_bucket(x))
+    sums = values.groupBy(*by, "_bucket").agg(F.sum("n").alias("_s"))
+    past = Window.unboundedPreceding, -1
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("_bucket").rowsBetween(*past)), F.lit(0)))
+    sums = sums.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_bucket").alias("_of"), "_before")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "_bucket").orderBy(x).rowsBetween(*past)), F.lit(0))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    out = values.withColumn("_inside", inside).join(sums, [*same, F.col("_bucket") == F.col("_of")])
+    return out.select(*by, x, "n", (F.col("_before") + F.col("_inside")).alias("before"))
+
+
+def spread_rank(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
+    """Adds the rank of x among the rows with equal `by`, ties averaged, null for null: ranks of the distinct values, joined back."""
+    places = value_places(df, x, by)
+    places = places.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col(x).alias("_x"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return df.join(places, [*same, F.col(x) == F.col("_x")], "left").drop("_x", *[f"_of_{c}" for c in by])
+
+
+def percentiles(df: DataFrame, x: str, shares: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """(by, q): exact percentiles of x, between neighbours in proportion, without a group in one task."""
+    by = by or []
+    places = value_places(df, x, by)
+    total = places.groupBy(*by).agg(F.sum("n").alias("_n")).select(*[F.col(c).alias(f"_of_{c}") for c in by], "_n")
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-    inside = average_rank(x, *by, "_bucket")
-    out = df.withColumn("_inside", inside).join(offsets, [*same, F.col("_bucket") == F.col("_of")], "left")
-    return out.withColumn(name, F.col("_before") + F.col("_inside")).drop("_bucket", "_of", "_before", "_inside", *[f"_of_{c}" for c in by])
+    j = places.join(total, same) if by else places.crossJoin(F.broadcast(total))  # one row
+    at = [F.lit(s) * (F.col("_n") - 1) for s in shares]
+    holds = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
+    low = [F.max(F.when(holds(F.floor(a)), F.col(x))) for a in at]
+    high = [F.max(F.when(holds(F.ceil(a)), F.col(x))) for a in at]
+    part = [F.max(a - F.floor(a)) for a in at]
+    return j.groupBy(*by).agg(F.array(*[a + (b - a) * c for a, b, c in zip(low, high, part, strict=True)]).alias("q"))

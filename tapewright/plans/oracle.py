@@ -50,3 +50,28 @@ def wide(columns: dict[str, str], source: str = "bars", *steps: str, digits: int
     """symbol, ts and the rounded columns."""
     cols = ", ".join(f"round({e}, {digits}) AS {n}" for n, e in columns.items())
     return over_bars(f"SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, {cols} FROM {source}", *steps)
+
+
+def draw(seed: int, *on: str) -> str:
+    """A hash of SQL texts, 0 to 2 ** 32 - 1, as in the queries."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', {seed}, {', '.join(on)})), 1, 8) AS BIGINT)"
+
+
+def products(columns: list[str], weight: str = "1.0") -> str:
+    """List of all sums of products of two columns, row after row."""
+    return "[" + ", ".join(f"sum(({a}) * ({b}) * ({weight}))" for a in columns for b in columns) + "]"
+
+
+def exchange_steps(a: str, m: int, pivots: str) -> str:
+    """Matrix `a` (a list of m * m) after exchange steps on the columns in the list `pivots`, such as [[0.0], [1.0]]."""
+    step = (
+        f"CASE WHEN q // {m} = p[1] AND q % {m} = p[1] THEN 1 / nullif(a[CAST(p[1] * {m} + p[1] AS BIGINT) + 1], 0)"
+        f" WHEN q // {m} = p[1] THEN a[q + 1] / nullif(a[CAST(p[1] * {m} + p[1] AS BIGINT) + 1], 0)"
+        f" WHEN q % {m} = p[1] THEN -a[q + 1] / nullif(a[CAST(p[1] * {m} + p[1] AS BIGINT) + 1], 0)"
+        f" ELSE a[q + 1] - a[CAST(p[1] * {m} AS BIGINT) + q % {m} + 1] * a[(q // {m}) * {m} + CAST(p[1] AS BIGINT) + 1] / nullif(a[CAST(p[1] * {m} + p[1] AS BIGINT) + 1], 0) END"
+    )
+    return f"list_reduce(list_prepend({a}, {pivots}), lambda a, p: list_transform(range({m * m}), lambda q: {step}))"
+
+
+def pivots(n: int) -> str:
+    return "[" + ", ".join(f"[{k}.0::DOUBLE]" for k in range(n)) + "]"
