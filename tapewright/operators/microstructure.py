@@ -162,18 +162,15 @@ def ou_parameters(df: DataFrame) -> DataFrame:
     )
 
 
-def adf_statistic(df: DataFrame) -> DataFrame:
-    """Per symbol: t value of the lagged level in the regression of the change on it (no extra lags)."""
-    s = df.withColumns({"d": R.change("close"), "p": R.lag("close")}).where("p is not null")
-    g = s.groupBy("symbol").agg(F.regr_slope("d", "p").alias("b"), F.regr_sxx("d", "p").alias("sxx"), F.regr_syy("d", "p").alias("syy"), F.regr_sxy("d", "p").alias("sxy"), F.count(F.lit(1)).alias("n"))
-    se = F.sqrt((F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("n") - 2) / F.col("sxx"))
-    return g.withColumn("t", F.try_divide(F.col("b"), se)).select("symbol", F.col("t").alias("adf_t"), F.when(F.col("t") < -2.86, 1).otherwise(0).alias("stationary"))
+def pair_rows(df: DataFrame) -> DataFrame:
+    """(a, ts, y, b, x): the closes of every two symbols at the times that both have."""
+    s = df.select("symbol", "ts", "close")
+    return s.select(F.col("symbol").alias("a"), "ts", F.col("close").alias("y")).join(s.select(F.col("symbol").alias("b"), "ts", F.col("close").alias("x")), "ts").where("a < b")
 
 
 def pair_spreads(df: DataFrame, n: int = 20) -> DataFrame:
     """For every two symbols: spread with the least-squares hedge ratio of all common times, and its rolling z-score."""
-    s = df.select("symbol", "ts", "close")
-    p = s.select(F.col("symbol").alias("a"), "ts", F.col("close").alias("y")).join(s.select(F.col("symbol").alias("b"), "ts", F.col("close").alias("x")), "ts").where("a < b")
+    p = pair_rows(df)
     h = p.groupBy("a", "b").agg(F.regr_slope("y", "x").alias("hedge"))
     p = p.join(h, ["a", "b"])
     p = p.withColumn("spread", F.col("y") - F.col("hedge") * F.col("x"))
@@ -181,17 +178,6 @@ def pair_spreads(df: DataFrame, n: int = 20) -> DataFrame:
     return p.withColumn("z", F.try_divide(F.col("spread") - R.mean("spread", n, w=w), R.std("spread", n, w=w) + 1e-8)).select("a", "b", "ts", "hedge", "spread", "z")
 
 
-def pair_tests(df: DataFrame) -> DataFrame:
-    """Per pair: hedge ratio, unit-root t of the spread and its half-life."""
-    p = pair_spreads(df).withColumn("symbol", F.concat_ws("|", "a", "b"))
-    w = Window.partitionBy("a", "b").orderBy("ts")
-    p = p.withColumns({"p": F.lag("spread").over(w)}).withColumn("d", F.col("spread") - F.col("p")).where("p is not null")
-    g = p.groupBy("a", "b").agg(F.first("hedge").alias("hedge"), F.regr_slope("d", "p").alias("s"), F.regr_sxx("d", "p").alias("sxx"), F.regr_syy("d", "p").alias("syy"), F.regr_sxy("d", "p").alias("sxy"), F.count(F.lit(1)).alias("n"))
-    se = F.sqrt((F.col("syy") - F.col("s") * F.col("sxy")) / (F.col("n") - 2) / F.col("sxx"))
-    b = 1 + F.col("s")
-    return g.select("a", "b", "hedge", F.try_divide(F.col("s"), se).alias("adf_t"), F.when((b > 0) & (b < 1), -math.log(2) / F.ln(b)).alias("half_life"), "n")
-
-
 def earlier_share(x: str, n: int) -> Column:
     """Share of the n - 1 values before a row that are below its own, equal ones half; null until n values are there."""
     past = F.collect_list(x).over(R.series().rowsBetween(-(n - 1), -1))

@@ -112,3 +112,12 @@ def pair_tests(spreads: DataFrame, lags: int = 5) -> DataFrame:
     hedge = spreads.groupBy(*by).agg(F.first("hedge").alias("hedge"))
     out = hedge.join(unit_root(spreads, "spread", by, lags=lags), by, "left").join(half_life(spreads, "spread", by), by, "left")
     return out.withColumn("cointegrated", (F.coalesce(F.col("t"), F.lit(0.0)) < PAIR_5).cast("long"))
+
+
+def total_least_squares(pairs: DataFrame) -> DataFrame:
+    """(a, b, hedge, mean, sd) of (a, b, y, x): the hedge ratio that minimises distances at right angles, and its spread's moments."""
+    g = pairs.groupBy("a", "b").agg(F.var_pop("y").alias("_yy"), F.var_pop("x").alias("_xx"), F.covar_pop("y", "x").alias("_xy"))
+    d = F.col("_yy") - F.col("_xx")
+    g = g.select("a", "b", F.try_divide(d + F.sqrt(d * d + 4 * F.col("_xy") * F.col("_xy")), 2 * F.col("_xy")).alias("hedge"))
+    spread = F.col("y") - F.col("hedge") * F.col("x")
+    return pairs.join(g, ["a", "b"]).groupBy("a", "b").agg(F.first("hedge").alias("hedge"), F.avg(spread).alias("mean"), F.stddev_samp(spread).alias("sd"))

@@ -145,7 +145,7 @@ def wald_breaks(df: DataFrame, trim: float = 0.15) -> DataFrame:
     m1, m2 = F.col("_a") / k, F.try_divide(F.col("_s") - F.col("_a"), n - k)
     v1, v2 = F.col("_b") / k - m1 * m1, F.try_divide(F.col("_q") - F.col("_b"), n - k) - m2 * m2
     inside = (k >= F.floor(n * trim)) & (k <= n - F.floor(n * trim)) & (k > 1)
-    return df.withColumn("wald", F.when(inside, F.try_divide((m1 - m2) * (m1 - m2), v1 / k + F.try_divide(v2, n - k)))).drop("_r", "_n", "_s", "_q", "_k", "_a", "_b")
+    return df.withColumn("wald", F.when(inside, F.try_divide((m1 - m2) * (m1 - m2), v1 / k + F.try_divide(v2, n - k)))).withColumnRenamed("_r", "r").drop("_n", "_s", "_q", "_k", "_a", "_b")
 
 
 def market_regime(df: DataFrame, n: int = 20, trend: int = 50, crisis: float = -0.2) -> DataFrame:

@@ -221,10 +221,6 @@ table(
         *LX,
     ),
 )
-table(
-    "q_2_8_13_adf", lambda s, d: rounded(M.adf_statistic(bars(s, d)), "adf_t", "stationary", keys=("symbol",), digits=5),
-    over_bars("SELECT symbol, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 5) AS adf_t, CASE WHEN b / sqrt((syy - b * sxy) / (n - 2) / sxx) < -2.86 THEN 1.0 ELSE 0.0 END AS stationary FROM (SELECT symbol, regr_slope(d, pc) AS b, regr_sxx(d, pc) AS sxx, regr_syy(d, pc) AS syy, regr_sxy(d, pc) AS sxy, count(*) AS n FROM l0 WHERE pc IS NOT NULL GROUP BY symbol)", *LX),
-)
 PS = ["s0 AS (SELECT x.symbol AS a, y.symbol AS b, x.ts, x.close AS y, y.close AS x FROM bars x JOIN bars y ON x.ts = y.ts AND x.symbol < y.symbol)",
       "s1 AS (SELECT *, regr_slope(y, x) OVER (PARTITION BY a, b) AS h FROM s0)", "s2 AS (SELECT *, y - h * x AS sp FROM s1)"]
 WS = "PARTITION BY a, b ORDER BY ts"
@@ -232,10 +228,3 @@ table(
     "q_2_8_18_pair_spread", lambda s, d: rounded(M.pair_spreads(bars(s, d)), "hedge", "spread", "z", keys=("a", "b", "ts"), digits=5),
     over_bars(f"SELECT a, b, CAST(epoch(ts) AS BIGINT) AS ts, round(h, 5) AS hedge, round(sp, 5) AS spread, round((sp - {roll('avg(sp)', 20, w=WS)}) / ({roll('stddev_samp(sp)', 20, w=WS)} + 1e-8), 5) AS z FROM s2", *PS),
 )
-table(
-    "q_2_8_15_pair_tests", lambda s, d: rounded(M.pair_tests(bars(s, d)), "hedge", "adf_t", "half_life", keys=("a", "b", "n"), digits=4),
-    over_bars(
-        f"SELECT a, b, n, round(h, 4) AS hedge, round(s / sqrt((syy - s * sxy) / (n - 2) / sxx), 4) AS adf_t, CASE WHEN 1 + s > 0 AND 1 + s < 1 THEN round({-math.log(2)!r} / ln(1 + s), 4) END AS half_life FROM (SELECT a, b, min(h) AS h, regr_slope(sp - p, p) AS s, regr_sxx(sp - p, p) AS sxx, regr_syy(sp - p, p) AS syy, regr_sxy(sp - p, p) AS sxy, count(*) AS n FROM (SELECT *, lag(sp) OVER ({WS}) AS p FROM s2) WHERE p IS NOT NULL GROUP BY a, b)",
-        *PS,
-    ),
-)
