@@ -91,7 +91,7 @@ def hourly_profile(df: DataFrame) -> DataFrame:
 def psi(ref: DataFrame, cur: DataFrame, bins: int = 10, eps: float = 1e-10) -> DataFrame:
     """Both: (feature, value). Population stability index on the reference's deciles; values outside drop out."""
     cuts = [i / bins for i in range(bins + 1)]
-    edges = ref.groupBy("feature").agg(F.percentile("value", F.array(*map(F.lit, cuts))).alias("e"))
+    edges = R.percentiles(ref, "value", tuple(cuts), ["feature"]).withColumnRenamed("q", "e")
 
     def shares(df, name):
         j = df.join(edges, "feature").where((F.col("value") >= F.get("e", F.lit(0))) & (F.col("value") <= F.get("e", F.lit(bins))))
@@ -122,7 +122,8 @@ def ks(ref: DataFrame, cur: DataFrame) -> DataFrame:
 
 
 def two_sample(ref: DataFrame, cur: DataFrame) -> DataFrame:
-    """Welch's t and the Mann-Whitney U with average ranks, by feature."""
+    """By feature: Welch's t, the Mann-Whitney U with average ranks, the KS distance, and the differences of means and of mean over deviation a year of 15-minute bars."""
+    distance = ks(ref, cur).select("feature", "ks")
     u = ref.select("feature", "value", F.lit("a").alias("side")).union(cur.select("feature", "value", F.lit("b")))
     u = R.spread_rank(u, "value", ["feature"], "rank")
     a, b = F.col("side") == "a", F.col("side") == "b"
@@ -130,7 +131,9 @@ def two_sample(ref: DataFrame, cur: DataFrame) -> DataFrame:
         *[f.alias(n) for n, f in (("na", F.sum(F.when(a, 1))), ("nb", F.sum(F.when(b, 1))), ("ma", F.avg(F.when(a, F.col("value")))), ("mb", F.avg(F.when(b, F.col("value")))), ("va", F.var_samp(F.when(a, F.col("value")))), ("vb", F.var_samp(F.when(b, F.col("value")))), ("ra", F.sum(F.when(a, F.col("rank")))))]
     )
     t = F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(F.col("va") / F.col("na") + F.col("vb") / F.col("nb")))
-    return g.select("feature", t.alias("t"), (F.col("ra") - F.col("na") * (F.col("na") + 1) / 2).alias("u"))
+    ratio = F.try_divide("ma", F.sqrt("va")) - F.try_divide("mb", F.sqrt("vb"))
+    g = g.select("feature", t.alias("t"), (F.col("ra") - F.col("na") * (F.col("na") + 1) / 2).alias("u"), (F.col("ma") - F.col("mb")).alias("mean_diff"), (ratio * math.sqrt(252 * 26)).alias("sharpe_diff"))
+    return g.join(distance, "feature")
 
 
 def reference_statistics(df: DataFrame) -> DataFrame:

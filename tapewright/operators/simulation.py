@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions import rolling as R
+
 
 def draw(seed: int, *on):
     """A hash of the columns, 0 or more, that SQL can repeat."""
@@ -50,7 +52,7 @@ def sign_flips(returns: DataFrame, paths: int, seed: int = 7) -> DataFrame:
 
 
 def backtest_overfitting(long: DataFrame, blocks: int = 16) -> DataFrame:
-    """long: (strategy, i, r). Share of block combinations in which the best strategy in sample is not the best outside.
+    """long: (strategy, i, r). Share of block combinations in which the best strategy in sample is not the best outside; mean and deviation of the rank correlations of both.
 
     Only (n, sum, sum of squares) of each strategy and block are kept; combinations meet those.
     """
@@ -62,6 +64,10 @@ def backtest_overfitting(long: DataFrame, blocks: int = 16) -> DataFrame:
     mean = F.col("s") / F.col("n")
     sharpe = F.round(F.try_divide(mean, F.sqrt((F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1))), 10)
     g = g.withColumn("sharpe", sharpe)
+    # One row per strategy is ranked in a combination.
+    sides = g.groupBy("combo", "strategy").agg(*[F.max(F.when(F.col("inside") == k, F.col("sharpe"))).alias(n) for k, n in ((1, "x"), (0, "y"))]).where("x is not null and y is not null")
+    ranked = sides.withColumns({"rx": R.average_rank("x", "combo"), "ry": R.average_rank("y", "combo")})
+    rho = ranked.groupBy("combo").agg(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho")).agg(F.avg("rho").alias("mean_correlation"), F.stddev_pop("rho").alias("sd_correlation"))
     best = g.groupBy("combo", "inside").agg(F.max_by("strategy", F.struct("sharpe", "strategy")).alias("best"))
     w = best.groupBy("combo").agg(F.max(F.when(F.col("inside") == 1, F.col("best"))).alias("a"), F.max(F.when(F.col("inside") == 0, F.col("best"))).alias("b"))
-    return w.agg(F.avg(F.when(F.col("a") != F.col("b"), 1.0).otherwise(0.0)).alias("pbo"), F.count(F.lit(1)).alias("n_combos"))
+    return w.agg(F.avg(F.when(F.col("a") != F.col("b"), 1.0).otherwise(0.0)).alias("pbo"), F.count(F.lit(1)).alias("n_combos")).crossJoin(F.broadcast(rho))  # a row each

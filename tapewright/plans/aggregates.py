@@ -158,10 +158,10 @@ KS = [*FT, "k0 AS (SELECT feature, value, sum(CASE WHEN half = 1 THEN 1 ELSE 0 E
       "k1 AS (SELECT *, abs(sum(a) OVER (PARTITION BY feature ORDER BY value) / sum(a) OVER (PARTITION BY feature) - sum(b) OVER (PARTITION BY feature ORDER BY value) / sum(b) OVER (PARTITION BY feature)) AS d FROM k0)"]
 add("q_2_4_71_ks", lambda s, d: rounded(M.ks(*_halves(s, d)), "ks", keys=("feature", "n_ref", "n_cur")), over_bars("SELECT feature, CAST(sum(a) AS BIGINT) AS n_ref, CAST(sum(b) AS BIGINT) AS n_cur, round(max(d), 6) AS ks FROM k1 GROUP BY feature", *KS))
 add(
-    "q_2_4_9_two_sample", lambda s, d: rounded(M.two_sample(*_halves(s, d)), "t", "u", keys=("feature",), digits=5),
+    "q_2_4_9_two_sample", lambda s, d: rounded(M.two_sample(*_halves(s, d)), "t", "u", "ks", "mean_diff", "sharpe_diff", keys=("feature",), digits=5),
     over_bars(
-        "SELECT feature, round((ma - mb) / sqrt(va / na + vb / nb), 5) AS t, round(ra - na * (na + 1) / 2, 5) AS u FROM (SELECT feature, count(CASE WHEN half = 1 THEN 1 END) AS na, count(CASE WHEN half = 2 THEN 1 END) AS nb, avg(CASE WHEN half = 1 THEN value END) AS ma, avg(CASE WHEN half = 2 THEN value END) AS mb, var_samp(CASE WHEN half = 1 THEN value END) AS va, var_samp(CASE WHEN half = 2 THEN value END) AS vb, sum(CASE WHEN half = 1 THEN rk END) AS ra FROM k0 GROUP BY feature)",
-        *FT, "k0 AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rk FROM ft)",
+        "SELECT feature, round((ma - mb) / sqrt(va / na + vb / nb), 5) AS t, round(ra - na * (na + 1) / 2, 5) AS u, round(d, 5) AS ks, round(ma - mb, 5) AS mean_diff, round((ma / sqrt(va) - mb / sqrt(vb)) * sqrt(252 * 26), 5) AS sharpe_diff FROM (SELECT feature, count(CASE WHEN half = 1 THEN 1 END) AS na, count(CASE WHEN half = 2 THEN 1 END) AS nb, avg(CASE WHEN half = 1 THEN value END) AS ma, avg(CASE WHEN half = 2 THEN value END) AS mb, var_samp(CASE WHEN half = 1 THEN value END) AS va, var_samp(CASE WHEN half = 2 THEN value END) AS vb, sum(CASE WHEN half = 1 THEN rk END) AS ra, max(d) AS d FROM k0 GROUP BY feature)",
+        *FT, "k0 AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rk, abs(count(*) FILTER (half = 1) OVER (PARTITION BY feature ORDER BY value) / count(*) FILTER (half = 1) OVER (PARTITION BY feature) - count(*) FILTER (half = 2) OVER (PARTITION BY feature ORDER BY value) / count(*) FILTER (half = 2) OVER (PARTITION BY feature)) AS d FROM ft)",
     ),
 )
 add(

@@ -133,13 +133,16 @@ add(
 )
 _long = lambda s, d: _strategies(s, d).groupBy("strategy", "ts").agg(F.round(F.sum(F.col("signal") * F.coalesce("r", F.lit(0.0))), 9).alias("r")).withColumn("i", F.row_number().over(Window.partitionBy("strategy").orderBy("ts")) - 1)
 add(
-    "q_2_4_84_backtest_overfitting", lambda s, d: rounded(S.backtest_overfitting(_long(s, d)), "pbo", keys=("n_combos",)),
+    "q_2_4_84_backtest_overfitting", lambda s, d: rounded(S.backtest_overfitting(_long(s, d)), "pbo", "mean_correlation", "sd_correlation", keys=("n_combos",)),
     over_users(
-        """SELECT count(*) AS n_combos, round(avg(CASE WHEN a <> b THEN 1.0 ELSE 0 END), 6) AS pbo FROM (SELECT c, max(CASE WHEN ins = 1 THEN best END) AS a, max(CASE WHEN ins = 0 THEN best END) AS b FROM (SELECT c, ins, last(strategy ORDER BY sh, strategy) AS best FROM sh GROUP BY c, ins) GROUP BY c)""",
+        """SELECT count(*) AS n_combos, round(avg(CASE WHEN a <> b THEN 1.0 ELSE 0 END), 6) AS pbo, (SELECT round(avg(rho), 6) FROM rh) AS mean_correlation, (SELECT round(stddev_pop(rho), 6) FROM rh) AS sd_correlation FROM (SELECT c, max(CASE WHEN ins = 1 THEN best END) AS a, max(CASE WHEN ins = 0 THEN best END) AS b FROM (SELECT c, ins, last(strategy ORDER BY sh, strategy) AS best FROM sh GROUP BY c, ins) GROUP BY c)""",
         U0, *ST, "lo AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY ts) - 1 AS i FROM (SELECT strategy, ts, round(sum(signal * coalesce(r, 0)), 9) AS r FROM st GROUP BY 1, 2))",
         "bs AS (SELECT strategy, CAST(floor(i * 16 / ((SELECT max(i) FROM lo) + 1)) AS BIGINT) AS b, count(*) AS n, sum(r) AS s, sum(r * r) AS q FROM lo GROUP BY 1, 2)",
         "co AS (SELECT m AS c, b, (m >> b) & 1 AS ins FROM (SELECT unnest(range(65536)) AS m) , (SELECT unnest(range(16)) AS b) WHERE bit_count(m) = 8)",
         "sh AS (SELECT c, strategy, ins, round((s / n) / nullif(sqrt((q - s * s / n) / (n - 1)), 0), 10) AS sh FROM (SELECT c, strategy, ins, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM bs JOIN co USING (b) GROUP BY 1, 2, 3))",
+        "si AS (SELECT c, strategy, max(sh) FILTER (ins = 1) AS x, max(sh) FILTER (ins = 0) AS y FROM sh GROUP BY 1, 2)",
+        "sk AS (SELECT c, rank() OVER (PARTITION BY c ORDER BY x) + (count(*) OVER (PARTITION BY c, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY c ORDER BY y) + (count(*) OVER (PARTITION BY c, y) - 1) / 2 AS ry FROM si WHERE x IS NOT NULL AND y IS NOT NULL)",
+        "rh AS (SELECT c, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS rho FROM sk GROUP BY 1)",
     ),
 )
 

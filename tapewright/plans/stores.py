@@ -33,21 +33,21 @@ def historical(s, d):
     corrected = b.where("k % 5 = 0").withColumns({"close": F.col("close") * 1.01, "known": F.col("ts") + F.expr("interval 2 hours")})
     closes = b.withColumn("known", F.col("ts")).unionByName(corrected)
     hours = bars(s, d, "1 hour").withColumn("ts", F.col("ts") + F.expr("interval 1 hour")).withColumn("known", F.col("ts") + F.expr("interval 10 minutes"))
-    views = [V.FeatureView("bar", closes, ["close"], 3600, "known"), V.FeatureView("hour", hours, ["vwap", "volume"], 86400, "known")]
+    views = [V.FeatureView("bar", closes, ["close"], 3600, "known"), V.FeatureView("hour", hours, ["high", "volume"], 86400, "known")]
     out = V.historical_features(ticks(s, d).select("symbol", "ts", "seq"), views)
-    return rounded(out, "bar__close", "hour__vwap", "hour__volume", keys=("seq", "bar__age", "hour__age"))
+    return rounded(out, "bar__close", "hour__high", "hour__volume", keys=("seq", "bar__age", "hour__age"))
 
 
 AGE = "CAST(floor(epoch(e.ts)) - floor(epoch(v.t)) AS BIGINT)"
 HF = [
     "va AS (SELECT symbol, ts + INTERVAL 15 MINUTE AS t, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars)",
     "vb AS (SELECT symbol, t, t AS c, close AS x FROM va UNION ALL SELECT symbol, t, t + INTERVAL 2 HOUR, close * 1.01 FROM va WHERE k % 5 = 0)",
-    rollup("hours", "1 HOUR"), "vc AS (SELECT symbol, ts + INTERVAL 1 HOUR AS t, ts + INTERVAL 70 MINUTE AS c, vwap, volume FROM hours)",
+    rollup("hours", "1 HOUR"), "vc AS (SELECT symbol, ts + INTERVAL 1 HOUR AS t, ts + INTERVAL 70 MINUTE AS c, high, volume FROM hours)",
     "fa AS (SELECT e.seq, max({'t': v.t, 'c': v.c, 'x': v.x}) AS v FROM ticks e JOIN vb v ON v.symbol = e.symbol AND v.t <= e.ts AND v.c <= e.ts GROUP BY 1)",
-    "fb AS (SELECT e.seq, max({'t': v.t, 'c': v.c, 'vwap': v.vwap, 'volume': v.volume}) AS v FROM ticks e JOIN vc v ON v.symbol = e.symbol AND v.t <= e.ts AND v.c <= e.ts GROUP BY 1)",
-    f"ga AS (SELECT e.seq, v.x AS x, {AGE} AS age FROM ticks e JOIN fa USING (seq) WHERE {AGE} <= 3600)", f"gb AS (SELECT e.seq, v.vwap AS vwap, v.volume AS volume, {AGE} AS age FROM ticks e JOIN fb USING (seq) WHERE {AGE} <= 86400)",
+    "fb AS (SELECT e.seq, max({'t': v.t, 'c': v.c, 'high': v.high, 'volume': v.volume}) AS v FROM ticks e JOIN vc v ON v.symbol = e.symbol AND v.t <= e.ts AND v.c <= e.ts GROUP BY 1)",
+    f"ga AS (SELECT e.seq, v.x AS x, {AGE} AS age FROM ticks e JOIN fa USING (seq) WHERE {AGE} <= 3600)", f"gb AS (SELECT e.seq, v.high AS high, v.volume AS volume, {AGE} AS age FROM ticks e JOIN fb USING (seq) WHERE {AGE} <= 86400)",
 ]
-add("q_2_3_20_historical_features", historical, over_bars("SELECT e.seq, round(ga.x, 6) AS bar__close, ga.age AS bar__age, round(gb.vwap, 6) AS hour__vwap, round(gb.volume, 6) AS hour__volume, gb.age AS hour__age FROM ticks e LEFT JOIN ga USING (seq) LEFT JOIN gb USING (seq)", *HF))
+add("q_2_3_20_historical_features", historical, over_bars("SELECT e.seq, round(ga.x, 6) AS bar__close, ga.age AS bar__age, round(gb.high, 6) AS hour__high, round(gb.volume, 6) AS hour__volume, gb.age AS hour__age FROM ticks e LEFT JOIN ga USING (seq) LEFT JOIN gb USING (seq)", *HF))
 
 # 2.13.16.
 MODELS = {"moves": ["ret", "momentum"], "shape": ["span", "body"], "size": ["volume", "ret"]}

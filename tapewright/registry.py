@@ -6,7 +6,7 @@ import importlib
 from functools import cache
 
 #: Modules under tapewright.plans, in the order in which their queries are listed.
-PLAN_MODULES = ("flagship", "indicators", "statistics", "portfolios", "aggregates", "preparation", "sequential", "records", "risk", "costs", "checks", "evaluation", "searches", "depth", "layouts", "points", "selection", "stationarity", "stores")
+PLAN_MODULES = ("flagship", "indicators", "statistics", "portfolios", "aggregates", "preparation", "sequential", "records", "risk", "costs", "checks", "evaluation", "searches", "depth", "layouts", "points", "selection", "stationarity", "stores", "health")
 
 
 @cache
