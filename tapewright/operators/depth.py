@@ -56,12 +56,20 @@ def record(books: DataFrame) -> DataFrame:
     return books.withColumns({"total_depth": F.col("bid_depth_5") + F.col("ask_depth_5"), "depth_imbalance": B.imbalance(b, a, 5), **impact})
 
 
-def dynamics(df: DataFrame, n: int = 20) -> DataFrame:
-    """Changes and rolling means of a series of book records: (symbol, ts, seq, mid, spread_bps, book_imbalance, total_depth)."""
+def pressure_imbalance(bids: Column, asks: Column, levels: int = 5, fall: float = 0.5) -> Column:
+    """(bid - ask) / (bid + ask) of the sizes weighted by exp(-fall * level) less the share of the distance from the middle; 0 for an empty book."""
+    mid = (bids[0]["price"] + asks[0]["price"]) / 2
+    weight = lambda i, p: F.greatest(F.lit(0.0), F.exp(-fall * i) * (1 - F.abs(p - mid) / mid))
+    b, a = (B.weighted_depth(F.slice(side, 1, levels), weight) for side in (bids, asks))
+    return F.coalesce(F.when(b + a > 0, F.try_divide(b - a, b + a)), F.lit(0.0))
+
+
+def dynamics(df: DataFrame, n: int = 10) -> DataFrame:
+    """Changes and rolling means of a series of book records: (symbol, ts, seq, mid, spread_bps, book_imbalance, pressure, total_depth)."""
     w = R.series().orderBy("ts", "seq")
     step = lambda c: F.col(c) - F.lag(c).over(w)
     ma, sd = R.roll(F.avg, "book_imbalance", n, w=w), R.roll(F.stddev_samp, "book_imbalance", n, w=w)
-    df = df.withColumns({"mid_change": step("mid"), "mid_return": F.try_divide("mid", F.lag("mid").over(w)) - 1, "spread_change": step("spread_bps"), "imbalance_change": step("book_imbalance"), "imbalance_ma": ma, "imbalance_std": F.round(sd, 12), "depth_change": step("total_depth"), "depth_ma": R.roll(F.avg, "total_depth", n, w=w)})
+    df = df.withColumns({"mid_change": step("mid"), "mid_return": F.try_divide("mid", F.lag("mid").over(w)) - 1, "spread_change": step("spread_bps"), "imbalance_change": step("book_imbalance"), "pressure_change": step("pressure"), "imbalance_ma": ma, "imbalance_std": F.round(sd, 12), "depth_change": step("total_depth"), "depth_ma": R.roll(F.avg, "total_depth", n, w=w)})
     return df.withColumn("imbalance_momentum", (F.col("book_imbalance") - F.col("imbalance_ma")) / F.when(F.col("imbalance_std") == 0, 1.0).otherwise(F.col("imbalance_std")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import rolling as R
 from tapewright.functions.ordered import fold
+from tapewright.operators.volatility import atr
 
 
 def none(x) -> bool:
@@ -105,19 +106,25 @@ def drawdown_scale(reduce: float = 0.1, close: float = 0.2, resume: float = 0.05
     return f
 
 
-def breakout(atr_stop: float = 2.0):
-    """Long over the upper band and short under the lower with volume; out at the other side of the middle or the stop."""
+def breakout(stop: float = 1.5, profit: float = 3.0, trail: float = 1.0, least_atr: float = 0.001):
+    """Long over the upper band and short under the lower with volume; out at a stop, at a trailing stop from the best price since entry, or at a profit, all in true ranges of the entry."""
 
-    def f(s, close, upper, lower, middle, confirmed, atr):
-        p, entry = s or (0, 0.0)
-        if any(none(x) for x in (upper, lower, middle, atr)):
-            return (p, entry), (p,)
-        if p == 0 and confirmed:
-            p = 1 if close > upper else -1 if close < lower else 0
-            entry = close
-        elif p and ((close - middle) * p < 0 or (close - entry) * p < -atr_stop * atr):
-            p = 0
-        return (p, entry), (p,)
+    def f(s, ready, close, high, low, upper, lower, confirmed, atr):
+        p, entry, unit, best = s or (0, 0.0, 0.0, 0.0)
+        if not ready:
+            return (p, entry, unit, best), (0,)
+        if none(atr) or atr < least_atr:
+            return (p, entry, unit, best), (p,)
+        if p == 0:
+            p = (1 if close > upper else -1 if close < lower else 0) if confirmed else 0
+            if p:
+                entry, unit, best = close, atr, high if p > 0 else low
+        else:
+            best = max(best, high) if p > 0 else min(best, low)
+            gained = (close - entry) * p
+            if gained < -stop * unit or (close - best) * p < -trail * unit or gained > profit * unit:
+                p = 0
+        return (p, entry, unit, best), (p,)
 
     return f
 
@@ -173,7 +180,8 @@ def drawdown_control(df: DataFrame) -> DataFrame:
     return fold(df, ["close"], drawdown_scale(), {"exposure": "double"})
 
 
-def band_breakout(df: DataFrame, n: int = 20) -> DataFrame:
-    df = df.withColumns({"_m": R.mean("close", n), "_s": R.std("close", n), "_a": R.mean("volume", n), "_tr": R.true_range()})
-    df = df.withColumns({"_u": F.col("_m") + F.col("_s"), "_l": F.col("_m") - F.col("_s"), "_c": F.col("volume") > 1.5 * F.col("_a"), "_atr": R.mean("_tr", n)})
-    return fold(df, ["close", "_u", "_l", "_m", "_c", "_atr"], breakout(), {"position": "int"})
+def band_breakout(df: DataFrame, n: int = 14, k: float = 2.0, lookback: int = 20, volume: float = 1.5) -> DataFrame:
+    """Positions at the close before plus or minus k true ranges, where volume is over its mean; the first `lookback` rows have none."""
+    df = atr(df, n).withColumns({"_a": F.round(f"atr_{n}", 9), "_k": F.row_number().over(R.W), "_v": R.mean("volume", lookback), "_p": R.lag("close")})
+    df = df.withColumns({"_ready": F.col("_k") > lookback, "_u": F.col("_p") + k * F.col("_a"), "_l": F.col("_p") - k * F.col("_a"), "_c": F.coalesce(F.col("volume") > volume * F.col("_v"), F.lit(False))})
+    return fold(df, ["_ready", "close", "high", "low", "_u", "_l", "_c", "_a"], breakout(), {"position": "int"})

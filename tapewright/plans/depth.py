@@ -99,15 +99,16 @@ RECORD = {
 }
 for _name in ("q_2_11_12_book_record", "q_2_11_27_snapshot_features"):
     add(_name, lambda s, d: D.record(books(s, d)), RECORD if "record" in _name else {c: RECORD[c] for c in ("mid", "spread_bps", "total_depth", "depth_imbalance")}, "bm", FILLED)
-_series = lambda s, d: D.dynamics(D.record(books(s, d)).withColumn("book_imbalance", F.col("depth_imbalance")))
+_series = lambda s, d: D.dynamics(D.record(books(s, d)).withColumns({"book_imbalance": F.col("depth_imbalance"), "pressure": D.pressure_imbalance(F.col("bids"), F.col("asks"))}))
+PRESS = lambda side: f"list_sum(list_transform({side}[1:5], lambda x, i: x.s * greatest(0, exp(-0.5 * (i - 1)) * (1 - abs(x.p - m) / m))))"
 DEPTH += [
-    f"dr AS (SELECT symbol, ts, seq, m AS mid, (a[1].p - b[1].p) / m * 10000 AS sb, {IMB(5)} AS im, {D5('b')} + {D5('a')} AS td FROM bm {FILLED})",
-    f"dy AS (SELECT *, {roll('avg(im)', 20, w=WO)} AS ma, round({roll('stddev_samp(im)', 20, w=WO)}, 12) AS sd FROM dr)",
+    f"dr AS (SELECT symbol, ts, seq, m AS mid, (a[1].p - b[1].p) / m * 10000 AS sb, {IMB(5)} AS im, {D5('b')} + {D5('a')} AS td, coalesce(({PRESS('b')} - {PRESS('a')}) / nullif({PRESS('b')} + {PRESS('a')}, 0), 0) AS pr FROM bm {FILLED})",
+    f"dy AS (SELECT *, {roll('avg(im)', 10, w=WO)} AS ma, round({roll('stddev_samp(im)', 10, w=WO)}, 12) AS sd FROM dr)",
 ]
 _lag = lambda c: lag(c, w=WO)
 MOVES = {
     "mid_change": f"mid - {_lag('mid')}", "mid_return": f"mid / nullif({_lag('mid')}, 0) - 1", "spread_change": f"sb - {_lag('sb')}", "imbalance_change": f"im - {_lag('im')}", "imbalance_ma": "ma", "imbalance_std": "sd",
-    "depth_change": f"td - {_lag('td')}", "depth_ma": roll("avg(td)", 20, w=WO), "imbalance_momentum": "(im - ma) / CASE WHEN sd = 0 THEN 1 ELSE sd END",
+    "depth_change": f"td - {_lag('td')}", "depth_ma": roll("avg(td)", 10, w=WO), "pressure_change": f"pr - {_lag('pr')}", "imbalance_momentum": "(im - ma) / CASE WHEN sd = 0 THEN 1 ELSE sd END",
 }
 QUERIES["q_2_8_47_imbalance_dynamics"] = lambda s, d: rounded(_series(s, d), *MOVES, keys=KEY)
 ORACLES["q_2_8_47_imbalance_dynamics"] = sql(MOVES, "dy")

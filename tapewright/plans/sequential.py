@@ -8,7 +8,7 @@ from tapewright.functions import rolling as R
 from tapewright.operators import recurrences as S
 from tapewright.plans.build import on_bars, rounded
 from tapewright.plans.indicators import step
-from tapewright.plans.oracle import TICKS, W, lag, over_bars, roll, rollup, wide
+from tapewright.plans.oracle import TICKS, TR, W, ema, lag, over_bars, roll, rollup, wide
 from tapewright.sources.tables import seconds, ticks
 from tapewright.streaming import incremental as I
 
@@ -60,7 +60,19 @@ add(
     [f"list_reduce(list({{'x': s, 'h': s, 'a': 0}}) {SO_FAR}, lambda a, b: CASE WHEN b.x <> a.h AND a.a + 1 >= 5 THEN {{'x': b.x, 'h': b.x, 'a': 0}} ELSE {{'x': b.x, 'h': a.h, 'a': a.a + 1}} END).h"],
     step("s0", {"s": f"CAST(coalesce(sign(close - {lag('close')}), 0) AS DOUBLE)"}), source="s0",
 )
-add("q_2_8_73_band_breakout", S.band_breakout, ["position"])
+_BREAK = (
+    "{'ready': b.ready, 'c': b.c, 'h': b.h, 'l': b.l, 'u': b.u, 'd': b.d, 'v': b.v, 'a': b.a, 'p': P, 'e': CASE WHEN N THEN b.c ELSE a.e END, 'n': CASE WHEN N THEN b.a ELSE a.n END, 'x': CASE WHEN N THEN CASE WHEN b.c > b.u THEN b.h ELSE b.l END WHEN M AND a.p > 0 THEN greatest(a.x, b.h) WHEN M THEN least(a.x, b.l) ELSE a.x END}"
+)
+_NEW = "(b.ready AND b.a >= 0.001 AND a.p = 0 AND b.v AND (b.c > b.u OR b.c < b.d))"
+_OUT = "((b.c - a.e) * a.p < -1.5 * a.n OR (b.c - CASE WHEN a.p > 0 THEN greatest(a.x, b.h) ELSE least(a.x, b.l) END) * a.p < -1.0 * a.n OR (b.c - a.e) * a.p > 3.0 * a.n)"
+_HELD = "(b.ready AND b.a >= 0.001 AND a.p <> 0)"
+_POS = f"CASE WHEN {_NEW} THEN CASE WHEN b.c > b.u THEN 1 ELSE -1 END WHEN {_HELD} AND {_OUT} THEN 0 ELSE a.p END"
+_ROW = "{'ready': k > 20, 'c': close, 'h': high, 'l': low, 'u': u, 'd': d, 'v': v, 'a': at, 'p': 0, 'e': 0.0::DOUBLE, 'n': 0.0::DOUBLE, 'x': 0.0::DOUBLE}".replace("'a': at", "'a': tra")
+add(
+    "q_2_8_73_band_breakout", S.band_breakout, ["position"], [f"CASE WHEN k > 20 THEN list_reduce(list({_ROW}) {SO_FAR}, lambda a, b: {_BREAK.replace('P,', f'{_POS},', 1).replace('WHEN N', f'WHEN {_NEW}').replace('WHEN M', f'WHEN {_HELD}')}).p ELSE 0 END"],
+    step("t0", {"tr": TR, "k": f"row_number() OVER ({W})", "prev": lag("close")}), step("t1", {"tra": f"round({ema('tr', 14)}, 9)", "v": f"coalesce(volume > 1.5 * {roll('avg(volume)', 20)}, false)"}, "t0"),
+    step("t2", {"u": "prev + 2 * tra", "d": "prev - 2 * tra"}, "t1"), source="t2",
+)
 
 
 def stream_rollup(spark, sf_dir):
