@@ -52,32 +52,68 @@ HEADS = {"def", "class", "function", "func", "fn", "sub", "struct", "interface",
 CONTROL = {"if", "for", "while", "switch", "catch", "else", "try", "do", "elif", "with", "match", "finally", "foreach"}
 TYPES = {"str", "string", "String", "char", "text", "bytes", "object", "auto", "varchar", "any", "Optional"}
 LOOKUP = re.compile(r"get|env|input|prompt|read|load|fetch|find|lookup|config|request|param|query|select|vault|type|name|len|print|log|format|info|warn|error|assert|test", re.IGNORECASE)
+LABELS = {"name", "key", "id"}
 SCHEMES = {"bearer", "basic", "token", "apikey", "digest"}
 
 
-@dataclass
 class Scope:
-    """Definitions by name: places in ascending order, and the expression made at each."""
+    """Definitions by name: places in ascending order, and the expression made at each.
 
-    parent: Scope | None
-    names: dict[str, tuple[list[int], list[Expression]]] = field(default_factory=dict)
+    Scopes that lie in one another are numbered in the order in which they open, so a scope encloses
+    those whose numbers lie between its own and its last one's. The outermost scope knows, for each
+    name, the scopes that define it and which of those encloses which; a lookup is one bisection
+    there, whatever lies between. Lookups begin when all is read.
+    """
+
+    def __init__(self, parent: Scope | None):
+        self.parent = parent
+        self.root: Scope = parent.root if parent else self
+        if not parent:
+            self.inside: list[Scope] = []
+            self.definers: dict[str, list[Scope]] = {}
+            self.ordered: dict[str, tuple[list[int], list[Scope], list[int]]] = {}
+        self.number = self.last = len(self.root.inside)
+        self.root.inside.append(self)
+        self.names: dict[str, tuple[list[int], list[Expression]]] = {}
 
     def define(self, name: str, at: int, value: Expression) -> None:
-        places, values = self.names.setdefault(name, ([], []))
+        if name not in self.names:
+            self.names[name] = ([], [])
+            self.root.definers.setdefault(name, []).append(self)
+        places, values = self.names[name]
         places.append(at)
         values.append(value)
 
+    def defining(self, name: str) -> tuple[list[int], list[Scope], list[int]]:
+        """Of the outermost scope: numbers of the scopes that define the name, those, and for each the place of the next one around it, or -1."""
+        if not self.ordered:
+            for s in reversed(self.inside):
+                if s.parent:
+                    s.parent.last = max(s.parent.last, s.last)
+        if name not in self.ordered:
+            scopes = sorted(self.definers.get(name, ()), key=lambda s: s.number)
+            around, open_ = [], []
+            for k, s in enumerate(scopes):
+                while open_ and scopes[open_[-1]].last < s.number:
+                    open_.pop()
+                around.append(open_[-1] if open_ else -1)
+                open_.append(k)
+            self.ordered[name] = ([s.number for s in scopes], scopes, around)
+        return self.ordered[name]
+
     def find(self, name: str, at: int) -> Expression | None:
         """The last definition before `at` in the nearest scope that has one, else the nearest later one."""
-        later, scope = None, self
-        while scope:
-            if name in scope.names:
-                places, values = scope.names[name]
-                k = bisect.bisect_left(places, at)
-                if k:
-                    return values[k - 1]
-                later = later or values[0]
-            scope = scope.parent
+        numbers, scopes, around = self.root.defining(name)
+        k, later = bisect.bisect_right(numbers, self.number) - 1, None
+        while k >= 0 and scopes[k].last < self.number:
+            k = around[k]
+        while k >= 0:
+            places, values = scopes[k].names[name]
+            n = bisect.bisect_left(places, at)
+            if n:
+                return values[n - 1]
+            later = later or values[0]
+            k = around[k]
         return later
 
 
@@ -139,6 +175,7 @@ class Lexer:
         params: list[str] = []
         start = lo  # of the line
         first = False  # the next token is a call's first argument
+        labelled: str | None = None  # what the pair before said to be a name
         dashed = False
         while m := TOKEN.search(text, at, hi):
             kind, i, at = m.lastgroup, m.start(), m.end()
@@ -247,6 +284,11 @@ class Lexer:
                     if text[blank : blank + 1] == "=" and text[blank + 1 : blank + 2] != "=":  # a type stood between
                         value, at = self.expression(blank + 1, hi, scope, 0)
                 self.pair(name, value, at, not m[0].startswith("=="))
+                # a list of names and values: the value belongs to the name said just before
+                if labelled and name.lower() == "value":
+                    self.pair(labelled, value, at, False)
+                said = self.word_of(value) if name.lower() in LABELS else None
+                labelled = text[slice(*said)] if said else None
                 name = None
             elif kind == "b":
                 if m[0] in "([":
@@ -265,7 +307,7 @@ class Lexer:
                     name = None
                     continue
                 if m[0] == "{":
-                    own = head or arrow or (not control and text[max(lo, i - 64) : i].rstrip()[-1:] == ")")
+                    own = head or arrow or (not control and self.follows_bracket(lo, i))
                     blocks.append(("}", scope, 0))
                     if own:
                         scope = self.inner(scope, params, i)
@@ -290,6 +332,18 @@ class Lexer:
             made.define(p, at, Expression(made))
         return made
 
+    @staticmethod
+    def word_of(value: Expression) -> tuple[int, int] | None:
+        """Where the value stands, if it is one literal or bare word."""
+        places = value.leaves + [bare for _, _, bare in value.refs if bare]
+        return places[0] if len(places) == 1 and len(value.refs) + len(value.leaves) == 1 else None
+
+    def follows_bracket(self, lo: int, at: int) -> bool:
+        """Whether a closing bracket is the last before `at` but blanks; a run of blanks lies before one place only."""
+        while at > lo and self.text[at - 1].isspace():
+            at -= 1
+        return at > lo and self.text[at - 1] == ")"
+
     def indent(self, at: int) -> int:
         return INDENT.match(self.text, at).end() - at
 

@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex", "literal")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+#: What stands before and after the colon of an address with a user.
+USER = re.compile(r"://[^\s:/@\"'`<>]+:([^\s/@\"'`<>]+)@")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that are long enough
 
 #: Stems of sensitive names and their weights.
@@ -139,11 +141,14 @@ def lexed_spans(text: str, least: float = 4.0) -> list[tuple[int, int, int]]:
 def spans(data: bytes) -> list[tuple[int, int, int]]:
     """All spans of a UTF-8 text by start and kind, in code points; an end is exclusive."""
     low = data.lower()
-    named = any(s in low for s in STEM_BYTES)
-    if not (named or b"AKIA" in data or b"h" * 16 in data.translate(_HEX_BYTES)):
+    named, address = any(s in low for s in STEM_BYTES), b"://" in data and b"@" in data
+    if not (named or address or b"AKIA" in data or b"h" * 16 in data.translate(_HEX_BYTES)):
         return []  # none of the patterns can match
     text = data.decode("utf-8", "replace")
-    return sorted(base_spans(text) + (lexed_spans(text) if named else []))
+    lexed = set(lexed_spans(text)) if named else set()
+    if address:
+        lexed.update((m.start(1), 3, m.end(1)) for m in USER.finditer(text) if Looks.of(m[1], True).weight())
+    return sorted([*base_spans(text), *lexed])
 
 
 def scan(docs: DataFrame) -> DataFrame:
