@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._tapewright_dir
 
 
-#: Tables staged inside scratch(), the innermost one last.
-_SCRATCH: list[list[DataFrame]] = []
+#: Tables staged inside the innermost scratch() of the thread at hand; queries in other threads have their own.
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -41,8 +42,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     df.sparkSession.sparkContext._jvm.System.gc()
-    if _SCRATCH:
-        _SCRATCH[-1].append(out)
+    if (held := _SCRATCH.get()) is not None:
+        held.append(out)
     return out
 
 
@@ -57,11 +58,13 @@ def release(*tables: DataFrame) -> None:
 @contextmanager
 def scratch():
     """Releases the tables staged inside, but those that are taken out of the list it gives."""
-    _SCRATCH.append([])
+    held: list[DataFrame] = []
+    before = _SCRATCH.set(held)
     try:
-        yield _SCRATCH[-1]
+        yield held
     finally:
-        release(*_SCRATCH.pop())
+        _SCRATCH.reset(before)
+        release(*held)
 
 
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
