@@ -117,14 +117,19 @@ def _verified(found: DataFrame, docs: DataFrame, roots: DataFrame, similarity: f
     both = found.join(sets.select(F.col("sign").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("sign").alias("b"), F.col("members").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     near = shared / (F.size("x") + F.size("y") - shared) >= F.lit(similarity)
-    return staged(both.where(near).select("a", "b"), "near")
+    verified = staged(both.where(near).select("a", "b"), "near")
+    release(found, sets)
+    return verified
 
 
 def _components(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with the component of each signature, without keys whose sets are all connected."""
+    """rows, a staged table that is read for the last time, with the component of each signature, without keys whose sets are all connected."""
     parts = connected_components(edges)
     named = rows.drop("part").join(parts, rows["sign"] == parts["node"], "left").withColumn("part", F.coalesce("component", "sign")).drop("node", "component")
-    return staged(_open(staged(named, "named"), "part"), "open")
+    named = staged(named, "named")
+    out = staged(_open(named, "part"), "open")
+    release(named, rows)
+    return out
 
 
 def _open(rows: DataFrame, part: str) -> DataFrame:

@@ -22,4 +22,4 @@ def test_a_query_beside_another_keeps_its_tables(spark):
             assert len(inner) == 1
         assert own == [mine] and mine.count() == 5
     thread.join()
-    assert mine.count() == 0 and kept[0].count() == 10
+    assert mine.staged_at is None and kept[0].count() == 10
