@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tapewright.functions.staging import checkpointed
+
 
 def series(key: str = "symbol", order: str = "ts") -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
@@ -109,9 +111,9 @@ def value_places(df: DataFrame, x: str, by: list[str]) -> DataFrame:
 
     Equal values are counted first, so a value that many rows share is one row here. Values are summed up
     within buckets of near values, on top of the buckets before, whose number depends on the range of
-    values and not on the rows.
+    values and not on the rows. The counts are written once, so ranks of several columns don't multiply a plan.
     """
-    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n")).withColumn("_bucket", order_bucket(x))
+    values = checkpointed(df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n")).withColumn("_bucket", order_bucket(x)))
     sums = values.groupBy(*by, "_bucket").agg(F.sum("n").alias("_s"))
     past = Window.unboundedPreceding, -1
     sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("_bucket").rowsBetween(*past)), F.lit(0)))
