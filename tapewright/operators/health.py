@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions import rolling as R
+from tapewright.functions.staging import checkpointed
 from tapewright.operators import metrics as M
 
 #: From which stability index, test level, divergence and relative drop on something counts.
@@ -72,7 +73,7 @@ def windows(df: DataFrame, baseline: int = 1000, recent: int = 100) -> DataFrame
 
 def window_drift(df: DataFrame, baseline: int = 1000, recent: int = 100) -> DataFrame:
     """By feature: means and deviations of baseline and recent values, KS distance, probability and `drifted`; too few recent values are never drift."""
-    x = windows(df, baseline, recent)
+    x = checkpointed(windows(df, baseline, recent))  # three branches read it
     ref, cur = x.where("side = 'ref'"), x.where("side = 'cur'")
     stats = x.groupBy("feature").agg(*[f(F.when(F.col("side") == s, F.col("value"))).alias(f"{s}_{n}") for s in ("ref", "cur") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     d = stats.join(M.ks(ref.select("feature", "value"), cur.select("feature", "value")), "feature")

@@ -107,7 +107,7 @@ def psi(ref: DataFrame, cur: DataFrame, bins: int = 10, eps: float = 1e-10) -> D
 
 
 def ks(ref: DataFrame, cur: DataFrame) -> DataFrame:
-    """Both: (feature, value). Largest distance between the empirical distributions, by one union and running counts."""
+    """Both: (feature, value). Largest distance between the empirical distributions, by one union and running counts; null if one side lacks the feature."""
     u = ref.select("feature", "value", F.lit(1).alias("a"), F.lit(0).alias("b")).union(cur.select("feature", "value", F.lit(0), F.lit(1)))
     g = u.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # Running counts within buckets of near values, on top of the counts of the buckets before.
@@ -117,8 +117,10 @@ def ks(ref: DataFrame, cur: DataFrame) -> DataFrame:
     sums = sums.select("feature", "bucket", *[F.coalesce(F.sum(f"s{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in "ab"], *[F.sum(f"s{c}").over(whole).alias(f"all_{c}") for c in "ab"])
     w = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumns({f"run_{c}": F.sum(c).over(w) for c in "ab"}).join(sums, ["feature", "bucket"])
-    share = lambda c: (F.col(f"before_{c}") + F.col(f"run_{c}")) / F.col(f"all_{c}")
-    return g.withColumn("d", F.abs(share("a") - share("b"))).groupBy("feature").agg(F.max("d").alias("ks"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
+    share = lambda c: (F.col(f"before_{c}") + F.col(f"run_{c}")) / F.greatest(F.col(f"all_{c}"), F.lit(1))
+    both = (F.col("all_a") > 0) & (F.col("all_b") > 0)
+    ends = g.withColumn("d", F.when(both, F.abs(share("a") - share("b"))).otherwise(-1.0)).groupBy("feature").agg(F.max("d").alias("ks"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
+    return ends.withColumn("ks", F.when(F.col("ks") >= 0, F.col("ks")))
 
 
 def two_sample(ref: DataFrame, cur: DataFrame) -> DataFrame:
