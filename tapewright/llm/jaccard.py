@@ -11,7 +11,9 @@ last, so that keys are rare; what the sample holds changes the work, never the r
 Where many sets share a key, they are first compared with one of them, then with others that each key
 draws by lot, and what that links needs no further comparison: a large group of near copies costs a
 few comparisons for each key of a set. Then the pairs that aren't connected yet are compared, all of them. Pairs that can't be similar are left out by bounds
-first: sets differ in no fewer members than their parity bits do.
+first: sets differ in no fewer members than their parity bits do. The last comparison holds those bits
+beside its keys, so that the join itself leaves such pairs out and none of them is written or shuffled; a
+crowd of different sets costs a comparison of bits for each pair and key, in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SAMPLED, COMMON, COMMON_KEPT = 8, 4, 100_000
 ROUNDS, MANY = 3, 32
 #: Words of 64 parity bits of a set.
 PARITY = 16
+#: A key of more rows than this is compared in blocks of about so many, each with all rows of the key.
+BLOCK = 2_048
 
 
 def signature(text: bytes) -> int:
@@ -95,6 +99,29 @@ def _common(texts: DataFrame, shingle_words: int, seed: int) -> tuple[np.ndarray
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
 
 
+def _alike(one: str, other: str, similarity: float):
+    """Whether sets of the sizes and parity bits in size<one>, bits<one>, size<other>, bits<other> may be similar enough."""
+    differing = F.expr(" + ".join(f"bit_count(bits{one}[{k}] ^ bits{other}[{k}])" for k in range(PARITY)))
+    most = (F.col(f"size{one}") + F.col(f"size{other}")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return differing <= most
+
+
+def _unconnected(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of rows of one key and two parts whose parity bits allow the similarity; the second's columns end in 2.
+
+    A key of many rows is dealt to blocks by signature; every block meets all rows of its key, so no
+    pair is lost, and rows are copied once for each BLOCK of the key.
+    """
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
+    rows = rows.join(counts, "key", "left").withColumn("blocks", blocks).drop("n")
+    rows = staged(rows.join(roots.select("sign", "bits"), "sign"), "parities")
+    left = rows.withColumn("block", F.pmod(F.xxhash64("sign"), F.col("blocks")).cast("int")).drop("blocks")
+    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = right.select("key", "block", *[F.col(c).alias(f"{c}2") for c in ("sign", "size", "rest", "part", "bits")])
+    return left.join(right, ["key", "block"]).where("part < part2").where(_alike("", "2", similarity))
+
+
 def _verified(found: DataFrame, docs: DataFrame, roots: DataFrame, similarity: float, shingle_words: int, seed: int) -> DataFrame:
     """The pairs (a, b) of signatures whose shingle sets are similar enough."""
 
@@ -107,9 +134,7 @@ def _verified(found: DataFrame, docs: DataFrame, roots: DataFrame, similarity: f
     both = found.distinct()
     for c in "ab":
         both = both.join(roots.select(F.col("sign").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")), c)
-    differing = F.expr(" + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(PARITY)))
-    most = (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    found = staged(both.where(differing <= most).select("a", "b"), "candidates")
+    found = staged(both.where(_alike("_a", "_b", similarity)).select("a", "b"), "candidates")
     nodes = found.select(F.col("a").alias("sign")).union(found.select("b")).distinct()
     ids = roots.join(nodes, "sign", "left_semi").select(F.col("root").alias("doc_id"))
     texts = text_table(docs).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
@@ -185,7 +210,7 @@ def similar_pairs(docs: DataFrame, roots: DataFrame, similarity: float, shingle_
         near = compared(rows.join(many.select("key", *[F.col(f"one.{c}").alias(f"{c}2") for c in own]), "key").where("part != part2"))
         edges = edges.union(near)
         rows = _components(edges, rows)
-    near = compared(rows.join(rows.select("key", *[F.col(c).alias(f"{c}2") for c in own]), "key").where("part < part2"))
+    near = compared(_unconnected(rows, roots, similarity))
     return edges.union(near)
 
 

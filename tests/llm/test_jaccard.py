@@ -49,6 +49,29 @@ def test_stage_against_brute_force(spark, common, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == plain_kept(rows)
 
 
+def alike(n, seed=5):
+    """n texts that share most words with one another, near 0.8 on both sides, and none of which is the middle."""
+    r = random.Random(seed)
+    centre = [f"w{k * 7919 % 1009}" for k in range(150)]
+    texts = []
+    for k in range(n):
+        words = list(centre)
+        for at in r.sample(range(150), r.choice((3, 4, 4))):
+            words[at] = f"z{k}x{at}" if k % 5 else f"z{at}"
+        texts.append(" ".join(words))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_crowd_of_alike_texts_in_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = alike(240)
+    kept = plain_kept(rows)
+    assert 20 < len(kept) < 240
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == kept
+
+
 def test_links_that_three_bits_miss(spark):
     words = [f"w{k * 7919 % 1009}" for k in range(100)]
     texts = [" ".join(words), " ".join([*words[:30], "other", *words[31:60], "another", *words[61:]])]
