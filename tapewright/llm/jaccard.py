@@ -11,8 +11,8 @@ last, so that keys are rare; what the sample holds changes the work, never the r
 Where many sets share a key, they are first compared with one of them, then with others that each key
 draws by lot, and what that links needs no further comparison: a large group of near copies costs a
 few comparisons for each key of a set. Then the pairs that aren't connected yet are compared, all of them. Pairs that can't be similar are left out by bounds
-first: sets differ in no fewer members than their parity bits do. The last comparison holds those bits
-beside its keys, so that the join itself leaves such pairs out and none of them is written or shuffled; a
+first: sets differ in no fewer members than their parity bits do. In the last comparison the rows of crowded
+keys hold those bits, so that the join itself leaves such pairs out and none of them is written or shuffled; a
 crowd of different sets costs a comparison of bits for each pair and key, in tasks of bounded size.
 """
 
@@ -107,19 +107,23 @@ def _alike(one: str, other: str, similarity: float):
 
 
 def _unconnected(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of rows of one key and two parts whose parity bits allow the similarity; the second's columns end in 2.
+    """All pairs of rows of one key and two parts, without those of crowded keys whose parity bits forbid the similarity.
 
-    A key of many rows is dealt to blocks by signature; every block meets all rows of its key, so no
-    pair is lost, and rows are copied once for each BLOCK of the key.
+    The second row's columns end in 2. Keys of MANY rows or fewer give at most so many pairs for each
+    row. A row of a larger key takes its bits along; such keys are dealt to blocks by signature, and
+    every block meets all rows of its key, so no pair is lost, and rows are copied once for each BLOCK.
     """
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
-    rows = rows.join(counts, "key", "left").withColumn("blocks", blocks).drop("n")
-    rows = staged(rows.join(roots.select("sign", "bits"), "sign"), "parities")
-    left = rows.withColumn("block", F.pmod(F.xxhash64("sign"), F.col("blocks")).cast("int")).drop("blocks")
-    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    right = right.select("key", "block", *[F.col(c).alias(f"{c}2") for c in ("sign", "size", "rest", "part", "bits")])
-    return left.join(right, ["key", "block"]).where("part < part2").where(_alike("", "2", similarity))
+    own = ["sign", "size", "rest", "part"]
+    second = lambda names: [F.col(c).alias(f"{c}2") for c in names]
+    counts = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY), "crowds")
+    few = rows.join(counts, "key", "left_anti").select("key", *own)
+    few = few.join(few.select("key", *second(own)), "key").where("part < part2")
+    crowd = rows.join(counts.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    crowd = staged(crowd.join(roots.select("sign", "bits"), "sign"), "parities")
+    one = crowd.select("key", F.pmod(F.xxhash64("sign"), F.col("blocks")).cast("int").alias("block"), *own, "bits")
+    other = crowd.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *second([*own, "bits"]))
+    many = one.join(other, ["key", "block"]).where("part < part2").where(_alike("", "2", similarity))
+    return few.unionByName(many.select(*few.columns))
 
 
 def _verified(found: DataFrame, docs: DataFrame, roots: DataFrame, similarity: float, shingle_words: int, seed: int) -> DataFrame:
