@@ -74,6 +74,24 @@ add(
     "q_2_8_15_pair_tests", lambda s, d: rounded(T.pair_tests(M.pair_spreads(bars(s, d))), "hedge", "t", "half_life", keys=("a", "b", "n", "lags", "cointegrated"), digits=4),
     over_bars(f"SELECT a, b, round(hedge, 4) AS hedge, n, lags, round(t, 4) AS t, CAST(coalesce(t, 0) < {T.PAIR_5} AS BIGINT) AS cointegrated, CASE WHEN s > 0 AND s < 1 THEN round(-ln(2) / ln(s), 4) END AS half_life FROM hl LEFT JOIN ur USING (a, b)", *PT),
 )
+FOUND = "f0 AS (SELECT a, b, hedge, n, lags, t, CASE WHEN s > 0 AND s < 1 THEN -ln(2) / ln(s) END AS half_life FROM hl LEFT JOIN ur USING (a, b))"
+add(
+    "q_2_8_16_pair_search", lambda s, d: rounded(T.pair_search(bars(s, d)), "hedge", "t", "half_life", keys=("a", "b", "n", "lags"), digits=4),
+    over_bars(f"SELECT a, b, n, lags, round(hedge, 4) AS hedge, round(t, 4) AS t, round(half_life, 4) AS half_life FROM f0 WHERE coalesce(t, 0) < {T.PAIR_5} AND (half_life IS NULL OR half_life BETWEEN 1 AND 252)", *PT, FOUND),
+)
+BANDS, BITS = 16, 4
+SIGN = lambda k: f"CASE WHEN substr(h, {k + 1}, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+OVER = lambda k: f"(p{k} > m * s{k})"
+PJ = [
+    f"j0 AS (SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, close / nullif(lag(close) OVER ({W}), 0) - 1 AS r FROM bars)",
+    f"j1 AS (SELECT symbol, band, r, md5('0:' || band || ':' || t) AS h FROM j0, range({BANDS}) b(band) WHERE r IS NOT NULL)",
+    f"j2 AS (SELECT symbol, band, avg(r) AS m, {', '.join(f'sum({SIGN(k)} * r) AS p{k}, sum({SIGN(k)}) AS s{k}' for k in range(BITS))} FROM j1 GROUP BY ALL)",
+    f"j3 AS (SELECT symbol, band, {' || '.join(f'CAST(CAST({OVER(k)} <> {OVER(0)} AS INT) AS VARCHAR)' for k in range(BITS))} AS word FROM j2)",
+]
+add(
+    "q_2_8_16_projected_pairs", lambda s, d: T.projected_pairs(bars(s, d), BANDS, BITS),
+    over_bars("SELECT x.symbol AS a, y.symbol AS b, count(*) AS shared FROM j3 x JOIN j3 y USING (band, word) WHERE x.symbol < y.symbol GROUP BY ALL", *PJ),
+)
 TL = "tl AS (SELECT a, b, CASE WHEN sxy = 0 THEN NULL ELSE (syy - sxx + sqrt(pow(syy - sxx, 2) + 4 * sxy * sxy)) / (2 * sxy) END AS h FROM (SELECT a, b, var_pop(y) AS syy, var_pop(x) AS sxx, covar_pop(y, x) AS sxy FROM s0 GROUP BY 1, 2))"
 add(
     "q_2_8_17_total_least_squares", lambda s, d: rounded(T.total_least_squares(M.pair_rows(bars(s, d))), "hedge", "mean", "sd", keys=("a", "b"), digits=4),
