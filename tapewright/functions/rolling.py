@@ -72,6 +72,36 @@ def ratio(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
+def quotient(a, b) -> Column:
+    """a / b as IEEE 754 has it, and DuckDB's `/`: a number over 0 is infinite, 0 over 0 is NaN. `ratio` gives null for both."""
+    a, b = _c(a), _c(b)
+    return F.coalesce(F.try_divide(a, b), F.when(b == 0, a * F.pow(b, F.lit(-1.0))))
+
+
+def log(x) -> Column:
+    """Natural logarithm as IEEE 754 has it: that of 0 is minus infinity, that of less is NaN. `F.ln` gives null for both."""
+    x = _c(x)
+    return F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+
+
+def sign(x) -> Column:
+    """-1, 0 or 1; 0 for NaN, as in DuckDB."""
+    x = _c(x)
+    return F.when(F.isnan(x), 0.0).otherwise(F.signum(x))
+
+
+def step_return(x, k: int = 1, w: WindowSpec | None = None) -> Column:
+    """`pct`, but infinite, or NaN, after a price of 0."""
+    return quotient(x, lag(x, k, w)) - 1
+
+
+def given(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null in the columns; `dropna` would drop NaN as well."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def pct(x, k: int = 1, w: WindowSpec | None = None) -> Column:
     return ratio(x, lag(x, k, w)) - 1
 
@@ -100,10 +130,10 @@ def islands(flag_or_value, w: WindowSpec | None = None) -> Column:
 
 
 def order_bucket(x) -> Column:
-    """A number that never falls as x grows, of which 8,192 lie between a value and e times that value."""
+    """A number that never falls as x grows, of which 8,192 lie between a value and e times that value; infinities and, after all others, NaN have their own."""
     x = _c(x)
-    far = F.floor(F.ln(F.abs(x)) * 8192).cast("long") + 10_000_000
-    return F.when(x == 0, 0).when(x > 0, far).otherwise(-far)
+    far = F.when(F.abs(x) < float("inf"), F.floor(F.ln(F.abs(x)) * 8192).cast("long") + 10_000_000).otherwise(20_000_000)
+    return F.when(F.isnan(x), 30_000_000).when(x == 0, 0).when(x > 0, far).otherwise(-far)
 
 
 def value_places(df: DataFrame, x: str, by: list[str]) -> DataFrame:

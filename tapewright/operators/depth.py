@@ -36,7 +36,7 @@ def trade_quality(df: DataFrame, ahead: int = 5) -> DataFrame:
 def distance_weighted(bids: Column, asks: Column) -> Column:
     """Imbalance of sizes weighted by 1 / (1 + distance from the mid in per cent); 0 if a side is empty."""
     mid = (bids[0]["price"] + asks[0]["price"]) / 2
-    total = lambda levels: F.aggregate(levels, F.lit(0.0), lambda a, x: a + x["size"] / (1 + F.abs(x["price"] - mid) / mid * 100))
+    total = lambda levels: F.aggregate(levels, F.lit(0.0), lambda a, x: a + R.quotient(x["size"], 1 + R.quotient(F.abs(x["price"] - mid), mid) * 100))
     return F.when((F.size(bids) == 0) | (F.size(asks) == 0), 0.0).otherwise(share(total(bids), total(asks)))
 
 
@@ -50,7 +50,7 @@ def record(books: DataFrame) -> DataFrame:
     """A book's record: depths of 1 and 5 levels, spread, and the impact of 100 and 1000 as size / depth * spread."""
     b, a = F.col("bids"), F.col("asks")
     mid, spread = (b[0]["price"] + a[0]["price"]) / 2, a[0]["price"] - b[0]["price"]
-    d = {"mid": mid, "spread_bps": spread / mid * 1e4, "relative_spread": spread / mid, "bid_depth_1": b[0]["size"], "ask_depth_1": a[0]["size"], "bid_depth_5": B.depth(b, 5), "ask_depth_5": B.depth(a, 5)}
+    d = {"mid": mid, "spread_bps": R.quotient(spread, mid) * 1e4, "relative_spread": R.quotient(spread, mid), "bid_depth_1": b[0]["size"], "ask_depth_1": a[0]["size"], "bid_depth_5": B.depth(b, 5), "ask_depth_5": B.depth(a, 5)}
     books = books.where((F.size("bids") > 0) & (F.size("asks") > 0)).withColumns(d)
     impact = {f"{side}_impact_{n}": F.coalesce(F.try_divide(F.lit(float(n)), F.col(f"{of}_depth_5")), F.lit(0.0)) * F.col("spread_bps") for n in (100, 1000) for side, of in (("buy", "ask"), ("sell", "bid"))}
     return books.withColumns({"total_depth": F.col("bid_depth_5") + F.col("ask_depth_5"), "depth_imbalance": B.imbalance(b, a, 5), **impact})
@@ -59,7 +59,7 @@ def record(books: DataFrame) -> DataFrame:
 def pressure_imbalance(bids: Column, asks: Column, levels: int = 5, fall: float = 0.5) -> Column:
     """(bid - ask) / (bid + ask) of the sizes weighted by exp(-fall * level) less the share of the distance from the middle; 0 for an empty book."""
     mid = (bids[0]["price"] + asks[0]["price"]) / 2
-    weight = lambda i, p: F.greatest(F.lit(0.0), F.exp(-fall * i) * (1 - F.abs(p - mid) / mid))
+    weight = lambda i, p: F.greatest(F.lit(0.0), F.exp(-fall * i) * (1 - R.quotient(F.abs(p - mid), mid)))
     b, a = (B.weighted_depth(F.slice(side, 1, levels), weight) for side in (bids, asks))
     return F.coalesce(F.when(b + a > 0, F.try_divide(b - a, b + a)), F.lit(0.0))
 

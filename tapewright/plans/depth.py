@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapewright.functions import rolling as R
 from tapewright.operators import book as B
 from tapewright.operators import depth as D
 from tapewright.operators import microstructure as M
@@ -89,7 +90,7 @@ _filled = lambda s, d: books(s, d).where((F.size("bids") > 0) & (F.size("asks")
 FILLED = "WHERE len(b) > 0 AND len(a) > 0"
 add("q_2_11_28_snapshot_imbalances", lambda s, d: D.imbalances(_filled(s, d)), LOB | {"imbalance_5": IMB(5), "imbalance_10": IMB(10)}, "bm", FILLED)
 add(
-    "q_2_8_46_depth_features", lambda s, d: D.imbalances(_filled(s, d)).withColumns({"mid": (F.col("bids")[0]["price"] + F.col("asks")[0]["price"]) / 2, "spread_bps": (F.col("asks")[0]["price"] - F.col("bids")[0]["price"]) / ((F.col("bids")[0]["price"] + F.col("asks")[0]["price"]) / 2) * 1e4}),
+    "q_2_8_46_depth_features", lambda s, d: D.imbalances(_filled(s, d)).withColumns({"mid": (F.col("bids")[0]["price"] + F.col("asks")[0]["price"]) / 2, "spread_bps": R.quotient(F.col("asks")[0]["price"] - F.col("bids")[0]["price"], (F.col("bids")[0]["price"] + F.col("asks")[0]["price"]) / 2) * 1e4}),
     LOB | {"mid": "m", "spread_bps": "(a[1].p - b[1].p) / m * 10000"}, "bm", FILLED,
 )
 D5 = lambda side: SUM(side, 5)
