@@ -95,7 +95,7 @@ add("q_2_8_8_rolling_var", lambda s, d: rounded(V.rolling_metrics(_returns(s, d)
 _pair = lambda s, d: bars(s, d).where("symbol in ('click', 'view')").groupBy("ts").agg(F.max(F.when(F.col("symbol") == "click", F.col("close"))).alias("a"), F.max(F.when(F.col("symbol") == "view", F.col("close"))).alias("b")).where("a is not null and b is not null").select(F.lit("click/view").alias("symbol"), "ts", (F.col("a") / F.col("b")).alias("ratio"))
 add("q_2_8_90_pair_ratio", lambda s, d: rounded(_pair(s, d).withColumn("z", R.zscore("ratio", 20)), "ratio", "z"), over_bars(f"SELECT symbol, {EPOCH}, round(ratio, 6) AS ratio, round((ratio - {roll('avg(ratio)', 20)}) / nullif({roll('stddev_samp(ratio)', 20)}, 0), 6) AS z FROM pr", "pr AS (SELECT 'click/view' AS symbol, x.ts, x.close / y.close AS ratio FROM bars x JOIN bars y ON x.ts = y.ts AND x.symbol = 'click' AND y.symbol = 'view')"))
 add("q_2_8_75_smoothed_signal", lambda s, d: rounded(_returns(s, d).withColumn("smooth", R.mean(F.signum("r"), 3, least=1)), "smooth"), over_bars(f"SELECT symbol, {EPOCH}, round(avg(sg) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS smooth FROM (SELECT *, sign(r) AS sg FROM q1)", *Q0))
-add("q_2_12_7_execution_shift", lambda s, d: rounded(bars(s, d).withColumn("execution", R.lead("open")).withColumn("slip", F.col("execution") / F.col("close") - 1), "execution", "slip"), over_bars(f"SELECT symbol, {EPOCH}, round(o, 6) AS execution, round(o / close - 1, 6) AS slip FROM nx", step("nx", {"o": f"lead(open) OVER ({W})"})))
+add("q_2_12_7_execution_shift", lambda s, d: rounded(bars(s, d).withColumn("execution", R.lead("open")).withColumn("slip", R.quotient("execution", "close") - 1), "execution", "slip"), over_bars(f"SELECT symbol, {EPOCH}, round(o, 6) AS execution, round(o / close - 1, 6) AS slip FROM nx", step("nx", {"o": f"lead(open) OVER ({W})"})))
 
 # Signals of several strategies.
 add("q_2_9_22_rank_average", lambda s, d: rounded(V.rank_average(_strategies(s, d)), "rank_average"), over_users(f"SELECT symbol, {EPOCH}, round(avg(p), 6) AS rank_average FROM (SELECT symbol, ts, {AR('signal', 'strategy, ts')} / count(*) OVER (PARTITION BY strategy, ts) - 0.5 AS p FROM st) GROUP BY symbol, ts", U0, *ST))

@@ -14,7 +14,7 @@ from tapewright.operators import information as I
 from tests.test_oracles import canonical
 
 DIVIDING = [
-    "q_2_11_12_book_record", "q_2_11_27_snapshot_features", "q_2_11_28_snapshot_imbalances", "q_2_8_46_depth_features", "q_2_8_47_imbalance_dynamics",
+    "q_2_11_12_book_record", "q_2_11_27_snapshot_features", "q_2_11_28_snapshot_imbalances", "q_2_12_7_execution_shift", "q_2_8_46_depth_features", "q_2_8_47_imbalance_dynamics",
 ]
 
 
