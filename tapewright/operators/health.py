@@ -43,9 +43,9 @@ def severity(drift: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def performance(df: DataFrame, by: list[str]) -> DataFrame:
     """df: (by, score, r). Sharpe ratio of r times the score's sign, share of equal signs, and correlation of score and r."""
-    held = F.signum("score") * F.col("r")
+    held = R.sign("score") * F.col("r")
     return df.groupBy(*by).agg(
-        (F.try_divide(F.avg(held), F.stddev_samp(held)) * math.sqrt(252)).alias("sharpe"), F.avg((F.signum("score") == F.signum("r")).cast("double")).alias("accuracy"), F.corr("score", "r").alias("ic"),
+        (F.try_divide(F.avg(held), F.stddev_samp(held)) * math.sqrt(252)).alias("sharpe"), F.avg((R.sign("score") == R.sign("r")).cast("double")).alias("accuracy"), F.corr("score", "r").alias("ic"),
     )
 
 

@@ -25,12 +25,12 @@ FAR = 2**62
 
 
 def points(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, x, y, w): distinct points on the grid and how many rows are there; rows with a null in feature or target are left out.
+    """(feature, x, y, w): distinct points on the grid and how many rows are there; rows whose feature or target is null or not finite are left out of that feature.
 
     x and y are long. A feature or target that doesn't vary has 0 everywhere.
     """
     long = df.select(F.col(target).cast("double").alias("_y"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x")) for c in features])))
-    long = long.where("_x is not null and _y is not null and not isnan(_x) and not isnan(_y)")
+    long = long.where((F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")))  # NaN is above infinity
     scale = long.groupBy("feature").agg(F.stddev_pop("_x").alias("_sx"), F.stddev_pop("_y").alias("_sy"))
     on_grid = lambda v, s: F.coalesce(F.round(F.try_divide(v, s) * GRID), F.lit(0.0)).cast("long")
     placed = long.join(F.broadcast(scale), "feature")  # one row for each feature

@@ -7,6 +7,7 @@ one cell, for each feature or pair of features.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 
 def complete(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    return df.dropna(subset=[*features, target])
+    return R.given(df, [*features, target])
 
 
 def _terms(features: list[str], target: str) -> list[Column]:
@@ -133,7 +134,7 @@ def partial_dependence(df: DataFrame, features: list[str], predict: Callable[[Da
     One feature, or two for their joint effect. Every row is predicted at every point, which is the
     definition; means are taken before anything is shuffled.
     """
-    rows = df.dropna(subset=features).select(*features)
+    rows = R.given(df, features).select(*features)
     grid = None
     for c in on:
         q = R.percentiles(rows, c, ends).withColumnRenamed("q", f"_q_{c}")  # one row
@@ -164,6 +165,7 @@ def correlations(df: DataFrame, features: list[str]) -> list[list[float]]:
 
 def uncorrelated(df: DataFrame, features: list[str], most: float = 0.95) -> DataFrame:
     """(feature, score, selected): of two features that correlate by more than `most`, the one that correlates more with all goes; score is 1 less that mean."""
+    above = lambda a, b: not math.isnan(b) and (math.isnan(a) or a > b)  # noqa: E731  NaN is above all numbers, as in the sort order
     c = correlations(df, features)
     means = [sum(map(abs, r)) / len(r) for r in c]
     dropped: set[int] = set()
@@ -171,8 +173,8 @@ def uncorrelated(df: DataFrame, features: list[str], most: float = 0.95) -> Data
         if i in dropped:
             continue
         for j in range(i + 1, len(features)):
-            if j not in dropped and abs(c[i][j]) > most:
-                dropped.add(i if means[i] > means[j] else j)
+            if j not in dropped and above(abs(c[i][j]), most):
+                dropped.add(i if above(means[i], means[j]) else j)
     return df.sparkSession.createDataFrame([(f, 1 - means[i], int(i not in dropped)) for i, f in enumerate(features)], "feature string, score double, selected long")
 
 

@@ -118,7 +118,7 @@ add(
 
 
 def _health(s, d):
-    alerts = bars(s, d).withColumn("r", R.pct("close")).where("r is not null").select("ts", F.col("symbol").alias("tie"), F.when(F.abs("r") > 5, "critical").otherwise("info").alias("level"))
+    alerts = bars(s, d).withColumn("r", R.step_return("close")).where("r is not null").select("ts", F.col("symbol").alias("tie"), F.when(F.abs("r") > 5, "critical").otherwise("info").alias("level"))
     return H.model_health(H.feature_drift(*_prediction_halves(s, d)), H.feature_drift(*_halves(s, d)), alerts)
 
 

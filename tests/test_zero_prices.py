@@ -14,7 +14,7 @@ from tapewright.operators import information as I
 from tests.test_oracles import canonical
 
 DIVIDING = [
-    "q_2_11_12_book_record", "q_2_11_27_snapshot_features", "q_2_11_28_snapshot_imbalances", "q_2_12_7_execution_shift", "q_2_8_46_depth_features", "q_2_8_47_imbalance_dynamics",
+    "q_2_11_12_book_record", "q_2_11_27_snapshot_features", "q_2_11_28_snapshot_imbalances", "q_2_12_7_execution_shift", "q_2_13_16_stacking", "q_2_4_100_recursive_elimination", "q_2_4_101_permutation_importance", "q_2_4_102_joint_dependence", "q_2_4_102_partial_dependence", "q_2_4_103_fold_stability", "q_2_4_125_model_health", "q_2_4_54_model_decay", "q_2_4_74_prediction_drift", "q_2_4_75_performance_drift", "q_2_4_93_correlation_selection", "q_2_4_96_stability_selection", "q_2_4_97_combined_selection", "q_2_4_98_adversarial_selection", "q_2_4_99_temporal_selection", "q_2_8_46_depth_features", "q_2_8_47_imbalance_dynamics",
 ]
 
 
@@ -38,6 +38,23 @@ def test_zero_prices(spark, zeros, name):
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical([d[0] for d in found.description], found.fetchall())
 
 
+def test_mutual_information_of_zero_prices(spark, zeros):
+    """The SQL casts NaN to a whole number there, which DuckDB refuses; every feature keeps its finite rows."""
+    rows = registry.queries()["q_2_4_95_mutual_information"](spark, zeros).collect()
+    assert len(rows) == 5 and all(math.isfinite(r["information"]) for r in rows)
+    n = {r["feature"]: r["n"] for r in rows}
+    assert n["momentum"] < n["volume"]
+
+
+def test_information_leaves_out_infinities(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=60), rng.normal(size=60)
+    pairs = [(float(a), float(b)) for a, b in zip(x, y, strict=True)]
+    odd = [(math.inf, 1.0), (-math.inf, 0.0), (math.nan, 2.0), (0.5, math.inf), (0.1, math.nan)]
+    one = lambda p: I.mutual_information(spark.createDataFrame(p, "x double, y double"), ["x"], "y").collect()
+    assert one(pairs + odd) == one(pairs)
+
+
 def test_quotients_and_logarithms(spark):
     rows = [(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (1.0, -0.0), (6.0, 3.0), (None, 0.0), (math.inf, 2.0)]
     df = spark.createDataFrame(rows, "a double, b double")
