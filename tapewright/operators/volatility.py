@@ -41,11 +41,11 @@ def historical(df: DataFrame, n: int = 20) -> DataFrame:
 
 def range_based(df: DataFrame, n: int = 20) -> DataFrame:
     """Garman-Klass, Parkinson and Yang-Zhang."""
-    hl, co = F.ln(F.col("high") / F.col("low")), F.ln(F.col("close") / F.col("open"))
-    ho, lo = F.ln(F.col("high") / F.col("open")), F.ln(F.col("low") / F.col("open"))
+    hl, co = R.log(R.quotient("high", "low")), R.log(R.quotient("close", "open"))
+    ho, lo = R.log(R.quotient("high", "open")), R.log(R.quotient("low", "open"))
     df = df.withColumns(
         {
-            "_gk": 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co, "_pk": hl * hl / (4 * math.log(2)), "_on": F.ln(F.col("open")) - F.ln(R.lag("close")),
+            "_gk": 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co, "_pk": hl * hl / (4 * math.log(2)), "_on": R.log("open") - R.log(R.lag("close")),
             "_co": co, "_rs": ho * (ho - co) + lo * (lo - co),
         }
     )
