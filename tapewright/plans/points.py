@@ -65,7 +65,7 @@ KNOWN = [
 ]
 _known = lambda s, d: P.known_adjusted(bars(s, d), _actions(s, d), AS_OF)
 LOGS = {"log_close": "ln(close) + lp", "log_volume": "lv"}
-add("q_2_3_9_known_adjustment", lambda s, d: rounded(_known(s, d).withColumn("log_close", F.ln("close") + F.col("log_price")), *LOGS, digits=5), over_bars(f"SELECT symbol, {E()} AS ts, " + ", ".join(f"round({e}, 5) AS {n}" for n, e in LOGS.items()) + " FROM kj", *KNOWN))
+add("q_2_3_9_known_adjustment", lambda s, d: rounded(_known(s, d).withColumn("log_close", R.log("close") + F.col("log_price")), *LOGS, digits=5), over_bars(f"SELECT symbol, {E()} AS ts, " + ", ".join(f"round({e}, 5) AS {n}" for n, e in LOGS.items()) + " FROM kj", *KNOWN))
 
 
 def _as_of(s, d):
@@ -75,11 +75,11 @@ def _as_of(s, d):
     return k.join(meta, "symbol")
 
 
-add("q_2_3_10_as_of_query", lambda s, d: rounded(_as_of(s, d).withColumn("log_close", F.ln("close") + F.col("log_price")), "log_close", keys=("symbol", "ts", "n_bars"), digits=5), over_bars(f"SELECT symbol, {E()} AS ts, n_bars, round(ln(close) + lp, 5) AS log_close FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n_bars FROM kj) WHERE n_bars > 20", *KNOWN))
-add("q_2_3_11_as_of_returns", lambda s, d: rounded(_known(s, d).withColumn("log_return", F.ln("close") + F.col("log_price") - R.lag(F.ln("close") + F.col("log_price"), 5)), "log_return", digits=5), over_bars(f"SELECT symbol, {E()} AS ts, round(x - {lag('x', 5)}, 5) AS log_return FROM (SELECT *, ln(close) + lp AS x FROM kj)", *KNOWN))
+add("q_2_3_10_as_of_query", lambda s, d: rounded(_as_of(s, d).withColumn("log_close", R.log("close") + F.col("log_price")), "log_close", keys=("symbol", "ts", "n_bars"), digits=5), over_bars(f"SELECT symbol, {E()} AS ts, n_bars, round(ln(close) + lp, 5) AS log_close FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n_bars FROM kj) WHERE n_bars > 20", *KNOWN))
+add("q_2_3_11_as_of_returns", lambda s, d: rounded(_known(s, d).withColumn("log_return", R.log("close") + F.col("log_price") - R.lag(R.log("close") + F.col("log_price"), 5)), "log_return", digits=5), over_bars(f"SELECT symbol, {E()} AS ts, round(x - {lag('x', 5)}, 5) AS log_return FROM (SELECT *, ln(close) + lp AS x FROM kj)", *KNOWN))
 NAMES = ("click", "error", "purchase", "signup", "view")
 add(
-    "q_2_3_31_as_of_panel", lambda s, d: _known(s, d).withColumn("x", F.round(F.ln("close") + F.col("log_price"), 5) + F.lit(0.0)).groupBy(seconds()).pivot("symbol", list(NAMES)).agg(F.first("x")),
+    "q_2_3_31_as_of_panel", lambda s, d: _known(s, d).withColumn("x", F.round(R.log("close") + F.col("log_price"), 5) + F.lit(0.0)).groupBy(seconds()).pivot("symbol", list(NAMES)).agg(F.first("x")),
     over_bars(f"SELECT {E()} AS ts, " + ", ".join(f"max(CASE WHEN symbol = '{n}' THEN round(ln(close) + lp, 5) END) AS {n}" for n in NAMES) + " FROM kj GROUP BY ts", *KNOWN),
 )
 
