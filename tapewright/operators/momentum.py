@@ -71,7 +71,7 @@ def ultimate(df: DataFrame, n: tuple[int, int, int] = (7, 14, 28)) -> DataFrame:
 
 
 def returns(df: DataFrame, periods: tuple[int, ...] = (1, 5, 10, 20, 60), log: bool = False) -> DataFrame:
-    one = lambda k: F.ln(F.col("close")) - F.ln(R.lag("close", k)) if log else R.pct("close", k)
+    one = lambda k: R.log("close") - R.log(R.lag("close", k)) if log else R.pct("close", k)
     return df.withColumns({f"{'log_' if log else ''}return_{k}": one(k) for k in periods})
 
 
