@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(df: DataFrame, inputs: list[str], step, outputs: dict[str, str], key: str = "symbol", order: str = "ts") -> DataFrame:
-    """step(state, *inputs) -> (state, outputs); state is None at a series' first row. Adds the outputs to key and order."""
+def fold(df: DataFrame, inputs: list[str], step, outputs: dict[str, str], key: str = "symbol", order: str = "ts", then: tuple[str, ...] = ()) -> DataFrame:
+    """step(state, *inputs) -> (state, outputs); state is None at a series' first row. Adds the outputs to key and order; the inputs `then` order rows of equal order."""
     names = list(outputs)
     kinds = dict(df.dtypes)
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, " + ", ".join(f"{n} {t}" for n, t in outputs.items())
@@ -32,5 +32,5 @@ def fold(df: DataFrame, inputs: list[str], step, outputs: dict[str, str], key: s
             out.insert(0, key, frame[key].to_numpy())
             yield out
 
-    ready = df.select(key, order, *[F.col(c) for c in inputs]).repartition(key).sortWithinPartitions(key, order)
+    ready = df.select(key, order, *[F.col(c) for c in inputs]).repartition(key).sortWithinPartitions(key, order, *then)
     return ready.mapInPandas(each, schema)

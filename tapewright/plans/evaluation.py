@@ -126,7 +126,7 @@ add("q_2_14_11_risk_regime", lambda s, d: _macro(s, d).withColumn("m", R.roll(la
 
 # Streamed state: each feature by itself, and marks of positions.
 def _streamed(*columns):
-    return lambda s, d: rounded(I.drained(I.feature_stream(I.tick_stream(s, d)), "features"), *columns, keys=("symbol", "seq"))
+    return lambda s, d: rounded(I.drained(I.feature_stream(I.timed_tick_stream(s, d)), "features"), *columns, keys=("symbol", "seq"))
 
 
 def position_marks(spark, sf_dir):

@@ -120,7 +120,7 @@ add(
 
 def _streamed_book(spark, sf_dir):
     """Best prices of the streamed book after each symbol's last update."""
-    t = I.tick_stream(spark, sf_dir)
+    t = I.timed_tick_stream(spark, sf_dir)
     p = F.floor("price").cast("double")
     updates = t.select("symbol", "ts", "seq", F.when(p < 50, "bid").otherwise("ask").alias("side"), p.alias("price"), F.when(F.col("size") % 5 == 0, 0.0).otherwise(F.col("size").cast("double")).alias("size"))
     last = I.drained(I.book_stream(updates), "book").groupBy("symbol").agg(F.max_by(F.struct("best_bid", "best_ask"), F.struct("ts", "seq")).alias("x"))

@@ -86,13 +86,13 @@ def stream_sessions(spark, sf_dir):
 
 
 def stream_features(spark, sf_dir):
-    df = I.drained(I.feature_stream(I.tick_stream(spark, sf_dir)), "features")
+    df = I.drained(I.feature_stream(I.timed_tick_stream(spark, sf_dir)), "features")
     return rounded(df, "ema_12", "ema_26", "macd", "mean_20", "sd_20", "low_20", "high_20", keys=("symbol", "seq"))
 
 
 def stream_equals_batch(spark, sf_dir):
     """Per symbol: rows, and how far stream and batch are apart at most."""
-    a = I.drained(I.feature_stream(I.tick_stream(spark, sf_dir)), "features")
+    a = I.drained(I.feature_stream(I.timed_tick_stream(spark, sf_dir)), "features")
     b = I.feature_batch(ticks(spark, sf_dir))
     j = a.join(b.select("symbol", "seq", *[F.col(c).alias(f"b_{c}") for c in I.Features.COLUMNS]), ["symbol", "seq"])
     gap = F.greatest(*[F.abs(F.col(c) - F.col(f"b_{c}")) for c in I.Features.COLUMNS])

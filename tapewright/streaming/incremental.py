@@ -25,11 +25,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parquet*")
+    return _ticks(spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parquet*"))
+
+
+def _ticks(e: DataFrame) -> DataFrame:
     size = F.get_json_object("props", "$.k").cast("long").alias("size")
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), size)
 
 
+#: Rows in a micro-batch of a stream that follows time.
+TRIGGER_ROWS = 1_000_000
+
+
+def timed_files(spark: SparkSession, sf_dir: str, rows: int = TRIGGER_ROWS, least: int = 1) -> str:
+    """A folder with the events in files of about `rows` rows that follow one another in time, `least` files at least.
+
+    Events are dealt by range of (ts, event_id) into one folder for each file, then copied file after file,
+    since a stream takes files in the order of their making. So a micro-batch of one file doesn't grow with the table.
+    """
+    path = f"{shared_dir(spark)}/timed-{uuid.uuid4().hex}"
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    parts = max(least, math.ceil(events.count() / rows), 1)
+    events.repartitionByRange(parts, "ts", "event_id").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{path}/dealt")
+    dealt = spark.read.schema(f"{EVENTS}, part int").parquet(f"{path}/dealt")
+    empty = spark.createDataFrame([], EVENTS)
+    empty.write.parquet(f"{path}/files")  # a stream of no events needs a folder too
+    for (part,) in sorted(dealt.select("part").distinct().collect()):  # one row per file
+        dealt.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/files")
+    empty.write.mode("overwrite").parquet(f"{path}/dealt")
+    return f"{path}/files"
+
+
+def timed_events(spark: SparkSession, sf_dir: str, rows: int = TRIGGER_ROWS, least: int = 1) -> DataFrame:
+    """The stream of those files, one in a micro-batch."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(timed_files(spark, sf_dir, rows, least))
+
+
+def timed_tick_stream(spark: SparkSession, sf_dir: str, rows: int = TRIGGER_ROWS) -> DataFrame:
+    """`tick_stream` in time order, for state that a row's successors read."""
+    return _ticks(timed_events(spark, sf_dir, rows))
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there, into a table of the shared folder, and reads that table."""
     spark = stream.sparkSession
@@ -97,17 +133,28 @@ FEATURE_SCHEMA = "symbol string, ts timestamp, seq long, " + ", ".join(f"{c} dou
 STATE_SCHEMA = "k long, last double, fast double, slow double, gain double, loss double, prices array<double>"
 
 
+#: Rows that are given out at a time.
+GIVEN_ROWS = 10_000
+
+
+def _ordered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One micro-batch of one symbol in time order, in parts; its size is set by the source's files per trigger."""
+    rows = pd.concat([f.drop(columns="symbol", errors="ignore") for f in frames]).sort_values(["ts", "seq"])
+    for first in range(0, len(rows), GIVEN_ROWS):
+        yield rows.iloc[first : first + GIVEN_ROWS]
+
+
 def _features(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     f = Features(tuple(state.get) if state.exists else None)
     f.prices = list(f.prices)
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])  # one micro-batch of one symbol
-    out = [(key[0], t, s, *f.update(x)) for t, s, x in zip(rows["ts"], rows["seq"], rows["price"])]
+    for rows in _ordered(frames):
+        out = [(key[0], t, s, *f.update(x)) for t, s, x in zip(rows["ts"], rows["seq"], rows["price"])]
+        yield pd.DataFrame(out, columns=["symbol", "ts", "seq", *Features.COLUMNS])
     state.update(f.state())
-    yield pd.DataFrame(out, columns=["symbol", "ts", "seq", *Features.COLUMNS])
 
 
 def feature_stream(ticks: DataFrame) -> DataFrame:
-    """A feature row per tick, from state kept per symbol."""
+    """A feature row per tick, from state kept per symbol; ticks in time order from micro-batch to micro-batch (`timed_tick_stream`)."""
     return ticks.select("symbol", "ts", "seq", "price").groupBy("symbol").applyInPandasWithState(_features, FEATURE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -119,24 +166,24 @@ def feature_batch(ticks: DataFrame) -> DataFrame:
         f = s or Features()
         return f, (seq, *f.update(price))
 
-    return fold(ticks, ["seq", "price"], step, {"seq": "long", **{c: "double" for c in Features.COLUMNS}}, order="ts")
+    return fold(ticks, ["seq", "price"], step, {"seq": "long", **{c: "double" for c in Features.COLUMNS}}, order="ts", then=("seq",))
 
 
 def _book(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     prices, sizes = state.get if state.exists else ([], [])
     book = dict(zip(prices, sizes))
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    out = []
-    for t, s, side, p, q in zip(rows["ts"], rows["seq"], rows["side"], rows["price"], rows["size"]):
-        at = -1 - p if side == "bid" else p  # bids are kept under negative numbers: one map for both sides
-        if q > 0:
-            book[at] = q
-        else:
-            book.pop(at, None)
-        bids, asks = [k for k in book if k < 0], [k for k in book if k >= 0]
-        out.append((key[0], t, s, -1 - min(bids) if bids else None, min(asks) if asks else None, len(bids), len(asks)))
+    for rows in _ordered(frames):
+        out = []
+        for t, s, side, p, q in zip(rows["ts"], rows["seq"], rows["side"], rows["price"], rows["size"]):
+            at = -1 - p if side == "bid" else p  # bids are kept under negative numbers: one map for both sides
+            if q > 0:
+                book[at] = q
+            else:
+                book.pop(at, None)
+            bids, asks = [k for k in book if k < 0], [k for k in book if k >= 0]
+            out.append((key[0], t, s, -1 - min(bids) if bids else None, min(asks) if asks else None, len(bids), len(asks)))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "best_bid", "best_ask", "n_bids", "n_asks"])
     state.update((list(book), list(book.values())))
-    yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "best_bid", "best_ask", "n_bids", "n_asks"])
 
 
 def book_stream(updates: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tapewright.streaming.incremental import EVENTS, shared_dir
+from tapewright.streaming.incremental import GIVEN_ROWS, timed_events
 
 
 class Side:
@@ -65,16 +64,14 @@ class Book:
 
 SCHEMA = "symbol string, ts timestamp, seq long, n_orders long, best_bid double, best_ask double, bid_size double, ask_size double"
 STATE = "ids array<long>, bids array<boolean>, prices array<double>, sizes array<double>"
-#: Rows that are given out at a time.
-ROWS = 10_000
 
 
 def _each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held = state.get if state.exists else ([], [], [], [])
     book = Book({i: (bool(b), p, s) for i, b, p, s in zip(*held, strict=True)})
     rows = pd.concat(list(frames)).sort_values(["ts", "seq"])  # a micro-batch of one symbol: its size is set by the source's files per trigger
-    for first in range(0, len(rows), ROWS):
-        part = rows.iloc[first : first + ROWS]
+    for first in range(0, len(rows), GIVEN_ROWS):
+        part = rows.iloc[first : first + GIVEN_ROWS]
         columns = (part[c] for c in ("ts", "seq", "order_id", "action", "side", "price", "size"))
         out = [(key[0], t, n, *book.update(o, a, side == "bid", p, float(s))) for t, n, o, a, side, p, s in zip(*columns, strict=True)]
         yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "n_orders", "best_bid", "best_ask", "bid_size", "ask_size"])
@@ -91,20 +88,12 @@ def order_book(orders: DataFrame) -> DataFrame:
 
 
 def order_ticks(spark: SparkSession, sf_dir: str, files: int = 6) -> DataFrame:
-    """A stream of order events in micro-batches that follow one another in time.
+    """A stream of order events in micro-batches that follow one another in time, at least `files` of them.
 
     Each user has one order a symbol, even users buy and odd ones sell; sizes that 4 divides take it away.
     """
-    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}"
-    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
-    low, high = events.agg(F.min("ts"), F.max("ts")).first()
-    if low is not None:
-        step = (high - low) / files
-        for k in range(files):  # one file set after the other, so that the source takes them in this order
-            own = events.where((F.col("ts") >= F.lit(low + k * step)) & ((F.col("ts") < F.lit(low + (k + 1) * step)) if k < files - 1 else F.lit(True)))
-            own.coalesce(1).write.mode("append").parquet(path)
+    e = timed_events(spark, sf_dir, least=files)
     size = F.get_json_object("props", "$.k").cast("long")
-    e = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
     return e.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").alias("order_id"),
         F.when(size % 4 == 0, "delete").otherwise("add").alias("action"), F.when(F.col("user_id") % 2 == 0, "bid").otherwise("ask").alias("side"), F.round("value", 1).alias("price"), size.alias("size"),
