@@ -79,7 +79,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             used.pop()
         release(docs)
         docs = made
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    release(docs)  # their pieces are staged
+    return packed
 
 
 def training_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,12 +83,13 @@ def text_table(df: DataFrame, *more: str) -> DataFrame:
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list, buckets: int, name: str) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list, buckets: int, name: str, few: bool = False) -> DataFrame:
     """Adds column `name`: 0, 1, 2, ... inside each group, without one task per group.
 
     Rows are dealt by hash of the order columns into `buckets` parts of each group. Ranks inside a
     part come from a window over (group, part); the parts' counts are summed into offsets. The table
-    of counts has at most groups x buckets rows, and the groups are few (shards, classes).
+    of counts has at most groups x buckets rows, and the groups are few (shards, classes). `few` says
+    that their number has a fixed bound; then the rows themselves are shuffled once only.
     """
     part = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
     df = df.withColumn("_part", part)
@@ -98,5 +99,5 @@ def gapless_rank(df: DataFrame, group: list[str], order: list, buckets: int, nam
     inside = Window.partitionBy(*group, "_part").orderBy(*order)
     ranked = df.withColumn("_rank", F.row_number().over(inside) - 1)
     same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
-    placed = ranked.join(offsets, [*same, F.col("_part") == F.col("_of")]).withColumn(name, F.col("_before") + F.col("_rank"))
+    placed = ranked.join(F.broadcast(offsets) if few else offsets, [*same, F.col("_part") == F.col("_of")]).withColumn(name, F.col("_before") + F.col("_rank"))
     return placed.drop("_part", "_of", "_before", "_rank", *[f"_of_{g}" for g in group])

@@ -159,7 +159,7 @@ def pack(docs: DataFrame, capacity: int = 1024, ranks_path: str | None = None, e
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = cut.sparkSession.createDataFrame(bins(counts, capacity), "length long, per_bin long, full long, base long, tail_sequence long, tail_offset long")
     cut = cut.withColumn("ids_crc32", F.crc32("ids"))
-    ranked = gapless_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], parts, "rank")
+    ranked = gapless_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], parts, "rank", few=True)  # at most `capacity` lengths
     placed = ranked.join(F.broadcast(table), "length")  # at most `capacity` rows
     bin_ = F.expr("rank div per_bin")
     whole = bin_ < F.col("full")

@@ -90,3 +90,11 @@ def test_sequences_hold_the_ids(spark):
     for r in docs.collect():
         assert got[r.doc_id] == [*plain.encode(r.text, add_special_tokens=False).ids, 0]
     assert all(len(r.ids) == 100 and r.n_tokens == filled[k] and set(r.ids[r.n_tokens :]) <= {7} for k, r in whole.items())
+
+
+def test_ids_are_shuffled_once(spark, documents):
+    """The pieces' ids are the bulk of the data: one exchange deals them, and what the ranks need beside it is broadcast."""
+    packed = packing.pack(documents)
+    packed.collect()
+    plan = packed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan and plan.count("ids_crc32") and sum("Exchange hashpartitioning(" in line and "_part" in line for line in plan.split("\n")) == 2

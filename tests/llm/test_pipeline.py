@@ -5,7 +5,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import langid, mixing, secrets
+from tapewright.llm import common, langid, mixing, secrets
 from tests.llm.test_packing import holds
 
 
@@ -120,3 +120,16 @@ def test_last_stage_is_packing(spark, documents):
 def test_every_stage_takes_an_empty_table(spark, no_documents):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_documents, "").collect() == []
+
+
+def test_the_mixed_table_is_released_once_its_pieces_are_staged(spark, monkeypatch):
+    made = []
+
+    def staged(df, name):
+        made.append((name, common.staged(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(corpus_pipeline, "staged", staged)
+    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert packed.count() and [name for name, _ in made] == [name for name, _ in corpus_pipeline.STAGES[:-1]]
+    assert all(table.staged_at is None for _, table in made)
