@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import tempfile
 import uuid
@@ -172,16 +173,19 @@ def feature_batch(ticks: DataFrame) -> DataFrame:
 def _book(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     prices, sizes = state.get if state.exists else ([], [])
     book = dict(zip(prices, sizes))
+    bids, asks = sorted(k for k in book if k < 0), sorted(k for k in book if k >= 0)  # an update searches one of them; none is read through
     for rows in _ordered(frames):
         out = []
         for t, s, side, p, q in zip(rows["ts"], rows["seq"], rows["side"], rows["price"], rows["size"]):
             at = -1 - p if side == "bid" else p  # bids are kept under negative numbers: one map for both sides
+            levels = bids if at < 0 else asks
             if q > 0:
+                if at not in book and at == at:
+                    bisect.insort(levels, at)
                 book[at] = q
-            else:
-                book.pop(at, None)
-            bids, asks = [k for k in book if k < 0], [k for k in book if k >= 0]
-            out.append((key[0], t, s, -1 - min(bids) if bids else None, min(asks) if asks else None, len(bids), len(asks)))
+            elif book.pop(at, None) is not None and at == at:
+                del levels[bisect.bisect_left(levels, at)]
+            out.append((key[0], t, s, -1 - bids[0] if bids else None, asks[0] if asks else None, len(bids), len(asks)))
         yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "best_bid", "best_ask", "n_bids", "n_asks"])
     state.update((list(book), list(book.values())))
 
