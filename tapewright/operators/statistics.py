@@ -189,9 +189,9 @@ def triple_barrier(df: DataFrame, horizon: int = 10, width: float = 2.0, n: int
     df = df.withColumn("_vol", R.std("_r", n))
     ahead = R.W.rowsBetween(1, horizon)
     df = df.withColumn("_next", F.when(F.count("close").over(ahead) == horizon, F.collect_list("close").over(ahead)))
-    rel = F.transform("_next", lambda x: x / F.col("close") - 1)
+    rel = F.transform("_next", lambda x: R.quotient(x, "close") - 1)
     hit = F.filter(F.transform(rel, lambda x: F.when(x >= width * F.col("_vol"), 1).when(x <= -width * F.col("_vol"), -1).otherwise(0)), lambda x: x != 0)
-    label = F.when(F.size(hit) > 0, F.get(hit, F.lit(0))).otherwise(F.signum(F.get(rel, F.lit(horizon - 1))).cast("int"))
+    label = F.when(F.size(hit) > 0, F.get(hit, F.lit(0))).otherwise(R.sign(F.get(rel, F.lit(horizon - 1))).cast("int"))
     return df.withColumn("barrier_label", F.when(F.col("_vol").isNotNull() & F.col("_next").isNotNull(), label)).drop("_r", "_vol", "_next")
 
 

@@ -1,5 +1,6 @@
 """Prices of 0: queries whose SQL divides by them, or takes their logarithm, give what IEEE 754 and DuckDB give."""
 
+import datetime
 import math
 import os
 import shutil
@@ -11,6 +12,7 @@ import pytest
 from tapewright import registry
 from tapewright.functions import rolling as R
 from tapewright.operators import information as I
+from tapewright.operators import statistics as S
 from tests.test_oracles import canonical
 
 DIVIDING = [
@@ -71,3 +73,18 @@ def test_order_buckets_hold_infinities(spark):
     values = [-math.inf, -1e308, -1.0, 0.0, 5e-324, 1.0, 1e308, math.inf, math.nan]
     found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(R.order_bucket("x")).collect()]
     assert found == sorted(found) and len(set(found)) == len(found)
+
+
+def test_triple_barrier_of_zero_prices(spark, zeros):
+    test_zero_prices(spark, zeros, "q_2_8_76_triple_barrier")
+    rows = registry.queries()["q_2_8_76_triple_barrier"](spark, zeros).where("barrier_label is not null").count()
+    assert rows > 1000
+
+
+@pytest.mark.parametrize("after", [0.0, 100.0])
+def test_triple_barrier_after_a_zero(spark, after):
+    """From 0, a price above it is an infinite return and another 0 is NaN, which exceeds every number: both touch the upper barrier."""
+    closes = [100.0 + i % 3 for i in range(25)] + [0.0, after] + [100.0 + i % 3 for i in range(15)]
+    rows = [("A", datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=15 * i), c) for i, c in enumerate(closes)]
+    found = S.triple_barrier(spark.createDataFrame(rows, "symbol string, ts timestamp, close double")).orderBy("ts").collect()
+    assert [r["barrier_label"] for r in found[24:27]] == [-1, 1, None]
