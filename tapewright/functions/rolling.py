@@ -90,6 +90,16 @@ def sign(x) -> Column:
     return F.when(F.isnan(x), 0.0).otherwise(F.signum(x))
 
 
+def rounded(x, digits: int) -> Column:
+    """x to `digits` decimals as DuckDB's `round` has it: x * 10 ** digits to the next whole number, halves away from zero, and divided again; x itself where that is no number.
+
+    `F.round` goes by the shortest decimal that names x, which near a half can lie on the other side.
+    """
+    x, scale = _c(x), F.lit(10.0**digits)
+    out = F.round(x * scale) / scale  # a half is exact in binary, so here the shortest decimal does no harm
+    return F.when(F.abs(out) < float("inf"), out).otherwise(x)
+
+
 def step_return(x, k: int = 1, w: WindowSpec | None = None) -> Column:
     """`pct`, but infinite, or NaN, after a price of 0."""
     return quotient(x, lag(x, k, w)) - 1

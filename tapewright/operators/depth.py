@@ -69,7 +69,8 @@ def dynamics(df: DataFrame, n: int = 10) -> DataFrame:
     w = R.series().orderBy("ts", "seq")
     step = lambda c: F.col(c) - F.lag(c).over(w)
     ma, sd = R.roll(F.avg, "book_imbalance", n, w=w), R.roll(F.stddev_samp, "book_imbalance", n, w=w)
-    df = df.withColumns({"mid_change": step("mid"), "mid_return": F.try_divide("mid", F.lag("mid").over(w)) - 1, "spread_change": step("spread_bps"), "imbalance_change": step("book_imbalance"), "pressure_change": step("pressure"), "imbalance_ma": ma, "imbalance_std": F.round(sd, 12), "depth_change": step("total_depth"), "depth_ma": R.roll(F.avg, "total_depth", n, w=w)})
+    df = df.withColumns({"mid_change": step("mid"), "mid_return": F.try_divide("mid", F.lag("mid").over(w)) - 1, "spread_change": step("spread_bps"), "imbalance_change": step("book_imbalance"), "pressure_change": step("pressure"), "imbalance_ma": ma, "imbalance_std": sd, "depth_change": step("total_depth"), "depth_ma": R.roll(F.avg, "total_depth", n, w=w)})
+    df = df.withColumn("imbalance_std", R.rounded("imbalance_std", 12))
     return df.withColumn("imbalance_momentum", (F.col("book_imbalance") - F.col("imbalance_ma")) / F.when(F.col("imbalance_std") == 0, 1.0).otherwise(F.col("imbalance_std")))
 
 
