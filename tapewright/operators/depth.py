@@ -52,7 +52,8 @@ def record(books: DataFrame) -> DataFrame:
     mid, spread = (b[0]["price"] + a[0]["price"]) / 2, a[0]["price"] - b[0]["price"]
     d = {"mid": mid, "spread_bps": R.quotient(spread, mid) * 1e4, "relative_spread": R.quotient(spread, mid), "bid_depth_1": b[0]["size"], "ask_depth_1": a[0]["size"], "bid_depth_5": B.depth(b, 5), "ask_depth_5": B.depth(a, 5)}
     books = books.where((F.size("bids") > 0) & (F.size("asks") > 0)).withColumns(d)
-    impact = {f"{side}_impact_{n}": F.coalesce(F.try_divide(F.lit(float(n)), F.col(f"{of}_depth_5")), F.lit(0.0)) * F.col("spread_bps") for n in (100, 1000) for side, of in (("buy", "ask"), ("sell", "bid"))}
+    share = lambda n, of: F.coalesce(F.try_divide(F.lit(float(n)), F.col(f"{of}_depth_5")), F.lit(0.0))
+    impact = {f"{side}_impact_{n}": R.quotient(share(n, of) * spread, mid) * 1e4 for n in (100, 1000) for side, of in (("buy", "ask"), ("sell", "bid"))}
     return books.withColumns({"total_depth": F.col("bid_depth_5") + F.col("ask_depth_5"), "depth_imbalance": B.imbalance(b, a, 5), **impact})
 
 

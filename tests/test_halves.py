@@ -8,10 +8,11 @@ from tapewright import registry
 from tapewright.plans.build import rounded
 from tests.test_oracles import canonical
 
+QUOTES = [(1327997, "purchase", 0.34, 34), (553160, "view", 0.86, 2), (426208, "signup", 0.36, 11), (5208818, "view", 0.31, 98), (1018520, "view", 0.86, 47), (4124861, "error", 0.12, 1)]
 PAIRS = [(1655665, "click", 19.2, 53), (1655683, "click", 9.26, 4), (5830596, "error", 6.4, 88), (5830598, "error", 19.77, 36), (3199220, "purchase", 13.05, 5), (3199225, "purchase", 19.46, 86), (5881091, "view", 24.15, 59), (5881112, "view", 118.6, 23)]
 
 
-@pytest.mark.parametrize(("name", "rows"), [("q_2_8_47_imbalance_dynamics", PAIRS)])
+@pytest.mark.parametrize(("name", "rows"), [("q_2_11_12_book_record", QUOTES), ("q_2_8_47_imbalance_dynamics", PAIRS)])
 def test_halves(spark, tmp_path, name, rows):
     values = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + to_seconds({i}), 1, '{s}', {v}::DOUBLE, '{{\"k\": {k}}}')" for i, s, v, k in rows)
     duck = duckdb.connect()
