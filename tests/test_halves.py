@@ -10,6 +10,8 @@ from tests.test_oracles import canonical
 
 QUOTES = [(1327997, "purchase", 0.34, 34), (553160, "view", 0.86, 2), (426208, "signup", 0.36, 11), (5208818, "view", 0.31, 98), (1018520, "view", 0.86, 47), (4124861, "error", 0.12, 1)]
 PAIRS = [(1655665, "click", 19.2, 53), (1655683, "click", 9.26, 4), (5830596, "error", 6.4, 88), (5830598, "error", 19.77, 36), (3199220, "purchase", 13.05, 5), (3199225, "purchase", 19.46, 86), (5881091, "view", 24.15, 59), (5881112, "view", 118.6, 23)]
+#: Quotes whose middle is almost 0.
+NEAR = [(1236, "click", 4.671568835775532e-07, 99), (523249, "error", 0.25000867515659914, 68), (524246, "error", 3.9664625919855064e-07, 74), (824424, "purchase", 0.12500575890132426, 17)]
 
 
 @pytest.mark.parametrize(("name", "rows"), [("q_2_11_12_book_record", QUOTES), ("q_2_8_47_imbalance_dynamics", PAIRS)])
@@ -34,3 +36,7 @@ def test_rounded(spark, digits):
     assert plain != want
     nan = spark.sql("SELECT double('NaN') AS x UNION ALL SELECT NULL")
     assert canonical(["x"], rounded(nan, "x", keys=()).collect()) == [("~",), ("~",)]
+
+
+def test_large_spreads_of_snapshots(spark, tmp_path):
+    test_halves(spark, tmp_path, "q_2_11_27_snapshot_features", NEAR)
