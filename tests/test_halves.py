@@ -40,3 +40,7 @@ def test_rounded(spark, digits):
 
 def test_large_spreads_of_snapshots(spark, tmp_path):
     test_halves(spark, tmp_path, "q_2_11_27_snapshot_features", NEAR)
+
+
+def test_large_spreads_of_depth_features(spark, tmp_path):
+    test_halves(spark, tmp_path, "q_2_8_46_depth_features", NEAR)
